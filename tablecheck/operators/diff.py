@@ -172,18 +172,21 @@ def sort_columns(df: DataFrame) -> list[Column]:
     ]
 
 
+def side_counts(source: DataFrame, target: DataFrame) -> DataFrame:
+    """One row with the row counts of both sides."""
+    zero = F.lit(0).cast("bigint")
+    parts = source.agg(F.count("*").alias("s")).withColumn("t", zero).unionByName(
+        target.agg(F.count("*").alias("t")).withColumn("s", zero)
+    )
+    return parts.agg(F.sum("s").alias("source_row_count"), F.sum("t").alias("target_row_count"))
+
+
 def not_compared(source: DataFrame, target: DataFrame, reason: str) -> DataFrame:
     """The summary when the column gate closes: row counts only."""
-    counts = source.agg(F.count("*").alias("source_row_count")).crossJoin(
-        target.agg(F.count("*").alias("target_row_count"))
-    )
     zero = F.lit(0).cast("bigint")
-    return (
-        counts.withColumn("only_source_count", zero)
-        .withColumn("only_target_count", zero)
-        .withColumn("data_compared", F.lit(False))
-        .withColumn("data_equal", F.lit(False))
-        .withColumn("data_skip_reason", F.lit(reason))
+    return side_counts(source, target).select(
+        "*", zero.alias("only_source_count"), zero.alias("only_target_count"), F.lit(False).alias("data_compared"),
+        F.lit(False).alias("data_equal"), F.lit(reason).alias("data_skip_reason"),
     )
 
 
@@ -192,7 +195,17 @@ def compare_data(source: DataFrame, target: DataFrame, names=("source", "target"
     reason = column_gate(source.columns, target.columns, names)
     if reason:
         return not_compared(source, target, reason)
-    return diff_counts(bag_counts(source, target, buckets=buckets)).withColumn("data_skip_reason", F.lit(""))
+    summary = diff_counts(bag_counts(source, target, buckets=buckets))
+    if buckets:
+        # The bag then lacks the rows of equal buckets, so the totals come from the tables themselves.
+        counts = ("source_row_count", "target_row_count")
+        zero = F.lit(0).cast("bigint")
+        totals = side_counts(source, target).withColumns({"only_source_count": zero, "only_target_count": zero})
+        found = summary.select(*totals.columns).withColumns({c: zero for c in counts})
+        summary = found.unionByName(totals).agg(*[F.sum(c).alias(c) for c in totals.columns])
+        equal = (F.col("only_source_count") == 0) & (F.col("only_target_count") == 0)
+        summary = summary.withColumn("data_compared", F.lit(True)).withColumn("data_equal", equal)
+    return summary.withColumn("data_skip_reason", F.lit(""))
 
 
 @dataclass(frozen=True)

@@ -24,9 +24,23 @@ from tablecheck.operators.skew import HOT_ROWS, distinct_keys, key_counts, looku
 STAGES = ("REQUIRED_NULL_VALUES", "FK_NULL_RELATION", "FK_ORPHAN_ROWS", "DUPLICATE_KEY_VALUES", "REQUIRED_EMPTY_TEXT")
 
 
-def is_blank(column: str) -> Column:
+META_DDL = (
+    "rule_id INT, stage INT, type STRING, impact STRING, impact_rank INT, rule_name STRING, table_name STRING, "
+    "columns ARRAY<STRING>, impact_reason STRING, before STRING, after STRING, review_sql STRING, fix_sql STRING"
+)
+
+
+def _tick(name: str) -> str:
+    return quote_name(name, "mysql")
+
+
+def null_predicate(columns: Sequence[str]) -> str:
+    return " OR ".join(f"{_tick(c)} IS NULL" for c in columns)
+
+
+def blank_predicate(column: str) -> str:
     """Nothing but U+0020; other white space counts as content."""
-    return F.trim(F.col(f"`{column}`")) == ""
+    return f"trim({_tick(column)}) = ''"
 
 
 class _Texts:
@@ -75,24 +89,6 @@ class _Texts:
         )
 
 
-def _finding(kind, impact, rule, table, columns, reason, before, after, count: Column, review, fix="") -> Column:
-    values = {
-        "stage": F.lit(STAGES.index(kind) + 1),
-        "type": F.lit(kind),
-        "impact": F.lit(impact),
-        "impact_rank": F.lit(IMPACTS.index(impact) + 1),
-        "rule_name": F.lit(rule),
-        "table_name": F.lit(table),
-        "columns": F.array(*[F.lit(c) for c in columns]),
-        "impact_reason": F.lit(reason),
-        "description": F.concat(F.lit(before), count.cast("string"), F.lit(after)),
-        "count": count.cast("bigint"),
-        "review_sql": F.lit(review),
-        "fix_sql": F.lit(fix),
-    }
-    return F.struct(*[values[c].alias(c) for c in FINDING_COLUMNS])
-
-
 def _fk_impact(fk: ForeignKey, impact: str, reason: str, audit: Sequence[str]) -> tuple[str, str]:
     """Relations that only record who changed a row do not bear on functional integrity."""
     hit = sorted(set(fk.columns) & set(audit))
@@ -101,48 +97,68 @@ def _fk_impact(fk: ForeignKey, impact: str, reason: str, audit: Sequence[str]) -
     return impact, reason
 
 
-def table_profile(
-    df: DataFrame, table: str, rules: RuleSet, schema: str = "public", audit: Sequence[str] = AUDIT_COLUMNS,
-    kinds: Sequence[str] = STAGES,
-) -> DataFrame | None:
-    """Findings on nulls, blanks and incomplete foreign keys of one table, from one aggregate."""
-    texts = _Texts(schema)
-    counters: list[Column] = []
-    structs: list[Column] = []
-
-    def add(predicate: Column, make) -> None:
-        name = f"c{len(counters)}"
-        counters.append(F.count_if(predicate).alias(name))
-        structs.append(make(F.col(name)))
-
-    for r in sorted((r for r in rules.required if r.table == table), key=lambda r: r.column):
-        if "REQUIRED_NULL_VALUES" in kinds:
-            add(any_null([r.column]), lambda n, r=r: _finding(
-                "REQUIRED_NULL_VALUES", "CRITICAL", r.column, table, [r.column],
-                "These rows break NOT NULL and whatever depends on the column.",
-                f"Required column '{table}.{r.column}' is NULL in ", " row(s) of the target.", n,
-                texts.nulls(table, [r.column]),
-            ))
-        if r.text and "REQUIRED_EMPTY_TEXT" in kinds:
-            add(is_blank(r.column), lambda n, r=r: _finding(
-                "REQUIRED_EMPTY_TEXT", "MEDIUM", r.column, table, [r.column],
-                "Not NULL, yet blank text in a required column usually means incomplete data.",
-                f"Required text column '{table}.{r.column}' is blank in ", " row(s).", n,
-                texts.blanks(table, r.column),
-            ))
-    for fk in (f for f in rules.foreign_keys if f.table == table):
-        if fk.source_nullable and "FK_NULL_RELATION" in kinds:
-            impact, reason = _fk_impact(
-                fk, "HIGH", "The schema allows it, but rows without the relation may lack their parent.", audit
-            )
-            add(any_null(fk.columns), lambda n, fk=fk, impact=impact, reason=reason: _finding(
-                "FK_NULL_RELATION", impact, fk.name, table, fk.columns, reason,
-                f"Relation '{fk.name}' of '{table}' has ", " row(s) with NULL in its columns.", n,
-                texts.nulls(table, fk.columns),
-            ))
-    if not counters:
-        return None
-    return df.agg(*counters).select(F.explode(F.array(*structs)).alias("f")).select("f.*")
+class _Rules:
+    """Texts of the findings, numbered; the counts computed on Spark refer to them by number."""
+
+    def __init__(self, schema: str, audit: Sequence[str]):
+        self.texts = _Texts(schema)
+        self.audit = audit
+        self.rows: list[tuple] = []
+
+    def _add(self, kind, impact, rule, table, columns, reason, before, after, review, fix="") -> int:
+        self.rows.append((
+            len(self.rows), STAGES.index(kind) + 1, kind, impact, IMPACTS.index(impact) + 1, rule, table,
+            list(columns), reason, before, after, review, fix,
+        ))
+        return len(self.rows) - 1
+
+    def nulls(self, r: Required) -> int:
+        return self._add(
+            "REQUIRED_NULL_VALUES", "CRITICAL", r.column, r.table, [r.column],
+            "These rows break NOT NULL and whatever depends on the column.",
+            f"Required column '{r.table}.{r.column}' is NULL in ", " row(s) of the target.",
+            self.texts.nulls(r.table, [r.column]),
+        )
+
+    def blanks(self, r: Required) -> int:
+        return self._add(
+            "REQUIRED_EMPTY_TEXT", "MEDIUM", r.column, r.table, [r.column],
+            "Not NULL, yet blank text in a required column usually means incomplete data.",
+            f"Required text column '{r.table}.{r.column}' is blank in ", " row(s).",
+            self.texts.blanks(r.table, r.column),
+        )
+
+    def fk_nulls(self, fk: ForeignKey) -> int:
+        impact, reason = _fk_impact(
+            fk, "HIGH", "The schema allows it, but rows without the relation may lack their parent.", self.audit
+        )
+        return self._add(
+            "FK_NULL_RELATION", impact, fk.name, fk.table, fk.columns, reason,
+            f"Relation '{fk.name}' of '{fk.table}' has ", " row(s) with NULL in its columns.",
+            self.texts.nulls(fk.table, fk.columns),
+        )
+
+    def orphans(self, fk: ForeignKey) -> int:
+        impact, reason = _fk_impact(fk, "CRITICAL", "These rows break the foreign key.", self.audit)
+        return self._add(
+            "FK_ORPHAN_ROWS", impact, fk.name, fk.table, fk.columns, reason, f"Relation '{fk.name}' has ",
+            f" row(s) in '{fk.table}' without a parent in '{fk.parent}'.", self.texts.orphans(fk),
+            self.texts.orphan_fix(fk),
+        )
+
+    def duplicates(self, key: Key) -> int:
+        return self._add(
+            "DUPLICATE_KEY_VALUES", "CRITICAL", key.name, key.table, key.columns,
+            "Duplicates break the key and may stand for one entity twice.",
+            f"Key '{key.name}' of '{key.table}' has ", " surplus duplicate row(s).", self.texts.duplicates(key),
+        )
+
+
+def predicate_counts(df: DataFrame, predicates: Mapping[int, str]) -> DataFrame:
+    """``rule_id, n``: rows of one table that meet each predicate, from one aggregate over one scan."""
+    counted = df.selectExpr(*[f"count_if({p}) AS c{i}" for i, p in predicates.items()])
+    pairs = ", ".join(f"{i}, c{i}" for i in predicates)
+    return counted.selectExpr(f"stack({len(predicates)}, {pairs}) AS (rule_id, n)")
 
 
 def parent_lookup(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
@@ -153,17 +169,9 @@ def parent_lookup(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFr
     return counts.join(keys, on, "left_anti")
 
 
-def orphan_findings(
-    child: DataFrame, parent: DataFrame, fk: ForeignKey, schema: str = "public", audit: Sequence[str] = AUDIT_COLUMNS
-) -> DataFrame:
-    texts = _Texts(schema)
-    impact, reason = _fk_impact(fk, "CRITICAL", "These rows break the foreign key.", audit)
-    counted = parent_lookup(child, fk, parent).agg(F.coalesce(F.sum("rows_per_key"), F.lit(0)).alias("n"))
-    return counted.select(_finding(
-        "FK_ORPHAN_ROWS", impact, fk.name, fk.table, fk.columns, reason,
-        f"Relation '{fk.name}' has ", f" row(s) in '{fk.table}' without a parent in '{fk.parent}'.", F.col("n"),
-        texts.orphans(fk), texts.orphan_fix(fk),
-    ).alias("f")).select("f.*")
+def orphan_count(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
+    """``n``: rows of the child whose complete key no parent has."""
+    return parent_lookup(child, fk, parent).selectExpr("coalesce(sum(rows_per_key), 0) AS n")
 
 
 def duplicate_groups(df: DataFrame, key: Key) -> DataFrame:
@@ -173,14 +181,9 @@ def duplicate_groups(df: DataFrame, key: Key) -> DataFrame:
     return grouped.filter("duplicate_rows > 1")
 
 
-def duplicate_findings(df: DataFrame, key: Key, schema: str = "public") -> DataFrame:
-    counted = duplicate_groups(df, key).agg(F.coalesce(F.sum(F.col("duplicate_rows") - 1), F.lit(0)).alias("n"))
-    return counted.select(_finding(
-        "DUPLICATE_KEY_VALUES", "CRITICAL", key.name, key.table, key.columns,
-        "Duplicates break the key and may stand for one entity twice.",
-        f"Key '{key.name}' of '{key.table}' has ", " surplus duplicate row(s).", F.col("n"),
-        _Texts(schema).duplicates(key),
-    ).alias("f")).select("f.*")
+def duplicate_count(df: DataFrame, key: Key) -> DataFrame:
+    """``n``: rows beyond the first of each key value."""
+    return duplicate_groups(df, key).selectExpr("coalesce(sum(duplicate_rows - 1), 0) AS n")
 
 
 def check(
@@ -192,23 +195,40 @@ def check(
     Rules about tables or columns the side does not have are skipped.
     """
     rules = applicable(tables, rules)
+    known = _Rules(schema, audit)
     parts: list[DataFrame] = []
     for table in sorted(tables):
-        profile = table_profile(tables[table], table, rules, schema, audit, kinds)
-        if profile is not None:
-            parts.append(profile)
+        predicates: dict[int, str] = {}
+        for r in (r for r in rules.required if r.table == table):
+            if "REQUIRED_NULL_VALUES" in kinds:
+                predicates[known.nulls(r)] = null_predicate([r.column])
+            if r.text and "REQUIRED_EMPTY_TEXT" in kinds:
+                predicates[known.blanks(r)] = blank_predicate(r.column)
+        for fk in (f for f in rules.foreign_keys if f.table == table):
+            if fk.source_nullable and "FK_NULL_RELATION" in kinds:
+                predicates[known.fk_nulls(fk)] = null_predicate(fk.columns)
+        if predicates:
+            parts.append(predicate_counts(tables[table], predicates))
     if "FK_ORPHAN_ROWS" in kinds:
-        parts += [
-            orphan_findings(tables[fk.table], tables[fk.parent], fk, schema, audit)
-            for fk in rules.foreign_keys
-            if fk.parent in tables and set(fk.parent_columns) <= set(tables[fk.parent].columns)
-        ]
+        for fk in rules.foreign_keys:
+            if fk.parent in tables and set(fk.parent_columns) <= set(tables[fk.parent].columns):
+                counted = orphan_count(tables[fk.table], tables[fk.parent], fk)
+                parts.append(counted.selectExpr(f"{known.orphans(fk)} AS rule_id", "n"))
     if "DUPLICATE_KEY_VALUES" in kinds:
-        parts += [duplicate_findings(tables[k.table], k, schema) for k in rules.keys]
+        for key in rules.keys:
+            counted = duplicate_count(tables[key.table], key)
+            parts.append(counted.selectExpr(f"{known.duplicates(key)} AS rule_id", "n"))
     if not parts:
         raise ValueError("No rule applies to the given tables.")
-    found = reduce(DataFrame.unionByName, parts)
-    return found if include_zero else found.filter("count > 0")
+    counts = reduce(DataFrame.unionAll, parts)
+    if not include_zero:
+        counts = counts.filter("n > 0")
+    # One row per rule on both sides.
+    texts = counts.sparkSession.createDataFrame(known.rows, META_DDL)
+    found = counts.join(F.broadcast(texts), "rule_id").withColumnRenamed("n", "count")
+    return found.withColumn("description", F.concat("before", F.col("count").cast("string"), "after")).select(
+        *FINDING_COLUMNS
+    )
 
 
 def applicable(tables: Mapping[str, DataFrame], rules: RuleSet) -> RuleSet:
@@ -291,7 +311,7 @@ def review_nulls(df: DataFrame, columns: Sequence[str], limit: int = REVIEW_LIMI
 
 
 def review_blanks(df: DataFrame, column: str, limit: int = REVIEW_LIMIT) -> DataFrame:
-    return _first(df.filter(is_blank(column)), limit)
+    return _first(df.filter(blank_predicate(column)), limit)
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, fk: ForeignKey, hot_rows: int = HOT_ROWS) -> DataFrame:
