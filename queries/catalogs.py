@@ -692,12 +692,12 @@ def normalize_sql(spark: SparkSession, folder: str) -> DataFrame:
     target = catalogs(spark, folder, "views", "columns")[1]
     views = target.views.select(
         F.lit("v").alias("kind"), F.col("view_name").alias("name"),
-        text.normalize_sql(F.col("view_definition")).alias("normalized"),
+        text.normalize_sql("view_definition").alias("normalized"),
     )
     return views.unionByName(
         target.columns.select(
             F.lit("c").alias("kind"), F.concat_ws(".", "table_name", "column_name").alias("name"),
-            text.normalize_sql(F.col("column_default")).alias("normalized"),
+            text.normalize_sql("column_default").alias("normalized"),
         )
     )
 
@@ -730,7 +730,7 @@ def quote_identifiers(spark: SparkSession, folder: str) -> DataFrame:
 def type_text(spark: SparkSession, folder: str) -> DataFrame:
     source = catalogs(spark, folder, "columns")[0]
     return source.columns.select(
-        "table_name", "column_name", ddl.type_text(F.col).alias("type"), ddl.column_clause(F.col).alias("clause")
+        "table_name", "column_name", ddl.type_text().alias("type"), ddl.column_clause().alias("clause")
     )
 
 

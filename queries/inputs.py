@@ -294,12 +294,16 @@ SPARK_TYPES = {"ints": "ARRAY<INT>", "longs": "ARRAY<BIGINT>", "strings": "ARRAY
 DUCKDB_TYPES = {"ints": "INT[]", "longs": "BIGINT[]", "strings": "VARCHAR[]"}
 
 
-def frame(spark: SparkSession, folder: str, text: str) -> DataFrame:
-    """Run a derivation over the sample tables in ``folder``."""
+def frame(spark: SparkSession, folder: str, text: str, loaded: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run a derivation over the sample tables in ``folder``; ``loaded`` keeps tables between calls."""
+    loaded = {} if loaded is None else loaded
     for name, spelling in SPARK_TYPES.items():
         text = text.replace(f"{{{name}}}", spelling)
     names = sorted(set(re.findall(r"\{(\w+)\}", text)))
-    return spark.sql(text, **{n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
+    for n in names:
+        if n not in loaded:
+            loaded[n] = spark.read.parquet(f"{folder}/{n}.parquet")
+    return spark.sql(text, **{n: loaded[n] for n in names})
 
 
 def oracle(text: str) -> str:
@@ -312,16 +316,18 @@ def oracle(text: str) -> str:
 def catalogs(spark: SparkSession, folder: str, *kinds: str) -> tuple[Catalog, Catalog]:
     """Source and target snapshots with the given kinds of objects (all of them by default)."""
     kinds = kinds or tuple(CATALOG_DDL)
+    loaded: dict[str, DataFrame] = {}
     return tuple(
         Catalog.from_snapshot(
-            spark, {k: frame(spark, folder, SNAPSHOT[k](target)) for k in kinds}, env="", schema="public"
+            spark, {k: frame(spark, folder, SNAPSHOT[k](target), loaded) for k in kinds}, env="", schema="public"
         )
         for target in (False, True)
     )
 
 
 def raw(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    return {n: frame(spark, folder, RAW[n]) for n in names or RAW}
+    loaded: dict[str, DataFrame] = {}
+    return {n: frame(spark, folder, RAW[n], loaded) for n in names or RAW}
 
 
 def ctes(*kinds: str) -> str:

@@ -1,119 +1,121 @@
 """Rendering of column types, column clauses and commented script blocks.
 
-The functions take ``c``, which maps a field name of the catalog's column table to a Column,
-so that they serve a plain DataFrame as well as one side of a join.
+The functions on columns of the catalog take a prefix, '' for a plain DataFrame or ``s.`` for one side
+of a join, and build one SQL expression each: a plan made of few large expressions is built faster
+than one put together call by call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablecheck.functions.text import normalize_sql, qualify, quote_ident, sql_literal
-
-Fields = Callable[[str], Column]
-
-
-def fields(alias: str | None = None) -> Fields:
-    return (lambda n: F.col(f"{alias}.{n}")) if alias else F.col
+from tablecheck.functions.text import quote_ident_sql, normalize_sql_text, qualify, quote_ident
 
 
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def type_text(c: Fields) -> Column:
+def _type(p: str) -> str:
     """The engine's own rendering when there is one, else one built from the type's parts."""
-    kind = c("data_type")
-    length = F.coalesce(F.concat(F.lit("("), c("character_maximum_length").cast("string"), F.lit(")")), F.lit(""))
-    scale = F.coalesce(F.concat(F.lit(","), c("numeric_scale").cast("string")), F.lit(""))
-    digits = F.concat(F.lit("("), c("numeric_precision").cast("string"), scale, F.lit(")"))
-    built = (
-        F.when(kind == "character varying", F.concat(F.lit("VARCHAR"), length))
-        .when(kind == "character", F.concat(F.lit("CHAR"), length))
-        .when(kind == "numeric", F.concat(F.lit("NUMERIC"), text_or_empty(digits)))
-        .when(kind == "timestamp without time zone", F.lit("TIMESTAMP"))
-        .when(kind == "timestamp with time zone", F.lit("TIMESTAMPTZ"))
-        .when(kind == "USER-DEFINED", quote_ident(c("udt_name")))
-        .when(kind == "ARRAY", F.concat(F.regexp_replace(c("udt_name"), "^([^_]*)_", "$1"), F.lit("[]")))
-        .otherwise(F.upper(kind))
-    )
-    return F.when(text_or_empty(c("formatted_type")) != "", c("formatted_type")).otherwise(built)
+    length = f"coalesce(concat('(', CAST({p}character_maximum_length AS STRING), ')'), '')"
+    scale = f"coalesce(concat(',', CAST({p}numeric_scale AS STRING)), '')"
+    digits = f"coalesce(concat('(', CAST({p}numeric_precision AS STRING), {scale}, ')'), '')"
+    built = f"""CASE {p}data_type
+        WHEN 'character varying' THEN concat('VARCHAR', {length})
+        WHEN 'character' THEN concat('CHAR', {length})
+        WHEN 'numeric' THEN concat('NUMERIC', {digits})
+        WHEN 'timestamp without time zone' THEN 'TIMESTAMP'
+        WHEN 'timestamp with time zone' THEN 'TIMESTAMPTZ'
+        WHEN 'USER-DEFINED' THEN {quote_ident_sql(p + 'udt_name')}
+        WHEN 'ARRAY' THEN concat(regexp_replace({p}udt_name, '^([^_]*)_', '$1'), '[]')
+        ELSE upper({p}data_type) END"""
+    return f"CASE WHEN coalesce({p}formatted_type, '') <> '' THEN {p}formatted_type ELSE {built} END"
 
 
-def is_generated(c: Fields) -> Column:
-    stored = c("generated_kind").eqNullSafe("s")
-    return stored & (text_or_empty(c("generation_expression")) != "")
+def _generated(p: str) -> str:
+    return f"({p}generated_kind <=> 's' AND coalesce({p}generation_expression, '') <> '')"
 
 
-def generated_clause(c: Fields) -> Column:
-    clause = F.concat(F.lit(" GENERATED ALWAYS AS ("), c("generation_expression"), F.lit(") STORED"))
-    return F.when(is_generated(c), clause).otherwise("")
+def _generated_clause(p: str) -> str:
+    return f"CASE WHEN {_generated(p)} THEN concat(' GENERATED ALWAYS AS (', {p}generation_expression, ') STORED') ELSE '' END"
 
 
-def default_clause(c: Fields) -> Column:
+def _default_clause(p: str) -> str:
     """DEFAULT, unless the column is generated (a generated column has no default)."""
-    clause = F.concat(F.lit(" DEFAULT "), c("column_default"))
-    return F.when(is_generated(c), "").otherwise(text_or_empty(clause))
+    return f"CASE WHEN {_generated(p)} THEN '' ELSE coalesce(concat(' DEFAULT ', {p}column_default), '') END"
+
+
+def _identity_clause(p: str) -> str:
+    given = f"coalesce({p}identity_generation, '') <> ''"
+    return f"CASE WHEN {given} THEN concat(' GENERATED ', {p}identity_generation, ' AS IDENTITY') ELSE '' END"
+
+
+def _null_clause(p: str) -> str:
+    return f"CASE WHEN {p}is_nullable = 'NO' THEN ' NOT NULL' ELSE '' END"
 
 
-def identity_clause(c: Fields) -> Column:
-    clause = F.concat(F.lit(" GENERATED "), c("identity_generation"), F.lit(" AS IDENTITY"))
-    return F.when(text_or_empty(c("identity_generation")) != "", clause).otherwise("")
+def type_text(p: str = "") -> Column:
+    return F.expr(_type(p))
 
 
-def null_clause(c: Fields) -> Column:
-    return F.when(c("is_nullable") == "NO", " NOT NULL").otherwise("")
+def generated_clause(p: str = "") -> Column:
+    return F.expr(_generated_clause(p))
 
 
-def column_clause(c: Fields) -> Column:
+def null_clause(p: str = "") -> Column:
+    return F.expr(_null_clause(p))
+
+
+def column_clause(p: str = "") -> Column:
     """A column as it stands in CREATE TABLE or ADD COLUMN."""
-    return F.concat(
-        quote_ident(c("column_name")), F.lit(" "), type_text(c), generated_clause(c), default_clause(c),
-        identity_clause(c), null_clause(c),
-    )
+    parts = (_type, _generated_clause, _default_clause, _identity_clause, _null_clause)
+    rendered = ", ".join(part(p) for part in parts)
+    return F.expr(f"concat({quote_ident_sql(p + 'column_name')}, ' ', {rendered})")
 
 
-def column_signature(c: Fields) -> Column:
+SIGNATURE_PARTS = (
+    "type", "nullable", "default", "identity", "identity_generation", "generated", "expression", "collation", "comment",
+)
+
+
+def column_signature(p: str = "") -> Column:
     """Nine parts that must agree for two columns to count as the same."""
-    return F.struct(
-        type_text(c).alias("type"),
-        c("is_nullable").alias("nullable"),
-        normalize_sql(c("column_default")).alias("default"),
-        text_or_empty(c("identity_kind")).alias("identity"),
-        text_or_empty(c("identity_generation")).alias("identity_generation"),
-        text_or_empty(c("generated_kind")).alias("generated"),
-        normalize_sql(c("generation_expression")).alias("expression"),
-        text_or_empty(c("collation_name")).alias("collation"),
-        text_or_empty(c("comment")).alias("comment"),
+    values = (
+        _type(p), f"{p}is_nullable", normalize_sql_text(f"{p}column_default"), f"coalesce({p}identity_kind, '')",
+        f"coalesce({p}identity_generation, '')", f"coalesce({p}generated_kind, '')",
+        normalize_sql_text(f"{p}generation_expression"), f"coalesce({p}collation_name, '')", f"coalesce({p}comment, '')",
     )
+    pairs = ", ".join(f"'{name}', {value}" for name, value in zip(SIGNATURE_PARTS, values))
+    return F.expr(f"named_struct({pairs})")
 
 
-def signature_text(signature: Column) -> Column:
-    names = (
-        "type", "nullable", "default", "identity", "identity_generation", "generated", "expression",
-        "collation", "comment",
-    )
-    return F.concat_ws(" | ", *[text_or_empty(signature[n]) for n in names])
+def signature_text(signature: str) -> Column:
+    parts = ", ".join(f"coalesce({signature}.{n}, '')" for n in SIGNATURE_PARTS)
+    return F.expr(f"concat_ws(' | ', {parts})")
+
 
+def alter_column(schema: str, table: str, p: str = "") -> Column:
+    """Statements that give an existing column the type, default, nullability and comment of the row.
 
-def alter_column(schema: Column, table: Column, c: Fields) -> Column:
-    """Statements that give an existing column the type, default, nullability and comment of ``c``."""
-    name = quote_ident(c("column_name"))
-    target = qualify(schema, table)
-    head = F.concat(F.lit("ALTER TABLE "), target, F.lit(" ALTER COLUMN "), name)
-    retype = F.concat(head, F.lit(" TYPE "), type_text(c), F.lit(" USING "), name, F.lit("::"), type_text(c), F.lit(";"))
-    default = F.when(c("column_default").isNull(), F.concat(head, F.lit(" DROP DEFAULT;"))).otherwise(
-        F.concat(head, F.lit(" SET DEFAULT "), c("column_default"), F.lit(";"))
+    ``schema`` and ``table`` are SQL expressions.
+    """
+    name = quote_ident_sql(p + "column_name")
+    target = f"concat({quote_ident_sql(schema)}, '.', {quote_ident_sql(table)})"
+    head = f"concat('ALTER TABLE ', {target}, ' ALTER COLUMN ', {name})"
+    retype = f"concat({head}, ' TYPE ', {_type(p)}, ' USING ', {name}, '::', {_type(p)}, ';')"
+    default = (
+        f"CASE WHEN {p}column_default IS NULL THEN concat({head}, ' DROP DEFAULT;') "
+        f"ELSE concat({head}, ' SET DEFAULT ', {p}column_default, ';') END"
     )
-    nullable = F.concat(head, F.when(c("is_nullable") == "NO", " SET NOT NULL;").otherwise(" DROP NOT NULL;"))
-    comment = F.when(
-        text_or_empty(c("comment")) != "",
-        F.concat(F.lit("COMMENT ON COLUMN "), target, F.lit("."), name, F.lit(" IS "), sql_literal(c("comment")), F.lit(";")),
+    nullable = f"concat({head}, CASE WHEN {p}is_nullable = 'NO' THEN ' SET NOT NULL;' ELSE ' DROP NOT NULL;' END)"
+    literal = f"concat('\\'', replace({p}comment, '\\'', '\\'\\''), '\\'')"
+    comment = (
+        f"CASE WHEN coalesce({p}comment, '') <> '' "
+        f"THEN concat('COMMENT ON COLUMN ', {target}, '.', {name}, ' IS ', {literal}, ';') END"
     )
-    return F.concat_ws("\n", retype, default, nullable, comment)
+    return F.expr(f"concat_ws('\\n', {retype}, {default}, {nullable}, {comment})")
 
 
 def create_table(schema: Column, table: Column, clauses: Column) -> Column:

@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 _SPACE = r"[\s\x1c-\x1f]"
 
 
-def normalize_sql(text: Column) -> Column:
-    """Fold away differences of spacing, letter case and trailing semicolons; NULL becomes ''."""
-    stripped = F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
-    no_end = F.regexp_replace(stripped, r";+\z", "")
-    single = F.regexp_replace(no_end, rf"(?U){_SPACE}+", " ")
-    return F.coalesce(F.lower(F.trim(single)), F.lit(""))
+def normalize_sql_text(expression: str) -> str:
+    """SQL that folds away differences of spacing, letter case and trailing semicolons; NULL becomes ''."""
+    stripped = rf"regexp_replace({expression}, r'(?U)^{_SPACE}+|{_SPACE}+\z', '')"
+    no_end = rf"regexp_replace({stripped}, r';+\z', '')"
+    single = f"regexp_replace({no_end}, r'(?U){_SPACE}+', ' ')"
+    return f"coalesce(lower(trim({single})), '')"
+
+
+def normalize_sql(column: str) -> Column:
+    """As :func:`normalize_sql_text`, for a column given by name or as a SQL expression."""
+    return F.expr(normalize_sql_text(column))
 
 
 def quote_ident(name: Column, engine: str = "postgresql") -> Column:
@@ -26,6 +31,11 @@ def quote_ident(name: Column, engine: str = "postgresql") -> Column:
     return F.concat(F.lit(opening), doubled, F.lit(closing))
 
 
+def quote_ident_sql(expression: str) -> str:
+    """SQL that puts an identifier in double quotes."""
+    return f"concat('\"', replace({expression}, '\"', '\"\"'), '\"')"
+
+
 def quote_name(name: str, engine: str = "postgresql") -> str:
     """As :func:`quote_ident`, for names known while building the plan."""
     opening, closing = {"mysql": ("`", "`"), "sqlserver": ("[", "]")}.get(engine, ('"', '"'))
@@ -44,6 +54,11 @@ def sql_literal(text: Column) -> Column:
     return F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
 
 
+def sql_string(value: str) -> str:
+    """A Python string as a literal inside a Spark SQL expression."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def constraint_text(definition: Column) -> Column:
     """Constraint text with two spellings of casts folded, spaces dropped, lower case."""
     folded = F.replace(definition, F.lit("::character varying::text"), F.lit("::character varying"))

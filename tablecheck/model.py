@@ -114,7 +114,8 @@ class Catalog:
         for kind, ddl in CATALOG_DDL.items():
             part = parts.get(kind)
             if part is None:
-                frames[kind] = spark.createDataFrame([], ddl)
+                empty = [f"CAST(NULL AS {kind_of}) AS {name}" for name, kind_of in (p.split() for p in ddl.split(", "))]
+                frames[kind] = spark.range(0).selectExpr(*empty)
             elif "env" in part.columns:
                 frames[kind] = part.filter(F.col("env") == env).drop("env")
             else:

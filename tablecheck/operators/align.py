@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.functions import ddl
-from tablecheck.functions.text import constraint_text, qualify, quote_ident
+from tablecheck.functions.text import constraint_text, qualify, quote_ident, sql_string
 from tablecheck.model import Catalog, ForeignKey, SyncResult
 from tablecheck.operators.diff import column_gate
-from tablecheck.operators.drift import _text, move_index
+from tablecheck.operators.drift import _side, _text, move_index
 from tablecheck.operators.integrity import parent_lookup
 from tablecheck.operators.structure import index_objects, table_constraints, table_ddl
 from tablecheck.sources.store import TableStore
@@ -27,7 +27,8 @@ def sync_plan(source: Catalog, target: Catalog, target_table: str | None = None)
     """
     c = F.col
     schema = F.lit(target.schema)
-    table = F.lit(target_table) if target_table else c("table_name")
+    name_sql = sql_string(target_table) if target_table else "table_name"
+    table = F.expr(name_sql)
     known = target.tables.select("table_name")
 
     def shared(df: DataFrame) -> DataFrame:
@@ -43,8 +44,8 @@ def sync_plan(source: Catalog, target: Catalog, target_table: str | None = None)
     absent = Catalog(**{**source.__dict__, "schema": target.schema, "tables": source.tables.join(known, "table_name", "left_anti")})
     created = action(table_ddl(absent), 0, F.lit(0), "CREATE_TABLE", c("table_name"), c("ddl"))
 
-    sides = [shared(cat.columns).withColumn("sig", ddl.column_signature(c)) for cat in (source, target)]
-    s, t = ddl.fields("s"), ddl.fields("t")
+    sides = [shared(cat.columns).withColumn("sig", ddl.column_signature()) for cat in (source, target)]
+    s, t = _side("s"), _side("t")
     columns = sides[0].alias("s").join(
         sides[1].select("table_name", "column_name", "sig").alias("t"),
         (s("table_name") == t("table_name")) & (s("column_name") == t("column_name")), "left",
@@ -52,8 +53,8 @@ def sync_plan(source: Catalog, target: Catalog, target_table: str | None = None)
     new = c("t_sig").isNull()
     columns = action(
         columns, 1, c("ordinal_position"), F.when(new, "ADD_COLUMN").otherwise("ALTER_COLUMN"), c("column_name"),
-        F.when(new, _text("ALTER TABLE ", qualify(schema, table), " ADD COLUMN ", ddl.column_clause(c), ";"))
-        .otherwise(ddl.alter_column(schema, table, c)),
+        F.when(new, _text("ALTER TABLE ", qualify(schema, table), " ADD COLUMN ", ddl.column_clause(), ";"))
+        .otherwise(ddl.alter_column(sql_string(target.schema), name_sql)),
     )
 
     wanted = shared(table_constraints(source)).withColumn("sig", constraint_text(c("definition")))

@@ -7,6 +7,7 @@ reported here; see :mod:`tablecheck.operators.structure` for the comparison in b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import ddl
 from tablecheck.functions.ddl import text_or_empty
-from tablecheck.functions.text import normalize_sql, qualify, quote_ident, strip_end
+from tablecheck.functions.text import normalize_sql, qualify, quote_ident, sql_string, strip_end
 from tablecheck.model import DIFF_COLUMNS, Catalog, impact_rank
 
 # Order in which a full run reports the kinds of difference.
@@ -30,6 +31,14 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+Fields = Callable[[str], Column]
+
+
+def _side(alias: str) -> Fields:
+    """Columns of one side of a join by name."""
+    return lambda name: F.col(f"{alias}.{name}")
+
+
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
@@ -116,18 +125,19 @@ def extension_drift(source: Catalog, target: Catalog) -> DataFrame:
     )
 
 
-def function_key(c: ddl.Fields) -> Column:
+def function_key() -> Column:
+    c = F.col
     return _text(c("schema_name"), ".", c("function_name"), "(", c("identity_arguments"), ")")
 
 
 def function_drift(source: Catalog, target: Catalog) -> DataFrame:
     def prepared(df: DataFrame) -> DataFrame:
         return df.select(
-            function_key(F.col).alias("key"),
+            function_key().alias("key"),
             "definition",
             F.struct(
                 text_or_empty(F.col("return_type")), text_or_empty(F.col("language")),
-                normalize_sql(F.col("definition")), text_or_empty(F.col("volatility")),
+                normalize_sql("definition"), text_or_empty(F.col("volatility")),
                 _flag(F.col("security_definer")), _flag(F.col("strict_null_input")),
             ).alias("sig"),
         )
@@ -154,13 +164,13 @@ def _state(target_key: str) -> Column:
     return F.when(F.col(target_key).isNull(), "missing").otherwise("different")
 
 
-def sequence_text(c: ddl.Fields) -> Column:
+def sequence_text(c: Fields) -> Column:
     parts = ("data_type", "start_value", "increment", "minimum_value", "maximum_value", "cache_size", "cycle",
              "owner_table", "owner_column")
     return F.concat_ws(", ", *[_text(f"{p}=", text_or_empty(c(p).cast("string"))) for p in parts])
 
 
-def sequence_statements(schema: Column, c: ddl.Fields, exists: Column) -> Column:
+def sequence_statements(schema: Column, c: Fields, exists: Column) -> Column:
     """CREATE for a missing sequence, ALTER for a different one, and its owner when it has one."""
     name = qualify(schema, c("sequence_name"))
     options = _text(
@@ -195,7 +205,7 @@ def sequence_drift(source: Catalog, target: Catalog) -> DataFrame:
         )
 
     joined = _matched(prepared(source.sequences), prepared(target.sequences), ["sequence_name"])
-    s, t = ddl.fields("s"), ddl.fields("t")
+    s, t = _side("s"), _side("t")
     present = t("sequence_name").isNotNull()
     return diff_rows(
         joined, "SEQUENCE_MISSING_OR_DIFFERENT", "HIGH", s("sequence_name"),
@@ -210,7 +220,7 @@ def table_columns_text(columns: DataFrame) -> DataFrame:
     """Per table its column clauses in order; a group holds no more than one table's columns."""
     packed = F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name", "clause")))
     return (
-        columns.select("table_name", "ordinal_position", "column_name", ddl.column_clause(F.col).alias("clause"))
+        columns.select("table_name", "ordinal_position", "column_name", ddl.column_clause().alias("clause"))
         .groupBy("table_name")
         .agg(packed.alias("packed"))
         .select("table_name", F.transform("packed", lambda x: x["clause"]).alias("clauses"))
@@ -230,7 +240,7 @@ def table_drift(source: Catalog, target: Catalog) -> DataFrame:
     )
 
 
-def missing_column_impact(c: ddl.Fields) -> tuple[Column, Column]:
+def missing_column_impact(c: Fields) -> tuple[Column, Column]:
     """Impact and reason of a missing column, by whether it is required and has a default."""
     required, has_default = c("is_nullable") == "NO", c("column_default").isNotNull()
     impact = (
@@ -260,9 +270,9 @@ def dependent_indexes(indexes: Column, column: Column) -> Column:
     )
 
 
-def recreate_generated(schema: Column, table: Column, c: ddl.Fields, indexes: Column) -> Column:
+def recreate_generated(schema: Column, table: Column, p: str, indexes: Column) -> Column:
     """A plain column cannot become a generated one: drop it and its indexes, then add both again."""
-    column, full = quote_ident(c("column_name")), qualify(schema, table)
+    column, full = quote_ident(F.col(f"{p}column_name")), qualify(schema, table)
     drops = F.transform(
         indexes, lambda i: F.concat(F.lit("DROP INDEX IF EXISTS "), qualify(schema, i["index_name"]), F.lit(";"))
     )
@@ -273,8 +283,8 @@ def recreate_generated(schema: Column, table: Column, c: ddl.Fields, indexes: Co
         F.lit("-- Check what depends on it before running this in production."),
         drops,
         _text("ALTER TABLE ", full, " DROP COLUMN IF EXISTS ", column, ";"),
-        _text("ALTER TABLE ", full, " ADD COLUMN ", column, " ", ddl.type_text(c), ddl.generated_clause(c),
-              ddl.null_clause(c), ";"),
+        _text("ALTER TABLE ", full, " ADD COLUMN ", column, " ", ddl.type_text(p), ddl.generated_clause(p),
+              ddl.null_clause(p), ";"),
         creates,
     )
 
@@ -282,8 +292,8 @@ def recreate_generated(schema: Column, table: Column, c: ddl.Fields, indexes: Co
 def column_drift(source: Catalog, target: Catalog) -> DataFrame:
     """COLUMN_MISSING and COLUMN_DIFFERENT from a single join of the two column tables."""
     present = source.columns.join(target.tables.select("table_name"), "table_name", "left_semi")
-    sides = [df.withColumn("sig", ddl.column_signature(F.col)) for df in (present, target.columns)]
-    s, t = ddl.fields("s"), ddl.fields("t")
+    sides = [df.withColumn("sig", ddl.column_signature()) for df in (present, target.columns)]
+    s, t = _side("s"), _side("t")
     joined = _matched(sides[0], sides[1], ["table_name", "column_name"])
     missing = t("column_name").isNull()
     generated = ~missing & s("sig.generated").eqNullSafe("s") & (
@@ -307,21 +317,22 @@ def column_drift(source: Catalog, target: Catalog) -> DataFrame:
         .otherwise("The column's full definition does not match the source."),
         F.when(missing, _text("Column '", place, "' is missing in the target."))
         .otherwise(_text("Column '", place, "' has another definition in the target.")),
-        F.when(missing, _text("ALTER TABLE ", qualify(schema, table), " ADD COLUMN ", ddl.column_clause(s), ";"))
-        .when(generated, recreate_generated(schema, table, s, used))
-        .otherwise(ddl.alter_column(schema, table, s)),
-        F.when(~missing, ddl.signature_text(s("sig"))),
-        F.when(~missing, ddl.signature_text(t("sig"))),
+        F.when(missing, _text("ALTER TABLE ", qualify(schema, table), " ADD COLUMN ", ddl.column_clause("s."), ";"))
+        .when(generated, recreate_generated(schema, table, "s.", used))
+        .otherwise(ddl.alter_column(sql_string(target.schema), "s.table_name", "s.")),
+        F.when(~missing, ddl.signature_text("s.sig")),
+        F.when(~missing, ddl.signature_text("t.sig")),
         table=table,
     )
 
 
-def constraint_signature(c: ddl.Fields, scope: str = "table") -> Column:
+def constraint_signature(scope: str = "table") -> Column:
     """Foreign keys by relation, keys by columns, the rest by definition.
 
     ``scope="table"`` compares within a table. ``scope="schema"`` lets the same constraint on any
     table stand in.
     """
+    c = F.col
     kind = c("constraint_type")
     key, fk = kind.isin("p", "u"), kind == "f"
     other = ~key & ~fk
@@ -334,7 +345,7 @@ def constraint_signature(c: ddl.Fields, scope: str = "table") -> Column:
         F.when(fk, _array(c("referenced_columns"))).otherwise(_array(F.lit(None))).alias("parent_columns"),
         F.when(fk, text_or_empty(c("on_update"))).otherwise("").alias("on_update"),
         F.when(fk, text_or_empty(c("on_delete"))).otherwise("").alias("on_delete"),
-        F.when(other, normalize_sql(c("definition"))).otherwise("").alias("definition"),
+        F.when(other, normalize_sql("definition")).otherwise("").alias("definition"),
         (~key & _flag(c("deferrable"))).alias("deferrable"),
         (~key & _flag(c("initially_deferred"))).alias("deferred"),
     )
@@ -342,8 +353,8 @@ def constraint_signature(c: ddl.Fields, scope: str = "table") -> Column:
 
 def constraint_drift(source: Catalog, target: Catalog, scope: str = "table") -> DataFrame:
     c = F.col
-    wanted = source.constraints.filter(c("constraint_type") != "n").withColumn("sig", constraint_signature(c, scope))
-    found = target.constraints.select(constraint_signature(c, scope).alias("sig")).distinct()
+    wanted = source.constraints.filter(c("constraint_type") != "n").withColumn("sig", constraint_signature(scope))
+    found = target.constraints.select(constraint_signature(scope).alias("sig")).distinct()
     # A unique index over all rows on the same columns does the work of a key.
     stand_in = (
         target.indexes.filter(_flag(c("is_unique")) & (text_or_empty(c("predicate")) == ""))
@@ -371,19 +382,20 @@ def constraint_drift(source: Catalog, target: Catalog, scope: str = "table") ->
     )
 
 
-def index_signature(c: ddl.Fields, ignore_name: bool = False) -> Column:
+def index_signature(ignore_name: bool = False) -> Column:
     """``ignore_name`` leaves out the full definition, which contains the index's own name."""
+    c = F.col
     parts = [
         text_or_empty(c("table_name")).alias("table"),
         text_or_empty(c("method")).alias("method"),
         _flag(c("is_unique")).alias("is_unique"),
         _array(c("columns")).alias("columns"),
-        normalize_sql(c("expressions")).alias("expressions"),
-        normalize_sql(c("predicate")).alias("predicate"),
+        normalize_sql("expressions").alias("expressions"),
+        normalize_sql("predicate").alias("predicate"),
         _array(c("opclasses")).alias("opclasses"),
     ]
     if not ignore_name:
-        parts.append(normalize_sql(c("indexdef")).alias("indexdef"))
+        parts.append(normalize_sql("indexdef").alias("indexdef"))
     return F.struct(*parts)
 
 
@@ -404,8 +416,8 @@ def index_drift(source: Catalog, target: Catalog, ignore_name: bool = False) ->
     named = source.constraints.select(c("constraint_name").alias("index_name")).distinct()
     named = named.withColumn("backs", F.lit(True))
     wanted = source.indexes.join(named, "index_name", "left").filter(c("backs").isNull())
-    wanted = wanted.withColumn("sig", index_signature(c, ignore_name))
-    found = target.indexes.select(index_signature(c, ignore_name).alias("sig")).distinct()
+    wanted = wanted.withColumn("sig", index_signature(ignore_name))
+    found = target.indexes.select(index_signature(ignore_name).alias("sig")).distinct()
     missing = wanted.join(found, "sig", "left_anti")
     return diff_rows(
         missing, "INDEX_MISSING_OR_DIFFERENT",
@@ -419,7 +431,7 @@ def index_drift(source: Catalog, target: Catalog, ignore_name: bool = False) ->
 
 def _view_drift(source: DataFrame, target: DataFrame, schema: str, materialized: bool) -> DataFrame:
     def prepared(df: DataFrame) -> DataFrame:
-        return df.withColumn("sig", normalize_sql(F.col("view_definition")))
+        return df.withColumn("sig", normalize_sql("view_definition"))
 
     joined = _matched(prepared(source), prepared(target), ["view_name"])
     name, body = F.col("s.view_name"), F.col("s.view_definition")
@@ -453,7 +465,7 @@ def trigger_drift(source: Catalog, target: Catalog) -> DataFrame:
 
     def signature() -> Column:
         return F.struct(
-            text_or_empty(c("table_name")).alias("table"), normalize_sql(c("definition")).alias("definition"),
+            text_or_empty(c("table_name")).alias("table"), normalize_sql("definition").alias("definition"),
             *[text_or_empty(c(n)).alias(n) for n in
               ("enabled", "function_schema", "function_name", "function_arguments")],
         )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablecheck.functions import ddl
 from tablecheck.functions.text import constraint_text, strip_end
 from tablecheck.model import DIFF_COLUMNS, Catalog
-from tablecheck.operators.drift import _array, _text, diff_rows, table_columns_text
+from tablecheck.operators.drift import _array, _side, _text, diff_rows, table_columns_text
 
 
 def _shared(df: DataFrame, other: Catalog) -> DataFrame:
@@ -24,10 +24,10 @@ def _shared(df: DataFrame, other: Catalog) -> DataFrame:
 def columns_compared(source: Catalog, target: Catalog, names=("source", "target")) -> DataFrame:
     """COLUMN_MISSING, COLUMN_DIFFERENT and EXTRA_COLUMN from one full join."""
     sides = [
-        _shared(a.columns, b).select("table_name", "column_name", "is_nullable", ddl.column_signature(F.col).alias("sig"))
+        _shared(a.columns, b).select("table_name", "column_name", "is_nullable", ddl.column_signature().alias("sig"))
         for a, b in ((source, target), (target, source))
     ]
-    s, t = ddl.fields("s"), ddl.fields("t")
+    s, t = _side("s"), _side("t")
     on = (s("table_name") == t("table_name")) & (s("column_name") == t("column_name"))
     joined = sides[0].alias("s").join(sides[1].alias("t"), on, "full_outer")
     joined = joined.filter(~s("sig").eqNullSafe(t("sig")))
@@ -46,7 +46,7 @@ def columns_compared(source: Catalog, target: Catalog, names=("source", "target"
     )
     return diff_rows(
         joined, kind, impact, name, "", description, "",
-        F.when(~extra, ddl.signature_text(s("sig"))), F.when(~missing, ddl.signature_text(t("sig"))),
+        F.when(~extra, ddl.signature_text("s.sig")), F.when(~missing, ddl.signature_text("t.sig")),
         table=F.coalesce(s("table_name"), t("table_name")), stage=F.when(extra, 2).otherwise(1),
     )
 
@@ -55,7 +55,7 @@ def objects_compared(
     source: DataFrame, target: DataFrame, kind: str, stage: int, names=("source", "target")
 ) -> DataFrame:
     """Objects ``(table_name, name, sig, definition)`` matched by name first, else by signature."""
-    s, t = ddl.fields("s"), ddl.fields("t")
+    s, t = _side("s"), _side("t")
     on = (s("table_name") == t("table_name")) & (s("name") == t("name"))
     joined = source.alias("s").join(target.alias("t"), on, "full_outer")
     joined = joined.filter(~s("sig").eqNullSafe(t("sig")))
