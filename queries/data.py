@@ -323,8 +323,8 @@ def data_diff_rows(spark: SparkSession, folder: str) -> DataFrame:
 UNION ALL SELECT 'target', {_ORDER_TEXT} FROM (SELECT * FROM (SELECT * FROM {ORDERS_T} b EXCEPT ALL SELECT * FROM orders) y ORDER BY ALL LIMIT 20) t""",
 )
 def data_diff_samples(spark: SparkSession, folder: str) -> DataFrame:
-    bag = diff.bag_counts(*orders_pair(spark, folder))
-    parts = [diff.diff_samples(bag, side).select(F.lit(side).alias("side"), "*") for side in ("source", "target")]
+    excess = diff.excess_rows(diff.bag_counts(*orders_pair(spark, folder)))
+    parts = [diff.diff_samples(excess, side).select(F.lit(side).alias("side"), "*") for side in ("source", "target")]
     return _dates_as_text(parts[0].unionByName(parts[1]))
 
 

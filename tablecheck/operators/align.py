@@ -125,11 +125,9 @@ def align_schema(
     return df.select(*out, *[F.col(have[c]) for c in df.columns if c not in wanted])
 
 
-def align_result(
-    spark_plan: DataFrame, table: str, names=("source", "target")
-) -> SyncResult:
-    """Status of a schema alignment: nothing to do, or the number of statements applied."""
-    n = spark_plan.count()
+def align_result(plan: DataFrame, table: str, names=("source", "target")) -> SyncResult:
+    """Status of a schema alignment: nothing to do, or the number of statements of the plan."""
+    n = plan.count()
     if not n:
         return SyncResult(table, *names, "SCHEMA", "UNCHANGED", 0, 0, "The schema already matches.")
     return SyncResult(table, *names, "SCHEMA", "COMPLETED", n, 0, "The schema was aligned.")

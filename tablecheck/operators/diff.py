@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,12 +151,15 @@ def diff_counts(bag: DataFrame) -> DataFrame:
     return counted.withColumn("data_compared", F.lit(True)).withColumn("data_equal", equal)
 
 
-def diff_samples(bag: DataFrame, side: str = "source", size: int = SAMPLE_SIZE) -> DataFrame:
-    """The first ``size`` rows (by all columns) that ``side`` has in excess, each as often as in excess."""
-    spare = F.col("source_rows") - F.col("target_rows")
-    excess = spare if side == "source" else -spare
-    names = [c for c in bag.columns if c not in ("source_rows", "target_rows")]
-    rows = bag.filter(excess > 0).withColumn("__copies", F.least(excess, F.lit(size)).cast("int"))
+def diff_samples(excess: DataFrame, side: str = "source", size: int = SAMPLE_SIZE) -> DataFrame:
+    """The first ``size`` rows (by all columns) that ``side`` has in excess, each as often as in excess.
+
+    ``excess`` comes from :func:`excess_rows`.
+    """
+    names = [c for c in excess.columns if c not in ("only_source", "only_target")]
+    rows = excess.filter(F.col(f"only_{side}") > 0).select(
+        *[_ident(c) for c in names], F.least(F.col(f"only_{side}"), F.lit(size)).cast("int").alias("__copies")
+    )
     rows = rows.orderBy(*sort_columns(rows.select(*[_ident(c) for c in names]))).limit(size)
     # At most ``size`` rows are left; repeat each and cut again.
     repeated = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
@@ -190,73 +194,107 @@ def not_compared(source: DataFrame, target: DataFrame, reason: str) -> DataFrame
     )
 
 
+def summarize(excess: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """The summary row from the rows in excess; totals come from the tables, which Parquet counts by footers."""
+    zero = F.lit(0).cast("bigint")
+    found = excess.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_count") for c in ("only_source", "only_target")],
+        *[F.coalesce(F.max(zero), zero).alias(f"{side}_row_count") for side in ("source", "target")],
+    )
+    totals = side_counts(source, target).withColumns({"only_source_count": zero, "only_target_count": zero})
+    columns = ("source_row_count", "target_row_count", "only_source_count", "only_target_count")
+    equal = (F.col("only_source_count") == 0) & (F.col("only_target_count") == 0)
+    return found.unionByName(totals).agg(*[F.sum(c).alias(c) for c in columns]).select(
+        "*", F.lit(True).alias("data_compared"), equal.alias("data_equal"), F.lit("").alias("data_skip_reason")
+    )
+
+
 def compare_data(source: DataFrame, target: DataFrame, names=("source", "target"), buckets: int = 0) -> DataFrame:
     """One summary row, whether or not the data could be compared."""
     reason = column_gate(source.columns, target.columns, names)
     if reason:
         return not_compared(source, target, reason)
-    summary = diff_counts(bag_counts(source, target, buckets=buckets))
-    if buckets:
-        # The bag then lacks the rows of equal buckets, so the totals come from the tables themselves.
-        counts = ("source_row_count", "target_row_count")
-        zero = F.lit(0).cast("bigint")
-        totals = side_counts(source, target).withColumns({"only_source_count": zero, "only_target_count": zero})
-        found = summary.select(*totals.columns).withColumns({c: zero for c in counts})
-        summary = found.unionByName(totals).agg(*[F.sum(c).alias(c) for c in totals.columns])
-        equal = (F.col("only_source_count") == 0) & (F.col("only_target_count") == 0)
-        summary = summary.withColumn("data_compared", F.lit(True)).withColumn("data_equal", equal)
-    return summary.withColumn("data_skip_reason", F.lit(""))
+    bag = bag_counts(source, target, buckets=buckets)
+    if buckets:  # the bag then lacks the rows of equal buckets
+        return summarize(excess_rows(bag), source, target)
+    return diff_counts(bag).withColumn("data_skip_reason", F.lit(""))
 
 
 @dataclass(frozen=True)
 class TableComparison:
-    """Everything known about one table on two sides; all parts are lazy DataFrames."""
+    """One table on two sides, under its name on each; every part is computed when asked for."""
 
+    source: Side
+    target: Side
     table_name: str
-    source_name: str
-    target_name: str
     source_table: str
     target_table: str
-    structure: DataFrame
-    summary: DataFrame
-    only_source: DataFrame | None
-    only_target: DataFrame | None
-    source_ddl: DataFrame
-    target_ddl: DataFrame
-    sync_plan: DataFrame
-    columns: tuple[str, ...]
+    sample_size: int = SAMPLE_SIZE
+    buckets: int = 0
+
+    @property
+    def names(self) -> tuple[str, str]:
+        return self.source.name, self.target.name
+
+    @property
+    def source_df(self) -> DataFrame:
+        return self.source.tables[self.source_table]
+
+    @property
+    def target_df(self) -> DataFrame:
+        return self.target.tables[self.target_table]
+
+    @cached_property
+    def skip_reason(self) -> str:
+        return column_gate(self.source_df.columns, self.target_df.columns, self.names)
+
+    @property
+    def columns(self) -> list[str]:
+        return [] if self.skip_reason else self.source_df.columns
+
+    @cached_property
+    def catalogs(self) -> tuple[Catalog, Catalog]:
+        """The table's part of both catalogs, under the source's spelling of its name."""
+        other = self.target.catalog.only_table(self.target_table)
+        return self.source.catalog.only_table(self.source_table), rename_table(other, self.target_table, self.source_table)
+
+    @cached_property
+    def structure(self) -> DataFrame:
+        return structure.structure_diff(*self.catalogs, self.names)
+
+    @cached_property
+    def excess(self) -> DataFrame | None:
+        """Rows in excess on either side. They are persisted, since the summary and both samples start from
+        them; ``unpersist`` them when done."""
+        if self.skip_reason:
+            return None
+        return excess_rows(bag_counts(self.source_df, self.target_df, buckets=self.buckets)).persist()
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        if self.skip_reason:
+            row = not_compared(self.source_df, self.target_df, self.skip_reason)
+        else:
+            row = summarize(self.excess, self.source_df, self.target_df)
+        return row.withColumn("table_name", F.lit(self.source_table))
+
+    def samples(self, side: str) -> DataFrame | None:
+        return None if self.skip_reason else diff_samples(self.excess, side, self.sample_size)
+
+    def ddl(self, side: str) -> DataFrame:
+        own, name = (self.source, self.source_table) if side == "source" else (self.target, self.target_table)
+        return structure.table_ddl(own.catalog.only_table(name))
 
 
 def compare_table(
     source: Side, target: Side, table: str, size: int = SAMPLE_SIZE, buckets: int = 0
 ) -> TableComparison:
     """Structure and data of one table; swap the sides to compare in the other direction."""
-    from tablecheck.operators.align import sync_plan
-
     if source.catalog is None or target.catalog is None:
         raise ValueError("Both sides need a catalog.")
-    names = (source.name, target.name)
     wanted = table.strip()
-    s_table = resolve_name(source.catalog, wanted, source.name)
-    t_table = resolve_name(target.catalog, wanted, target.name)
-    s_cat = source.catalog.only_table(s_table)
-    t_cat = rename_table(target.catalog.only_table(t_table), t_table, s_table)
-    s_df, t_df = source.tables[s_table], target.tables[t_table]
-    reason = column_gate(s_df.columns, t_df.columns, names)
-    summary = compare_data(s_df, t_df, names, buckets)
-    summary = summary.withColumn("table_name", F.lit(s_table))
-    bag = None if reason else bag_counts(s_df, t_df, buckets=buckets)
-    return TableComparison(
-        wanted, source.name, target.name, s_table, t_table,
-        structure.structure_diff(s_cat, t_cat, names),
-        summary,
-        None if reason else diff_samples(bag, "source", size),
-        None if reason else diff_samples(bag, "target", size),
-        structure.table_ddl(s_cat),
-        structure.table_ddl(target.catalog.only_table(t_table)),
-        sync_plan(s_cat, t_cat, t_table),
-        () if reason else tuple(s_df.columns),
-    )
+    found = [resolve_name(side.catalog, wanted, side.name) for side in (source, target)]
+    return TableComparison(source, target, wanted, *found, size, buckets)
 
 
 def rename_table(catalog: Catalog, old: str, new: str) -> Catalog:

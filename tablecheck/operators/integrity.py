@@ -18,7 +18,7 @@ from tablecheck.model import (
     AUDIT_COLUMNS, FINDING_COLUMNS, IMPACTS, REVIEW_LIMIT, TEXT_TYPES, Catalog, ForeignKey, Key, Required, RuleSet,
 )
 from tablecheck.operators.diff import sort_columns
-from tablecheck.operators.skew import HOT_ROWS, distinct_keys, key_counts, lookup
+from tablecheck.operators.skew import HOT_ROWS, distinct_keys, key_counts, keyed_join, lookup
 
 # Order in which a full run reports the kinds of finding.
 STAGES = ("REQUIRED_NULL_VALUES", "FK_NULL_RELATION", "FK_ORPHAN_ROWS", "DUPLICATE_KEY_VALUES", "REQUIRED_EMPTY_TEXT")
@@ -272,7 +272,8 @@ def catalog_rules(source: Catalog, target: Catalog) -> DataFrame:
     rules = required.unionByName(keyed).join(per_side[0].drop("source_all"), "table_name", "left")
     rules = rules.join(known.withColumn("__t", F.lit(True)), "table_name", "left")
     parents = known.select(c("table_name").alias("parent"), c("target_all").alias("parent_all"))
-    rules = rules.join(parents, "parent", "left")
+    # Most foreign keys may refer to one table.
+    rules = keyed_join(rules, parents, ["parent"])
 
     def missing(columns: str, have: str) -> Column:
         return F.size(F.array_except(columns, F.coalesce(c(have), nothing))) > 0

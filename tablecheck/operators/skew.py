@@ -1,7 +1,9 @@
-"""Joins of wide rows to key lists when a single key may hold a large share of the rows."""
+"""Joins of many rows to a table with one row per key, when one key may hold a large share of the rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,18 @@ HOT_ROWS = 5_000_000
 SALTS = 64
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own estimate of a plan's output."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _q(name: str) -> str:
+    return f"`{name}`"
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of everything a plan reads, by Catalyst's statistics.
+
+    For a table with one row per key that is put together by joins on keys this bounds the result,
+    where the estimate of the join itself would multiply the sizes of its sides.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -27,54 +38,58 @@ def key_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.filter(all_present(columns)).groupBy(*[_q(c) for c in columns]).agg(F.count("*").alias("rows_per_key"))
 
 
-def lookup(
-    rows: DataFrame, columns: list[str], keys: DataFrame, flag: str, hot_rows: int = HOT_ROWS,
+def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.filter(all_present(columns)).select(*[F.col(_q(c)) for c in columns]).distinct()
+
+
+def keyed_join(
+    rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "left", hot_rows: int = HOT_ROWS,
     salts: int = SALTS, force_salt: bool = False,
 ) -> DataFrame:
-    """Add ``flag``: whether the row's key (``columns``) is in ``keys`` (distinct, same order).
+    """``rows`` with the other columns of ``keyed``, which has one row per key and the same key columns.
 
-    A row with an incomplete key gets false. Keys that Catalyst judges small are left to a plain
-    join, which it broadcasts. Otherwise the keys of more than ``hot_rows`` rows are found first
-    (there are at most rows / hot_rows of them, so that list is safe to broadcast), their rows are
-    spread over ``salts`` tasks and their entry in ``keys`` is repeated once per task. Rows with an
-    incomplete key can match nothing and are spread as well.
+    If what ``keyed`` reads is small, a plain join will do: Spark broadcasts it. Otherwise the keys of
+    more than ``hot_rows`` rows are found first (there are at most rows / hot_rows of them, so that
+    list is safe to broadcast), their rows are spread over ``salts`` tasks and their entry in
+    ``keyed`` is repeated once per task. Rows with an incomplete key match nothing and are spread too.
     """
-    names = [f"__k{i}" for i in range(len(columns))]
-    keys = keys.toDF(*names)
-    marked = keys.withColumn(flag, F.lit(True))
-    on = [rows[_q(c)] == marked[n] for c, n in zip(columns, names)]
-    if not force_salt and 0 < estimated_bytes(keys) <= broadcast_limit(rows):
-        joined = rows.join(marked, on, "left")
-        return joined.select(*[rows[_q(c)] for c in rows.columns], F.coalesce(F.col(flag), F.lit(False)).alias(flag))
-
-    hot = key_counts(rows, columns).filter(F.col("rows_per_key") > hot_rows).drop("rows_per_key")
-    hot = F.broadcast(hot.toDF(*[f"__h{i}" for i in range(len(columns))]).withColumn("__hot", F.lit(True)))
+    names = [f"__k{i}" for i in range(len(on))]
+    extra = [c for c in keyed.columns if c not in on]
+    right = keyed.select(*[F.col(_q(c)).alias(n) for c, n in zip(on, names)], *[_q(c) for c in extra])
+    same = [F.col(_q(c)) == F.col(n) for c, n in zip(on, names)]
+    columns = [_q(c) for c in rows.columns + extra]
+    if not force_salt and 0 < input_bytes(keyed) <= broadcast_limit(rows):
+        return rows.join(right, same, how).select(*columns)
+
+    hot = key_counts(rows, on).filter(F.col("rows_per_key") > hot_rows).drop("rows_per_key")
+    hot_names = [f"__h{i}" for i in range(len(on))]
+    hot = F.broadcast(hot.toDF(*hot_names).withColumn("__hot", F.lit(True)))
+
+    def is_hot(keys: list[str]):
+        return reduce(lambda a, b: a & b, [F.col(_q(k)) == F.col(h) for k, h in zip(keys, hot_names)])
+
     # The partition number sets exact copies of a row apart, and stays the same if a task is rerun.
-    content = [F.col(_q(c)) for c in _hashable(rows)]
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *content), F.lit(salts)).cast("int")
-    incomplete = any_null(columns)
-    left = rows.join(hot, [F.col(_q(c)) == F.col(f"__h{i}") for i, c in enumerate(columns)], "left").select(
-        *[rows[_q(c)] for c in rows.columns],
-        F.when(F.col("__hot") | incomplete, spread).otherwise(0).alias("__salt"),
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[_q(c) for c in _hashable(rows)]), F.lit(salts)).cast("int")
+    left = rows.join(hot, is_hot(on), "left").select(
+        *[_q(c) for c in rows.columns], F.when(F.col("__hot") | any_null(on), spread).otherwise(0).alias("__salt")
     )
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = marked.join(hot, [F.col(n) == F.col(f"__h{i}") for i, n in enumerate(names)], "left").select(
-        *names, flag, F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))).alias("__r")
+    right = right.join(hot, is_hot(names), "left").select(
+        *names, *[_q(c) for c in extra],
+        F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))).alias("__copy"),
     )
-    on = [F.col(_q(c)) == F.col(n) for c, n in zip(columns, names)] + [F.col("__salt") == F.col("__r")]
-    return left.join(right, on, "left").select(
-        *[left[_q(c)] for c in rows.columns], F.coalesce(F.col(flag), F.lit(False)).alias(flag)
-    )
-
-
-def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.filter(all_present(columns)).select(*[F.col(_q(c)) for c in columns]).distinct()
+    return left.join(right, same + [F.col("__salt") == F.col("__copy")], how).select(*columns)
 
 
-def _q(name: str) -> str:
-    return f"`{name}`"
+def lookup(
+    rows: DataFrame, columns: list[str], keys: DataFrame, flag: str, hot_rows: int = HOT_ROWS,
+    salts: int = SALTS, force_salt: bool = False,
+) -> DataFrame:
+    """Add ``flag``: whether the row's key (``columns``) is in ``keys`` (distinct, in the same order)."""
+    marked = keys.toDF(*columns).withColumn(flag, F.lit(True))
+    joined = keyed_join(rows, marked, columns, "left", hot_rows, salts, force_salt)
+    return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
 def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()
-            and "variant" not in f.dataType.simpleString()]
+    return [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]

@@ -229,16 +229,16 @@ def purge_lines(plan: PurgePlan, deleted: Mapping, action: str = "emptied") -> l
 
 def comparison_lines(result: TableComparison, spark_status: DataFrame) -> DataFrame:
     """A table comparison as ``position, value``; sample rows stay in Spark as JSON text."""
-    s = spark_status.first()
+    s, names = spark_status.first(), result.names
     head = [
-        "Table comparison", f"Table: {result.table_name}", f"Direction: {result.source_name} -> {result.target_name}", "",
+        "Table comparison", f"Table: {result.table_name}", f"Direction: {names[0]} -> {names[1]}", "",
         f"Overall: {s.overall_status}", f"Structure: {s.structure_status}", f"Data: {s.data_status}", "",
-        f"Rows in {result.source_name}: {s.source_row_count}", f"Rows in {result.target_name}: {s.target_row_count}",
+        f"Rows in {names[0]}: {s.source_row_count}", f"Rows in {names[1]}: {s.target_row_count}",
     ]
     if s.data_compared:
         head += [
-            f"Rows only in {result.source_name}: {s.only_source_count}",
-            f"Rows only in {result.target_name}: {s.only_target_count}",
+            f"Rows only in {names[0]}: {s.only_source_count}",
+            f"Rows only in {names[1]}: {s.only_target_count}",
             f"Columns: {', '.join(result.columns)}",
         ]
     else:
@@ -249,17 +249,14 @@ def comparison_lines(result: TableComparison, spark_status: DataFrame) -> DataFr
     frames.append(
         result.structure.select(F.lit(2).alias("section"), _text("  [", F.col("impact"), "] ", F.col("type"), ": ", F.col("description")).alias("value"))
     )
-    if result.only_source is not None and not s.data_equal:
-        for section, name, rows in (
-            (3, result.source_name, result.only_source), (5, result.target_name, result.only_target),
-        ):
+    if s.data_compared and not s.data_equal:
+        for section, name, side in ((3, names[0], "source"), (5, names[1], "target")):
+            rows = result.samples(side)
             frames.append(spark.createDataFrame([(section, f"\nSample rows only in {name}:")], "section INT, value STRING"))
             text = F.to_json(F.struct(*[f"`{c}`" for c in rows.columns]))
             frames.append(rows.select(F.lit(section + 1).alias("section"), text.alias("value")))
-    for section, name, text in (
-        (7, result.source_name, result.source_ddl), (8, result.target_name, result.target_ddl),
-    ):
-        frames.append(text.select(F.lit(section).alias("section"), _text(f"\nDefinition in {name}:\n", F.col("ddl")).alias("value")))
+    for section, name, side in ((7, names[0], "source"), (8, names[1], "target")):
+        frames.append(result.ddl(side).select(F.lit(section).alias("section"), _text(f"\nDefinition in {name}:\n", F.col("ddl")).alias("value")))
     return reduce(DataFrame.unionByName, frames)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.model import CATALOG_DDL, Catalog, RuleSet
+from tablecheck.operators.skew import keyed_join
 
 # Raw relation -> statement that reads it from a PostgreSQL server.
 RAW_QUERIES = {
@@ -135,22 +136,19 @@ def build_columns(raw: Raw, schema: str) -> DataFrame:
     live = raw["attribute"].filter((c("attnum") > 0) & ~c("attisdropped"))
     types = raw["type"].select("env", c("oid").alias("atttypid"), "typname", "typcollation")
     defaults = raw["attrdef"].select("env", c("adrelid").alias("attrelid"), c("adnum").alias("attnum"), "expression")
-    collations = raw["collation"].select(c("env").alias("coll_env"), c("oid").alias("coll_oid"), "collname")
+    collations = raw["collation"].select("env", c("oid").alias("attcollation"), "collname")
     info = raw["info_columns"].select(
         "env", c("table_schema").alias("nspname"), c("table_name").alias("relname"),
         c("column_name").alias("attname"), "data_type", "character_maximum_length", "numeric_precision",
         "numeric_scale", "datetime_precision",
     )
+    # Types and collations are few and columns many, so a single type may have a third of them.
     joined = (
-        live.join(tables, ["env", "attrelid"])
-        .join(types, ["env", "atttypid"])
-        .join(defaults, ["env", "attrelid", "attnum"], "left")
+        keyed_join(keyed_join(live.join(tables, ["env", "attrelid"]), types, ["env", "atttypid"], "inner"), collations,
+                   ["env", "attcollation"])
         # A collation counts only where it is not the type's own.
-        .join(
-            collations,
-            (c("env") == c("coll_env")) & (c("attcollation") == c("coll_oid")) & (c("attcollation") != c("typcollation")),
-            "left",
-        )
+        .withColumn("collname", F.when(c("attcollation") != c("typcollation"), c("collname")))
+        .join(defaults, ["env", "attrelid", "attnum"], "left")
         .join(info, ["env", "nspname", "relname", "attname"], "left")
     )
     identity, generated = c("attidentity"), c("attgenerated")
@@ -175,7 +173,9 @@ def _key_names(keyed: DataFrame, ids: list[str], positions: str, names: DataFram
     """Names for an array of numbers, in the array's order; a group is one object's key."""
     numbered = keyed.select(*dict.fromkeys(ids + [x for x in on if x != "number"]), F.posexplode(positions).alias("pos", "number"))
     packed = F.sort_array(F.collect_list(F.struct("pos", "name")))
-    return numbered.join(names, on).groupBy(*ids).agg(F.transform(packed, lambda x: x["name"]).alias(out))
+    # Many objects may refer to one name, such as the key of a table that most others refer to.
+    named = keyed_join(numbered, names, on, "inner")
+    return named.groupBy(*ids).agg(F.transform(packed, lambda x: x["name"]).alias(out))
 
 
 def _attribute_names(raw: Raw, relation: str) -> DataFrame:
@@ -200,7 +200,7 @@ def build_constraints(raw: Raw, schema: str) -> DataFrame:
         "referenced_columns",
     )
     joined = (
-        found.join(parents, ["env", "confrelid"], "left")
+        keyed_join(found, parents, ["env", "confrelid"])
         .join(columns, ["env", "oid"], "left")
         .join(referenced, ["env", "oid"], "left")
     )
@@ -290,7 +290,8 @@ def build_triggers(raw: Raw, schema: str) -> DataFrame:
         "env", c("oid").alias("tgfoid"), c("proname").alias("function_name"), "pronamespace",
         c("identity_arguments").alias("function_arguments"),
     ).join(spaces, ["env", "pronamespace"])
-    joined = raw["trigger"].filter(~c("tgisinternal")).join(owners, ["env", "tgrelid"]).join(procs, ["env", "tgfoid"])
+    own = raw["trigger"].filter(~c("tgisinternal")).join(owners, ["env", "tgrelid"])
+    joined = keyed_join(own.drop("oid"), procs, ["env", "tgfoid"], "inner")
     return _select(joined.withColumnsRenamed({"tgname": "trigger_name", "tgenabled": "enabled"}), "triggers")
 
 
