@@ -352,5 +352,5 @@ def write_snapshot(parts: Mapping[str, DataFrame], root: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, root: str, env: str, schema: str = "public") -> Catalog:
-    parts = {kind: spark.read.parquet(f"{root}/{kind}") for kind in CATALOG_DDL}
+    parts = {kind: spark.read.schema(f"{ddl}, env STRING").parquet(f"{root}/{kind}") for kind, ddl in CATALOG_DDL.items()}
     return Catalog.from_snapshot(spark, parts, env, schema)
