@@ -19,10 +19,11 @@ def _str(expression: str) -> str:
     return f"CAST({expression} AS STRING)"
 
 
-# One row per (order, line number); order lines repeat numbers, so they are grouped.
+# One row per (order, line number); order lines repeat numbers, so they are grouped. The flags are
+# single letters, taken by code since Spark aggregates numbers by hash and texts by sorting.
 LINES = (
     "(SELECT l_orderkey AS tk, l_linenumber AS ck, min(l_partkey) AS pk, min(l_suppkey) AS sk, "
-    "CAST(min(l_quantity) AS INT) AS q, min(l_returnflag) AS rf, min(l_linestatus) AS ls "
+    "CAST(min(l_quantity) AS INT) AS q, chr(min(ascii(l_returnflag))) AS rf, chr(min(ascii(l_linestatus))) AS ls "
     "FROM {lineitem} GROUP BY l_orderkey, l_linenumber) lines"
 )
 

@@ -7,16 +7,21 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Unicode defines it plus the four ASCII separators.
-_SPACE = r"[\s\x1c-\x1f]"
+# Every character that counts as white space, as a class for regular expressions.
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def strip_text(expression: str, ends: str = "both") -> str:
+    """SQL that drops white space of any kind from both ends of a text, or from the ``right`` one."""
+    left = f"^{_SPACE}+|" if ends == "both" else ""
+    return rf"regexp_replace({expression}, r'{left}{_SPACE}+\z', '')"
 
 
 def normalize_sql_text(expression: str) -> str:
     """SQL that folds away differences of spacing, letter case and trailing semicolons; NULL becomes ''."""
-    stripped = rf"regexp_replace({expression}, r'(?U)^{_SPACE}+|{_SPACE}+\z', '')"
-    no_end = rf"regexp_replace({stripped}, r';+\z', '')"
-    single = f"regexp_replace({no_end}, r'(?U){_SPACE}+', ' ')"
-    return f"coalesce(lower(trim({single})), '')"
+    # One regular expression folds white space to single blanks; plain trims do the rest.
+    folded = rf"trim(regexp_replace({expression}, r'{_SPACE}+', ' '))"
+    return f"coalesce(lower(trim(trim(TRAILING ';' FROM {folded}))), '')"
 
 
 def normalize_sql(column: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import ddl
 from tablecheck.functions.ddl import text_or_empty
-from tablecheck.functions.text import normalize_sql, qualify, quote_ident, sql_string, strip_end
+from tablecheck.functions.text import normalize_sql, qualify, quote_ident, sql_string, strip_end, strip_text
 from tablecheck.model import DIFF_COLUMNS, Catalog, impact_rank
 from tablecheck.operators.skew import lookup
 
@@ -144,7 +144,7 @@ def function_drift(source: Catalog, target: Catalog) -> DataFrame:
         )
 
     joined = _matched(prepared(source.functions), prepared(target.functions), ["key"])
-    end = F.regexp_replace(F.col("s.definition"), r"(?U)[\s\x1c-\x1f]+\z", "")
+    end = F.expr(strip_text("s.definition", ends="right"))
     return diff_rows(
         joined, "FUNCTION_MISSING_OR_DIFFERENT", "HIGH", F.col("s.key"),
         "Defaults, generated columns, constraints, indexes, triggers or views may call the function.",
@@ -161,6 +161,15 @@ def _matched(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame
     return s.join(t, on, "left").filter(~F.col("s.sig").eqNullSafe(F.col("t.sig")))
 
 
+def _without(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """Objects whose signature does not occur in ``found``; signatures name the table, so none is frequent.
+
+    A hash goes first in the join keys, so that sorting and comparing rarely look at the signature.
+    """
+    sides = [df.withColumn("sig_hash", F.xxhash64("sig")) for df in (wanted, found)]
+    return sides[0].join(sides[1], ["sig_hash", "sig"], "left_anti")
+
+
 def _state(target_key: str) -> Column:
     return F.when(F.col(target_key).isNull(), "missing").otherwise("different")
 
@@ -355,15 +364,17 @@ def constraint_signature(scope: str = "table") -> Column:
 def constraint_drift(source: Catalog, target: Catalog, scope: str = "table") -> DataFrame:
     c = F.col
     wanted = source.constraints.filter(c("constraint_type") != "n").withColumn("sig", constraint_signature(scope))
-    found = target.constraints.select(constraint_signature(scope).alias("sig")).distinct()
+    found = target.constraints.select(constraint_signature(scope).alias("sig"))
     # A unique index over all rows on the same columns does the work of a key.
     stand_in = (
         target.indexes.filter(_flag(c("is_unique")) & (text_or_empty(c("predicate")) == ""))
         .select(c("table_name").alias("i_table"), _array(c("columns")).alias("i_columns"))
         .distinct()
     )
-    # Within a table signatures are few, but over a whole schema most keys may share one.
-    unmatched = lookup(wanted, ["sig"], found, "known").filter("NOT known").drop("known")
+    if scope == "table":
+        unmatched = _without(wanted, found)
+    else:  # most keys of a schema may share one signature
+        unmatched = lookup(wanted, ["sig"], found.distinct(), "known").filter("NOT known").drop("known")
     missing = unmatched.join(
         stand_in,
         c("constraint_type").isin("p", "u") & (c("table_name") == c("i_table"))
@@ -420,8 +431,7 @@ def index_drift(source: Catalog, target: Catalog, ignore_name: bool = False) ->
     named = named.withColumn("backs", F.lit(True))
     wanted = source.indexes.join(named, "index_name", "left").filter(c("backs").isNull())
     wanted = wanted.withColumn("sig", index_signature(ignore_name))
-    found = target.indexes.select(index_signature(ignore_name).alias("sig")).distinct()
-    missing = wanted.join(found, "sig", "left_anti")
+    missing = _without(wanted, target.indexes.select(index_signature(ignore_name).alias("sig")))
     return diff_rows(
         missing, "INDEX_MISSING_OR_DIFFERENT",
         F.when(text_or_empty(c("expressions")) != "", "HIGH").otherwise("MEDIUM"), c("index_name"),
@@ -437,9 +447,9 @@ def _view_drift(source: DataFrame, target: DataFrame, schema: str, materialized:
         return df.withColumn("sig", normalize_sql("view_definition"))
 
     joined = _matched(prepared(source), prepared(target), ["view_name"])
-    name, body = F.col("s.view_name"), F.col("s.view_definition")
+    name = F.col("s.view_name")
     full = qualify(F.lit(schema), name)
-    body = F.regexp_replace(body, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    body = F.expr(strip_text("s.view_definition"))
     if materialized:
         kind, impact, label = "MATERIALIZED_VIEW_MISSING_OR_DIFFERENT", "HIGH", "Materialized view '"
         reason = "Derived data and the queries on it change."
@@ -473,8 +483,7 @@ def trigger_drift(source: Catalog, target: Catalog) -> DataFrame:
               ("enabled", "function_schema", "function_name", "function_arguments")],
         )
 
-    found = target.triggers.select(signature().alias("sig")).distinct()
-    missing = source.triggers.withColumn("sig", signature()).join(found, "sig", "left_anti")
+    missing = _without(source.triggers.withColumn("sig", signature()), target.triggers.select(signature().alias("sig")))
     return diff_rows(
         missing, "TRIGGER_MISSING_OR_DIFFERENT", "HIGH", c("trigger_name"),
         "Writes behave differently without the trigger.",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.functions.ddl import comment_lines, text_or_empty
+from tablecheck.functions.text import strip_text
 from tablecheck.model import IMPACTS, SyncResult
 from tablecheck.operators.diff import TableComparison
 from tablecheck.operators.drift import _text
@@ -104,7 +105,7 @@ def script_block(number: Column) -> Column:
         "-- ", number.cast("string"), ". ", c("type"), "\n-- Impact: ", c("impact"), "\n-- Reason: ", c("impact_reason"),
         "\n-- ", c("description"), "\n-- Source definition:\n", comment_lines(c("source_definition")),
         "\n-- Target definition:\n", comment_lines(c("target_definition")), "\n-- Suggested change:\n",
-        F.regexp_replace("sql", r"(?U)\s+\z", ""), "\n",
+        F.expr(strip_text("sql", ends="right")), "\n",
     )
 
 
