@@ -125,12 +125,17 @@ def align_schema(
     return df.select(*out, *[F.col(have[c]) for c in df.columns if c not in wanted])
 
 
-def align_result(plan: DataFrame, table: str, names=("source", "target")) -> SyncResult:
-    """Status of a schema alignment: nothing to do, or the number of statements of the plan."""
-    n = plan.count()
-    if not n:
+def sync_schema(
+    plan: DataFrame, source: DataFrame, store: TableStore, table: str, required: Sequence[str] = (),
+    defaults: Mapping[str, str] | None = None, names=("source", "target"),
+) -> SyncResult:
+    """Give a stored table the source's columns, as its :func:`sync_plan` says; nothing to say, nothing to do."""
+    statements = plan.count()
+    if not statements:
         return SyncResult(table, *names, "SCHEMA", "UNCHANGED", 0, 0, "The schema already matches.")
-    return SyncResult(table, *names, "SCHEMA", "COMPLETED", n, 0, "The schema was aligned.")
+    wanted = [(f.name, f.dataType.simpleString(), f.name not in required) for f in source.schema.fields]
+    store.publish({table: align_schema(store.read(table), wanted, defaults)})
+    return SyncResult(table, *names, "SCHEMA", "COMPLETED", statements, 0, "The schema was aligned.")
 
 
 def parent_gate(

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.functions.text import all_present, any_null
+from tablecheck.sources.checkpoints import ensure_checkpoint_dir
 
 # A key with more rows than this is spread over several tasks.
 HOT_ROWS = 5_000_000
-SALTS = 64
 
 
 def _q(name: str) -> str:
@@ -44,14 +44,16 @@ def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def keyed_join(
     rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "left", hot_rows: int = HOT_ROWS,
-    salts: int = SALTS, force_salt: bool = False,
+    force_salt: bool = False,
 ) -> DataFrame:
     """``rows`` with the other columns of ``keyed``, which has one row per key and the same key columns.
 
     If what ``keyed`` reads is small, a plain join will do: Spark broadcasts it. Otherwise the keys of
-    more than ``hot_rows`` rows are found first (there are at most rows / hot_rows of them, so that
-    list is safe to broadcast), their rows are spread over ``salts`` tasks and their entry in
-    ``keyed`` is repeated once per task. Rows with an incomplete key match nothing and are spread too.
+    more than ``hot_rows`` rows are found first, by one job over the key columns. There are at most
+    rows / hot_rows of them, so that list is safe to broadcast. The rows of such a key are spread over
+    as many salts as keep a task at about ``hot_rows`` rows, by the partition they come from, and the
+    key's entry in ``keyed`` is repeated once per salt. A rerun task gives the same salts. Rows with an
+    incomplete key match nothing and are spread too.
     """
     names = [f"__k{i}" for i in range(len(on))]
     extra = [c for c in keyed.columns if c not in on]
@@ -61,35 +63,28 @@ def keyed_join(
     if not force_salt and 0 < input_bytes(keyed) <= broadcast_limit(rows):
         return rows.join(right, same, how).select(*columns)
 
-    hot = key_counts(rows, on).filter(F.col("rows_per_key") > hot_rows).drop("rows_per_key")
+    ensure_checkpoint_dir(rows.sparkSession)
     hot_names = [f"__h{i}" for i in range(len(on))]
-    hot = F.broadcast(hot.toDF(*hot_names).withColumn("__hot", F.lit(True)))
-
-    def is_hot(keys: list[str]):
-        return reduce(lambda a, b: a & b, [F.col(_q(k)) == F.col(h) for k, h in zip(keys, hot_names)])
-
-    # The partition number sets exact copies of a row apart, and stays the same if a task is rerun.
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[_q(c) for c in _hashable(rows)]), F.lit(salts)).cast("int")
-    left = rows.join(hot, is_hot(on), "left").select(
-        *[_q(c) for c in rows.columns], F.when(F.col("__hot") | any_null(on), spread).otherwise(0).alias("__salt")
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = right.join(hot, is_hot(names), "left").select(
-        *names, *[_q(c) for c in extra],
-        F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))).alias("__copy"),
-    )
+    hot = key_counts(rows, on).filter(F.col("rows_per_key") > hot_rows)
+    salts = F.ceil(F.col("rows_per_key") / hot_rows).cast("int")
+    hot = hot.select(*[F.col(_q(c)).alias(h) for c, h in zip(on, hot_names)], salts.alias("__salts")).checkpoint()
+
+    def with_salts(df: DataFrame, keys: list[str]) -> DataFrame:
+        match = reduce(lambda a, b: a & b, [F.col(_q(k)) == F.col(h) for k, h in zip(keys, hot_names)])
+        return df.join(F.broadcast(hot), match, "left")
+
+    part = F.spark_partition_id()
+    salt = F.when(F.col("__salts").isNotNull(), F.pmod(part, F.col("__salts"))).when(any_null(on), part).otherwise(0)
+    left = with_salts(rows, on).select(*[_q(c) for c in rows.columns], salt.alias("__salt"))
+    every = F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)
+    right = with_salts(right, names).select(*names, *[_q(c) for c in extra], F.explode(every).alias("__copy"))
     return left.join(right, same + [F.col("__salt") == F.col("__copy")], how).select(*columns)
 
 
 def lookup(
-    rows: DataFrame, columns: list[str], keys: DataFrame, flag: str, hot_rows: int = HOT_ROWS,
-    salts: int = SALTS, force_salt: bool = False,
+    rows: DataFrame, columns: list[str], keys: DataFrame, flag: str, hot_rows: int = HOT_ROWS, force_salt: bool = False
 ) -> DataFrame:
     """Add ``flag``: whether the row's key (``columns``) is in ``keys`` (distinct, in the same order)."""
     marked = keys.toDF(*columns).withColumn(flag, F.lit(True))
-    joined = keyed_join(rows, marked, columns, "left", hot_rows, salts, force_salt)
+    joined = keyed_join(rows, marked, columns, "left", hot_rows, force_salt)
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]

@@ -56,6 +56,11 @@ def read_table(spark: SparkSession, source: str | Mapping[str, str] | DataFrame)
     return spark.read.table(source)
 
 
+def overwrite_jdbc(df: DataFrame, options: Mapping[str, str]) -> None:
+    """Replace the rows of a database table, keeping its definition, indexes and grants."""
+    df.write.format("jdbc").options(**options).option("truncate", "true").mode("overwrite").save()
+
+
 def load_side(
     spark: SparkSession, name: str, tables: Mapping[str, str | Mapping[str, str] | DataFrame],
     catalog: Catalog | None = None, schema: str = "public", engine: str = "parquet",

@@ -68,8 +68,18 @@ def test_sync_plan(spark):
     assert text["pk"] == 'ALTER TABLE "dst"."t" ADD CONSTRAINT "pk" PRIMARY KEY USING INDEX "pk";'
     assert text["i1"] == 'CREATE INDEX i1 ON "dst"."t" (a);'
     assert text["i2"].startswith('DROP INDEX "dst"."i2";\n')
-    assert align.align_result(made, "t").statements == 8
-    assert align.align_result(align.sync_plan(source, source), "t").status == "UNCHANGED"
+    assert align.sync_plan(source, source).isEmpty()
+
+
+def test_sync_schema(spark, store):
+    store.publish({"t": spark.createDataFrame([("1", 5)], "id STRING, kept INT")})
+    source = spark.createDataFrame([(1, "x")], "id INT, name STRING")
+    plan = spark.createDataFrame([("t", 1), ("t", 2)], "table_name STRING, seq INT")
+    assert align.sync_schema(plan.limit(0), source, store, "t").status == "UNCHANGED"
+    assert store.read("t").columns == ["id", "kept"]
+    done = align.sync_schema(plan, source, store, "t", required=["name"], defaults={"name": "'n'"})
+    assert (done.status, done.statements, done.sync_type) == ("COMPLETED", 2, "SCHEMA")
+    assert [tuple(r) for r in store.read("t").collect()] == [(1, "n", 5)]
 
 
 def test_replace_data(spark, store):
