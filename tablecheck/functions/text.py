@@ -19,9 +19,12 @@ def strip_text(expression: str, ends: str = "both") -> str:
 
 def normalize_sql_text(expression: str) -> str:
     """SQL that folds away differences of spacing, letter case and trailing semicolons; NULL becomes ''."""
-    # One regular expression folds white space to single blanks; plain trims do the rest.
-    folded = rf"trim(regexp_replace({expression}, r'{_SPACE}+', ' '))"
-    return f"coalesce(lower(trim(trim(TRAILING ';' FROM {folded}))), '')"
+    # Most texts hold single blanks only, which a cheap test tells; the others have white space folded.
+    folded = (
+        rf"CASE WHEN contains({expression}, '  ') OR rlike({expression}, r'[^ -~]') "
+        rf"THEN regexp_replace({expression}, r'{_SPACE}+', ' ') ELSE {expression} END"
+    )
+    return f"coalesce(lower(trim(trim(TRAILING ';' FROM trim({folded})))), '')"
 
 
 def normalize_sql(column: str) -> Column:
