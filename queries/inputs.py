@@ -235,7 +235,7 @@ _NUM = "CAST({ck} AS INT) - CASE WHEN pk % 40 = 0 THEN 8 ELSE 0 END".format(ck="
 
 # Raw system tables of one server, ``env`` first.
 RAW = {
-    "namespace": "SELECT 'a' AS env, CAST(r_regionkey AS BIGINT) AS oid, CASE WHEN r_regionkey = 0 THEN 'public' ELSE lower(r_name) END AS nspname FROM {region}",
+    "namespace": f"SELECT 'a' AS env, s_suppkey AS oid, CASE WHEN s_suppkey = 0 THEN 'public' ELSE 'n' || {_str('s_suppkey')} END AS nspname FROM {{supplier}}",
     "class": f"""
 SELECT 'a' AS env, o_orderkey AS oid, 't' || {_str('o_orderkey')} AS relname,
   CAST(CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS relnamespace,
