@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import decontaminate, mixing, quality, simhash, token_files
+from tablecheck.llm import decontaminate, mixing, quality, repeats, shards, simhash, surrogates, token_counts, token_files, warc
+from tablecheck.llm.staging import new_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +30,34 @@ def token_files_query(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.encoded(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.counts(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def surrogates_query(spark: SparkSession, folder: str) -> DataFrame:
+    found = surrogates.replaced(_table(spark, folder, "documents"), key="surrogates-1")
+    return found.select("doc.doc_id", "text", F.size("replaced").alias("n_replaced"), F.array_distinct("replaced.kind").alias("kinds"))
+
+
+def warc_query(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "warc")
+    warc.write(_table(spark, folder, "pages"), path)
+    fields = F.col("metadata.fields")
+    page, size, referred = (fields[c].cast("long") for c in ("pageId", "payloadLength", "refersToPage"))
+    return warc.captures(warc.records(spark, path, with_payload=False)).select(
+        page.alias("page_id"), F.coalesce("response.payload_bytes", size).alias("payload_bytes"), "response.payload_digest",
+        "response.record_type", referred.alias("refers_to"),
+    )
+
+
+def shards_query(spark: SparkSession, folder: str) -> DataFrame:
+    placed = shards.placed(_table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot", "map_version",
+    )
+
+
 def simhash_query(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.classes(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,12 +68,21 @@ def decontaminate_query(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def repeats_query(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.cut(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": mixing_query,
     "op2_quality_rules": quality_query,
     "op3_token_files": token_files_query,
+    "op4_token_counts": token_counts_query,
+    "op5_surrogates": surrogates_query,
+    "op6_warc_captures": warc_query,
+    "op7_virtual_slots": shards_query,
     "op8_simhash": simhash_query,
     "op9_decontaminate": decontaminate_query,
+    "op10_repeated_passages": repeats_query,
 }
 
 ORACLES: dict[str, str] = {
@@ -125,4 +163,33 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM norm LEFT JOIN words USING (n) LEFT JOIN items USING (n)""",
+    "op6_warc_captures": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+        ), d AS (
+            SELECT page_id, strlen(html)::BIGINT AS payload_bytes, h, max(page_id) OVER (PARTITION BY h) AS last FROM p
+        )
+        SELECT page_id, payload_bytes,
+            translate(to_base(('0x' || substr(h, 1, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(h, 11, 10))::BIGINT, 32, 8)
+                || to_base(('0x' || substr(h, 21, 10))::BIGINT, 32, 8) || to_base(('0x' || substr(h, 31, 10))::BIGINT, 32, 8),
+                '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+            CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id < last THEN last END AS refers_to
+        FROM d""",
+    "op10_repeated_passages": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), win AS (
+            SELECT n, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h
+            FROM (SELECT n, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+        ), again AS (SELECT n, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+        gone AS (SELECT DISTINCT n, unnest(range(i, i + 50)) AS i FROM again),
+        lost AS (SELECT n, count(*) AS n_removed FROM gone GROUP BY n),
+        kept AS (
+            SELECT n, string_agg(word, ' ' ORDER BY i) AS words
+            FROM (SELECT n, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d) LEFT JOIN (SELECT n, i, true AS gone FROM gone) USING (n, i)
+            WHERE gone IS NULL GROUP BY n
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+        FROM d LEFT JOIN lost USING (n) LEFT JOIN kept USING (n)""",
 }
