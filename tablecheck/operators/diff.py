@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tablecheck.functions.text import quote_name
 from tablecheck.model import SAMPLE_SIZE, Catalog, Side
 from tablecheck.operators import structure
+from tablecheck.sources.checkpoints import Scratch
 from tablecheck.sources.tables import resolve_name
 
 
@@ -47,6 +48,53 @@ def _check_names(df: DataFrame) -> None:
         raise ValueError("Columns differ in letter case only: set spark.sql.caseSensitive=true to compare them.")
 
 
+_WHOLE_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+_FLOATS = (T.FloatType, T.DoubleType)
+
+
+def _decimal_of(kind: T.DataType) -> T.DecimalType | None:
+    """The decimal type that holds exactly the values of a whole or decimal type."""
+    if isinstance(kind, T.DecimalType):
+        return kind
+    digits = _WHOLE_DIGITS.get(type(kind))
+    return T.DecimalType(digits, 0) if digits else None
+
+
+def _plain(number: Column) -> Column:
+    """A decimal as text that depends on its value only: no exponent, no zeros at the end."""
+    text = number.cast("string")
+    small = r"^-?(\d)(?:\.(\d+))?E-(\d+)$"
+    zeros = F.repeat(F.lit("0"), F.regexp_extract(text, small, 3).cast("int") - 1)
+    written = F.concat(
+        F.when(number < 0, "-").otherwise(""), F.lit("0."), zeros, F.regexp_extract(text, small, 1), F.regexp_extract(text, small, 2)
+    )
+    text = F.when(text.rlike(small), written).otherwise(text)
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(number == 0, "0").otherwise(short)
+
+
+def _exact(value: Column) -> Column:
+    """A double as the text of the decimal that it equals, NULL if it equals none of 38 digits.
+
+    The whole part is taken in three limbs of 40 bits. A fraction is a decimal of up to 38 places only if it is a number
+    of 2^-38ths, and then it is that number times 5^38 in units of 10^-38; every step on doubles is exact.
+    """
+    size = F.abs(value)
+    # From 2^53 on every double is whole, and from 2^63 on floor would not hold it.
+    whole = F.when(size < 2.0**53, F.floor(size).cast("double")).when(size < 1e38, size).otherwise(0.0)
+    high = F.floor(whole / 2.0**80).cast("double")
+    low = whole - high * 2.0**80
+    middle = F.floor(low / 2.0**40).cast("double")
+    limbs = ((high, "1208925819614629174706176"), (middle, "1099511627776"), (low - middle * 2.0**40, "1"))
+    digits = sum((limb.cast("bigint").cast("decimal(14,0)") * F.lit(unit).cast("decimal(25,0)") for limb, unit in limbs[1:]),
+                 limbs[0][0].cast("bigint").cast("decimal(14,0)") * F.lit(limbs[0][1]).cast("decimal(25,0)"))
+    part = (size - whole) * 2.0**38
+    places = part.cast("bigint").cast("decimal(12,0)") * F.lit(str(5**38)).cast("decimal(27,0)")
+    fraction = F.regexp_replace(F.lpad(places.cast("string"), 38, "0"), "0+$", "")
+    text = F.concat(F.when(value < 0, "-").otherwise(""), digits.cast("string"), F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""))
+    return F.when((size < 1e38) & (part == F.floor(part)), F.when(value == 0, "0").otherwise(text))
+
+
 def _comparable(column: Column, mine: T.DataType, other: T.DataType) -> Column:
     """The column in a form that makes equal exactly what is equal across the two types."""
     if "variant" in mine.simpleString():
@@ -63,16 +111,27 @@ def _comparable(column: Column, mine: T.DataType, other: T.DataType) -> Column:
         )
     if isinstance(mine, T.BooleanType):
         return column.cast("int")
-    floats = (T.FloatType, T.DoubleType)
-    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    if isinstance(mine, floats) and isinstance(other, whole):
+    whole = tuple(_WHOLE_DIGITS)
+    if isinstance(mine, _FLOATS) and isinstance(other, whole):
         value = column.cast("double")
         fits = (value == F.floor(value)) & (value >= -(2.0**63)) & (value < 2.0**63)
         return F.struct(
             F.when(fits, value.cast("bigint")).alias("whole"), F.when(~fits | F.isnan(value), value).alias("rest")
         )
-    if isinstance(mine, whole) and isinstance(other, floats):
+    if isinstance(mine, whole) and isinstance(other, _FLOATS):
         return F.struct(column.cast("bigint").alias("whole"), F.lit(None).cast("double").alias("rest"))
+    if isinstance(mine, _FLOATS) and isinstance(other, T.DecimalType):
+        value = column.cast("double")
+        text = _exact(value)
+        return F.struct(text.alias("exact"), F.when(text.isNull(), value).alias("rest"))
+    if isinstance(mine, T.DecimalType) and isinstance(other, _FLOATS):
+        return F.struct(_plain(column).alias("exact"), F.lit(None).cast("double").alias("rest"))
+    here, there = _decimal_of(mine), _decimal_of(other)
+    if T.DecimalType in (type(mine), type(other)) and here and there:
+        digits, scale = max(d.precision - d.scale for d in (here, there)), max(d.scale for d in (here, there))
+        if digits + scale <= T.DecimalType(38, 0).precision:
+            return column.cast(T.DecimalType(max(digits + scale, 1), scale))
+        return _plain(column.cast(here))
     return column
 
 
@@ -89,38 +148,52 @@ def aligned(source: DataFrame, target: DataFrame, columns: Sequence[str] | None
 
 
 def bag_counts(
-    source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, buckets: int = 0
+    source: DataFrame, target: DataFrame, columns: Sequence[str] | None = None, bucket_rows: int = 0
 ) -> DataFrame:
     """Every distinct row with its number of copies, ``source_rows`` and ``target_rows``.
 
-    With ``buckets`` rows are first summarised per hash bucket and only those of buckets that differ
-    go through the exact aggregate; rows equal on both sides are then left out of the result. That
-    saves the shuffle of whole rows when the sides are nearly equal, at the price of a second scan.
+    With ``bucket_rows`` rows are first summarised per hash bucket of about that many rows, and only those of buckets that
+    differ go through the exact aggregate; rows equal on both sides are then left out of the result. That saves the shuffle
+    of whole rows when the sides are nearly equal, at the price of further scans.
     Calling two buckets equal rests on their counts and two independent 64-bit sums.
     """
     s, t = aligned(source, target, columns)
     names = s.columns
     both = s.withColumn("__side", F.lit(1)).unionByName(t.withColumn("__side", F.lit(0)))
-    if buckets:
-        both = _differing_buckets(both, names, buckets)
+    if bucket_rows:
+        both = _differing_buckets(both, names, bucket_rows)
     return both.groupBy(*[_ident(c) for c in names]).agg(
         F.sum(F.col("__side").cast("bigint")).alias("source_rows"),
         F.sum((1 - F.col("__side")).cast("bigint")).alias("target_rows"),
     )
 
 
-def _differing_buckets(both: DataFrame, names: Sequence[str], buckets: int) -> DataFrame:
-    content = [F.col(_ident(c)) for c in names]
-    hashed = both.withColumn("__bucket", F.pmod(F.xxhash64(*content), F.lit(buckets)))
+def _marked(column: Column, kind: T.DataType) -> Column:
+    """The value with a flag for NULL at every level, since a hash passes over NULLs, and with the lengths of arrays."""
+    parts = [column]
+    if isinstance(kind, T.ArrayType):
+        parts = [F.size(column), F.transform(column, lambda e: _marked(e, kind.elementType))]
+    elif isinstance(kind, T.MapType):
+        keys = F.sort_array(F.map_keys(column))
+        parts = [F.size(column), F.transform(keys, lambda k: F.struct(k, _marked(F.element_at(column, k), kind.valueType)))]
+    elif isinstance(kind, T.StructType):
+        parts = [_marked(column[f.name], f.dataType) for f in kind.fields]
+    return F.struct(column.isNull(), *parts)
+
+
+def _differing_buckets(both: DataFrame, names: Sequence[str], bucket_rows: int) -> DataFrame:
+    content = [_marked(F.col(_ident(c)), both.schema[c].dataType) for c in names]
+    # One row, counted when the query runs: the number of buckets follows the tables.
+    total = both.agg(F.greatest(F.ceil(F.count("*") / bucket_rows), F.lit(1)).alias("__buckets"))
+    hashed = both.join(F.broadcast(total)).withColumn("__bucket", F.pmod(F.xxhash64(*content), F.col("__buckets"))).drop("__buckets")
     first = F.xxhash64(F.lit(1), *content).cast("decimal(20,0)")
     second = F.xxhash64(F.lit(2), *content).cast("decimal(20,0)")
     sign = F.when(F.col("__side") == 1, 1).otherwise(-1)
     sums = hashed.groupBy("__bucket").agg(
         F.sum(sign.cast("bigint")).alias("n"), F.sum(sign * first).alias("a"), F.sum(sign * second).alias("b")
     )
-    # At most ``buckets`` rows, whatever the size of the tables.
     changed = sums.filter("n <> 0 OR a <> 0 OR b <> 0").select("__bucket")
-    return hashed.join(F.broadcast(changed), "__bucket", "left_semi").drop("__bucket")
+    return hashed.join(changed, "__bucket", "left_semi").drop("__bucket")
 
 
 def excess_rows(bag: DataFrame) -> DataFrame:
@@ -209,13 +282,13 @@ def summarize(excess: DataFrame, source: DataFrame, target: DataFrame) -> DataFr
     )
 
 
-def compare_data(source: DataFrame, target: DataFrame, names=("source", "target"), buckets: int = 0) -> DataFrame:
+def compare_data(source: DataFrame, target: DataFrame, names=("source", "target"), bucket_rows: int = 0) -> DataFrame:
     """One summary row, whether or not the data could be compared."""
     reason = column_gate(source.columns, target.columns, names)
     if reason:
         return not_compared(source, target, reason)
-    bag = bag_counts(source, target, buckets=buckets)
-    if buckets:  # the bag then lacks the rows of equal buckets
+    bag = bag_counts(source, target, bucket_rows=bucket_rows)
+    if bucket_rows:  # the bag then lacks the rows of equal buckets
         return summarize(excess_rows(bag), source, target)
     return diff_counts(bag).withColumn("data_skip_reason", F.lit(""))
 
@@ -230,7 +303,7 @@ class TableComparison:
     source_table: str
     target_table: str
     sample_size: int = SAMPLE_SIZE
-    buckets: int = 0
+    bucket_rows: int = 0
 
     @property
     def names(self) -> tuple[str, str]:
@@ -264,11 +337,20 @@ class TableComparison:
 
     @cached_property
     def excess(self) -> DataFrame | None:
-        """Rows in excess on either side. They are persisted, since the summary and both samples start from
-        them; ``unpersist`` them when done."""
+        """Rows in excess on either side, written once to the shared folder, since the summary and both samples start
+        from them. The files go with :meth:`close`, or when the session ends."""
         if self.skip_reason:
             return None
-        return excess_rows(bag_counts(self.source_df, self.target_df, buckets=self.buckets)).persist()
+        return self._scratch.keep(excess_rows(bag_counts(self.source_df, self.target_df, bucket_rows=self.bucket_rows)), "excess")
+
+    @cached_property
+    def _scratch(self) -> Scratch:
+        return Scratch(self.source_df.sparkSession)
+
+    def close(self) -> None:
+        """Remove the files behind ``excess``; what was computed from it must be done."""
+        if "_scratch" in self.__dict__:
+            self._scratch.remove()
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -287,14 +369,14 @@ class TableComparison:
 
 
 def compare_table(
-    source: Side, target: Side, table: str, size: int = SAMPLE_SIZE, buckets: int = 0
+    source: Side, target: Side, table: str, size: int = SAMPLE_SIZE, bucket_rows: int = 0
 ) -> TableComparison:
     """Structure and data of one table; swap the sides to compare in the other direction."""
     if source.catalog is None or target.catalog is None:
         raise ValueError("Both sides need a catalog.")
     wanted = table.strip()
     found = [resolve_name(side.catalog, wanted, side.name) for side in (source, target)]
-    return TableComparison(source, target, wanted, *found, size, buckets)
+    return TableComparison(source, target, wanted, *found, size, bucket_rows)
 
 
 def rename_table(catalog: Catalog, old: str, new: str) -> Catalog:

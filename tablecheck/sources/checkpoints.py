@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -18,3 +19,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
         folder = tempfile.mkdtemp(prefix="tablecheck-checkpoints-")
     context.setCheckpointDir(folder)
+
+
+class Scratch:
+    """Tables written below the shared folder so that later steps start from files. They are removed on request, or by
+    Hadoop when the session's JVM ends."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path(self.root)
+        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.deleteOnExit(self._path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a frame and go on from its files."""
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        self._fs.delete(self._path, True)
