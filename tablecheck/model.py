@@ -14,8 +14,8 @@ IMPACTS = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 # Type names that count as text for the empty-text check.
 TEXT_TYPES = ("character varying", "character", "text")
 
-# Foreign-key columns that only record who changed a row.
-AUDIT_COLUMNS = ("id_usuario_modificacion",)
+# Foreign-key columns that only record who changed a row: none unless a caller names them.
+AUDIT_COLUMNS: tuple[str, ...] = ()
 
 REVIEW_LIMIT = 50
 SAMPLE_SIZE = 20
@@ -174,6 +174,7 @@ class ForeignKey:
     source_nullable: tuple[str, ...] = ()
     target_nullable: tuple[str, ...] = ()
     parent_schema: str = ""
+    table_schema: str = ""
 
 
 @dataclass(frozen=True)

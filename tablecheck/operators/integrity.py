@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.functions.text import all_present, any_null, qualify_name, quote_name
@@ -18,7 +18,7 @@ from tablecheck.model import (
     AUDIT_COLUMNS, FINDING_COLUMNS, IMPACTS, REVIEW_LIMIT, TEXT_TYPES, Catalog, ForeignKey, Key, Required, RuleSet,
 )
 from tablecheck.operators.diff import sort_columns
-from tablecheck.operators.skew import HOT_ROWS, distinct_keys, key_counts, keyed_join, lookup
+from tablecheck.operators.skew import HOT_BYTES, broadcast_limit, distinct_keys, input_bytes, key_counts, keyed_join, lookup
 
 # Order in which a full run reports the kinds of finding.
 STAGES = ("REQUIRED_NULL_VALUES", "FK_NULL_RELATION", "FK_ORPHAN_ROWS", "DUPLICATE_KEY_VALUES", "REQUIRED_EMPTY_TEXT")
@@ -162,13 +162,22 @@ def predicate_counts(df: DataFrame, predicates: Mapping[int, str]) -> DataFrame:
 
 
 def parent_lookup(child: DataFrame, fk: ForeignKey, parent: DataFrame) -> DataFrame:
-    """Distinct complete keys of the child that no parent row has, with their number of rows."""
+    """Distinct complete keys of the child that no parent row has, with their number of rows.
+
+    Both sides are one row per key before they meet, so neither a frequent child nor a repeated parent fills a task.
+    """
     counts = key_counts(child, list(fk.columns))
-    keys = parent.select(*[F.col(f"`{p}`").alias(f"__p{i}") for i, p in enumerate(fk.parent_columns)])
-    on = [F.col(f"`{c}`") == F.col(f"__p{i}") for i, c in enumerate(fk.columns)]
+    keys, on = _parent_keys(fk, parent)
     return counts.join(keys, on, "left_anti")
 
 
+def _parent_keys(fk: ForeignKey, parent: DataFrame, tag: str = "p") -> tuple[DataFrame, list[Column]]:
+    """Distinct keys of the parent under names of their own, and the condition that joins a child to them."""
+    names = [f"__{tag}{i}" for i in range(len(fk.columns))]
+    keys = parent.select(*[F.col(f"`{p}`").alias(n) for p, n in zip(fk.parent_columns, names)]).distinct()
+    return keys, [F.col(f"`{c}`") == F.col(n) for c, n in zip(fk.columns, names)]
+
+
 def orphan_count(child: DataFrame, parent: DataFrame, fk: ForeignKey) -> DataFrame:
     """``n``: rows of the child whose complete key no parent has."""
     return parent_lookup(child, fk, parent).selectExpr("coalesce(sum(rows_per_key), 0) AS n")
@@ -198,7 +207,7 @@ def check(
     known = _Rules(schema, audit)
     parts: list[DataFrame] = []
     for table in sorted(tables):
-        predicates: dict[int, str] = {}
+        rows, predicates = tables[table], {}
         for r in (r for r in rules.required if r.table == table):
             if "REQUIRED_NULL_VALUES" in kinds:
                 predicates[known.nulls(r)] = null_predicate([r.column])
@@ -207,25 +216,30 @@ def check(
         for fk in (f for f in rules.foreign_keys if f.table == table):
             if fk.source_nullable and "FK_NULL_RELATION" in kinds:
                 predicates[known.fk_nulls(fk)] = null_predicate(fk.columns)
+            if "FK_ORPHAN_ROWS" not in kinds or fk.parent not in tables or not set(fk.parent_columns) <= set(tables[fk.parent].columns):
+                continue
+            number = known.orphans(fk)
+            keys, on = _parent_keys(fk, tables[fk.parent], f"p{number}_")
+            if 0 < input_bytes(keys) <= broadcast_limit(rows):
+                # What the parent's files hold is small: its keys travel to the child's one scan.
+                flag = f"__fk{number}"
+                rows = rows.join(F.broadcast(keys.withColumn(flag, F.lit(True))), on, "left")
+                predicates[number] = f"NOT ({null_predicate(fk.columns)}) AND {flag} IS NULL"
+            else:
+                counted = orphan_count(tables[table], tables[fk.parent], fk)
+                parts.append(counted.selectExpr(f"{number} AS rule_id", "n"))
         if predicates:
-            parts.append(predicate_counts(tables[table], predicates))
-    if "FK_ORPHAN_ROWS" in kinds:
-        for fk in rules.foreign_keys:
-            if fk.parent in tables and set(fk.parent_columns) <= set(tables[fk.parent].columns):
-                counted = orphan_count(tables[fk.table], tables[fk.parent], fk)
-                parts.append(counted.selectExpr(f"{known.orphans(fk)} AS rule_id", "n"))
+            parts.append(predicate_counts(rows, predicates))
     if "DUPLICATE_KEY_VALUES" in kinds:
         for key in rules.keys:
             counted = duplicate_count(tables[key.table], key)
             parts.append(counted.selectExpr(f"{known.duplicates(key)} AS rule_id", "n"))
-    if not parts:
-        raise ValueError("No rule applies to the given tables.")
-    counts = reduce(DataFrame.unionAll, parts)
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    counts = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "rule_id INT, n BIGINT")
     if not include_zero:
         counts = counts.filter("n > 0")
     # One row per rule on both sides.
-    texts = counts.sparkSession.createDataFrame(known.rows, META_DDL)
-    found = counts.join(F.broadcast(texts), "rule_id").withColumnRenamed("n", "count")
+    found = counts.join(spark.createDataFrame(known.rows, META_DDL), "rule_id").withColumnRenamed("n", "count")
     return found.withColumn("description", F.concat("before", F.col("count").cast("string"), "after")).select(
         *FINDING_COLUMNS
     )
@@ -315,9 +329,9 @@ def review_blanks(df: DataFrame, column: str, limit: int = REVIEW_LIMIT) -> Data
     return _first(df.filter(blank_predicate(column)), limit)
 
 
-def orphan_rows(child: DataFrame, parent: DataFrame, fk: ForeignKey, hot_rows: int = HOT_ROWS) -> DataFrame:
+def orphan_rows(child: DataFrame, parent: DataFrame, fk: ForeignKey, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """The whole child rows whose complete key no parent has."""
-    flagged = lookup(child, list(fk.columns), distinct_keys(parent, list(fk.parent_columns)), "__has_parent", hot_rows)
+    flagged = lookup(child, list(fk.columns), distinct_keys(parent, list(fk.parent_columns)), "__has_parent", hot_bytes)
     return flagged.filter(all_present(fk.columns) & ~F.col("__has_parent")).drop("__has_parent")
 
 
@@ -335,14 +349,14 @@ def _first(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(*sort_columns(df)).limit(limit)
 
 
-def repair_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repair_orphans(child: DataFrame, parent: DataFrame, fk: ForeignKey, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """The child with the key columns of orphans set to NULL, and ``repaired`` to mark those rows.
 
     Unless all key columns accept NULL in the target, there is no automatic repair and the rows stay.
     """
     if set(fk.columns) - set(fk.target_nullable):
         return child.withColumn("repaired", F.lit(False))
-    flagged = lookup(child, list(fk.columns), distinct_keys(parent, list(fk.parent_columns)), "__has_parent", hot_rows)
+    flagged = lookup(child, list(fk.columns), distinct_keys(parent, list(fk.parent_columns)), "__has_parent", hot_bytes)
     orphan = all_present(fk.columns) & ~F.col("__has_parent")
     flagged = flagged.withColumn("repaired", orphan)
     return flagged.select(

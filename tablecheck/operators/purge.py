@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck.model import Catalog, ForeignKey, TableRef
-from tablecheck.operators.skew import HOT_ROWS, distinct_keys, lookup
-from tablecheck.sources.checkpoints import ensure_checkpoint_dir
+from tablecheck.operators.skew import HOT_BYTES, distinct_keys, lookup
+from tablecheck.sources.checkpoints import Scratch, ensure_checkpoint_dir
 from tablecheck.sources.store import TableStore
 from tablecheck.sources.tables import resolve_name, table_counts
 
@@ -33,8 +33,24 @@ def fk_edges(catalog: Catalog) -> DataFrame:
     )
 
 
+def raw_fk_edges(raw: Mapping[str, DataFrame], env: str | None = None) -> DataFrame:
+    """Distinct parent-child pairs over all schemas, from the raw system tables of :mod:`tablecheck.sources.catalog`.
+
+    A catalog holds the constraints of one schema; what lies in others may still depend on its tables.
+    """
+    c = F.col
+    if env is not None:
+        raw = {k: df.filter(c("env") == env) for k, df in raw.items()}
+    spaces = raw["namespace"].select("env", c("oid").alias("relnamespace"), c("nspname").alias("schema"))
+    named = raw["class"].join(spaces, ["env", "relnamespace"]).select("env", "oid", F.struct("schema", c("relname").alias("name")).alias("ref"))
+    keys = raw["constraint"].filter("contype = 'f'").select("env", "conrelid", "confrelid").distinct()
+    child = keys.join(named.select("env", c("oid").alias("conrelid"), c("ref").alias("child")), ["env", "conrelid"])
+    both = child.join(named.select("env", c("oid").alias("confrelid"), c("ref").alias("parent")), ["env", "confrelid"])
+    return both.select("parent", "child").filter(c("parent") != c("child")).distinct()
+
+
 def rule_edges(spark: SparkSession, foreign_keys: Sequence[ForeignKey], schema: str = "public") -> DataFrame:
-    rows = {((f.parent_schema or schema, f.parent), (schema, f.table)) for f in foreign_keys}
+    rows = {((f.parent_schema or schema, f.parent), (f.table_schema or schema, f.table)) for f in foreign_keys}
     return spark.createDataFrame(sorted(r for r in rows if r[0] != r[1]), EDGE_DDL)
 
 
@@ -130,56 +146,91 @@ class PurgePlan:
         return spark.createDataFrame(rows, "ord INT, schema STRING, name STRING, row_count BIGINT")
 
 
+def by_ref(tables: Mapping[str | TableRef, DataFrame], schema: str = "public") -> dict[TableRef, DataFrame]:
+    """Tables by schema and name. A plain name is one of ``schema``; ``schema.name`` is one of that schema."""
+    return {_ref(t, schema): df for t, df in tables.items()}
+
+
+def _ref(table: str | TableRef, schema: str) -> TableRef:
+    if isinstance(table, TableRef):
+        return table
+    space, dot, name = table.partition(".")
+    return TableRef(space, name) if dot else TableRef(schema, table)
+
+
+def _name(ref: TableRef, schema: str) -> str:
+    return ref.name if ref.schema == schema else f"{ref.schema}.{ref.name}"
+
+
 def plan_rows(
-    tables: Mapping[str, DataFrame], edges: DataFrame, root: TableRef
+    tables: Mapping[str | TableRef, DataFrame], edges: DataFrame, root: TableRef, schema: str = "public"
 ) -> DataFrame:
-    """The plan as a frame, ``depth, schema, name, row_count``; counts of all tables are one job."""
+    """The plan as a frame, ``depth, schema, name, row_count``; counts of all tables are one job.
+
+    Raises, naming them, when tables of the closure are not among ``tables``: a purge without them would leave orphans.
+    """
     closed = closure(edges, root)
-    names = {r.table.name for r in closed.select("table").collect()}
-    counts = table_counts({t: df for t, df in tables.items() if t in names})
-    return closed.select("depth", "table.schema", "table.name").join(
-        F.broadcast(counts.withColumnRenamed("table_name", "name")), "name"
-    ).select("depth", "schema", "name", "row_count")
+    known = by_ref(tables, schema)
+    refs = sorted(TableRef(*r.table) for r in closed.select("table").collect())
+    absent = [f"{r.schema}.{r.name}" for r in refs if r not in known]
+    if absent:
+        raise ValueError(f"These tables depend on {root.schema}.{root.name} but are not loaded: {', '.join(absent)}.")
+    counts = table_counts({f"{r.schema}.{r.name}": known[r] for r in refs})
+    whole = closed.select("depth", "table.schema", "table.name").withColumn("table_name", F.concat_ws(".", "schema", "name"))
+    return whole.join(counts, "table_name").select("depth", "schema", "name", "row_count")
 
 
 def purge_plan(
-    tables: Mapping[str, DataFrame], edges: DataFrame, root: str, side: str = "target", schema: str = "public",
+    tables: Mapping[str | TableRef, DataFrame], edges: DataFrame, root: str, side: str = "target", schema: str | None = None,
     catalog: Catalog | None = None,
 ) -> PurgePlan:
+    """The plan for one table of ``schema``, by default the catalog's."""
+    schema = schema or (catalog.schema if catalog is not None else "public")
     name = resolve_name(catalog, root, side) if catalog is not None else root
     ref = TableRef(schema, name)
-    rows = plan_rows(tables, edges, ref).orderBy(F.desc("depth"), "schema", "name").collect()
+    rows = plan_rows(tables, edges, ref, schema).orderBy(F.desc("depth"), "schema", "name").collect()
     refs = tuple(TableRef(r.schema, r.name) for r in rows)
     return PurgePlan(side, ref, refs, {TableRef(r.schema, r.name): r.row_count for r in rows})
 
 
 def doomed_rows(
-    tables: Mapping[str, DataFrame], foreign_keys: Sequence[ForeignKey], order: Sequence[str],
-    where: Column | None = None, hot_rows: int = HOT_ROWS,
+    tables: Mapping[str | TableRef, DataFrame], foreign_keys: Sequence[ForeignKey], order: Sequence[str | TableRef],
+    where: Column | None = None, hot_bytes: int = HOT_BYTES, schema: str = "public",
 ) -> dict[str, DataFrame]:
     """Every table of the closure with ``doomed``: whether a purge of the root takes the row.
 
     ``order`` lists the closure parents first. Without ``where`` all rows go. With it, the root loses
-    the rows it selects and every child the rows that refer to a row that is lost.
+    the rows it selects and every child the rows that refer to a row that is lost. The lost keys of each table are
+    written once to the shared folder when this is called, so a table's plan has one join per foreign key, at any depth.
     """
+    known = by_ref(tables, schema)
+    refs = [_ref(t, schema) for t in order]
     if where is None:
-        return {t: tables[t].withColumn("doomed", F.lit(True)) for t in order}
+        return {_name(r, schema): known[r].withColumn("doomed", F.lit(True)) for r in refs}
+    ends = [(TableRef(f.table_schema or schema, f.table), TableRef(f.parent_schema or schema, f.parent), f) for f in foreign_keys]
+    inside = set(refs)
+    scratch = Scratch(known[refs[0]].sparkSession)
+    lost: dict[tuple[TableRef, tuple[str, ...]], DataFrame] = {}
     flagged: dict[str, DataFrame] = {}
-    for table in order:
-        df = tables[table]
-        if any(f.table == table and f.parent == table for f in foreign_keys):
-            raise ValueError(f"'{table}' refers to itself: purge it as a whole.")
+    for ref in refs:
+        df = known[ref]
+        if any(child == parent == ref for child, parent, _ in ends):
+            raise ValueError(f"'{_name(ref, schema)}' refers to itself: purge it as a whole.")
         if not flagged:
-            flagged[table] = df.withColumn("doomed", F.coalesce(where, F.lit(False)))
-            continue
-        hits: list[str] = []
-        for fk in foreign_keys:
-            if fk.table == table and fk.parent in flagged:
-                lost = distinct_keys(flagged[fk.parent].filter("doomed"), list(fk.parent_columns))
-                hits.append(f"__lost{len(hits)}")
-                df = lookup(df, list(fk.columns), lost, hits[-1], hot_rows)
-        gone = reduce(lambda a, b: a | b, [F.col(h) for h in hits], F.lit(False))
-        flagged[table] = df.withColumn("doomed", gone).drop(*hits)
+            df = df.withColumn("doomed", F.coalesce(where, F.lit(False)))
+        else:
+            hits: list[str] = []
+            for child, parent, fk in ends:
+                if child == ref and (parent, fk.parent_columns) in lost:
+                    hits.append(f"__lost{len(hits)}")
+                    df = lookup(df, list(fk.columns), lost[parent, fk.parent_columns], hits[-1], hot_bytes)
+            gone = reduce(lambda a, b: a | b, [F.col(h) for h in hits], F.lit(False))
+            df = df.withColumn("doomed", gone).drop(*hits)
+        flagged[_name(ref, schema)] = df
+        for child, parent, fk in ends:
+            if parent == ref and child in inside and (ref, fk.parent_columns) not in lost:
+                keys = distinct_keys(df.filter("doomed"), list(fk.parent_columns))
+                lost[ref, fk.parent_columns] = scratch.keep(keys, "lost")
     return flagged
 
 
@@ -200,18 +251,18 @@ def cascade_purge(
 ) -> dict[TableRef, int]:
     """Carry out a plan: all tables change together or none does. Returns the rows deleted per table."""
     _check_side(plan, side)
-    tables = store.read_all()
-    parents_first = [t.name for t in reversed(plan.order)]
-    flagged = doomed_rows(tables, foreign_keys, parents_first, where)
-    before = {t: tables[t].count() for t in parents_first}
+    tables, schema = store.read_all(), plan.target.schema
+    flagged = doomed_rows(tables, foreign_keys, list(reversed(plan.order)), where, schema=schema)
+    names = {t: _name(t, schema) for t in plan.order}
+    before = {r.table_name: r.row_count for r in table_counts({n: tables[n] for n in names.values()}).collect()}
     kept = store.publish({t: df.filter("NOT doomed").drop("doomed") for t, df in flagged.items()})
-    return {t: before[t.name] - kept[t.name] for t in plan.order}
+    return {t: before[n] - kept[n] for t, n in names.items()}
 
 
 def cascade_drop(store: TableStore, plan: PurgePlan, side: str = "target") -> list[TableRef]:
     """Remove the plan's tables from the store in one step; their order is children first."""
     _check_side(plan, side)
-    store.publish({}, drop=[t.name for t in plan.order])
+    store.publish({}, drop=[_name(t, plan.target.schema) for t in plan.order])
     return list(plan.order)
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablecheck.functions.text import all_present, any_null
-from tablecheck.sources.checkpoints import ensure_checkpoint_dir
 
-# A key with more rows than this is spread over several tasks.
-HOT_ROWS = 5_000_000
+#: Without another limit a key is spread over several tasks if its rows hold more than so many advisory partitions.
+HOT_PARTITIONS = 4
+#: The most keys that are spread: one needs at least this share of all bytes.
+HOT_KEYS = 10_000
+HOT_BYTES = 0
 
 
 def _q(name: str) -> str:
@@ -42,18 +44,50 @@ def distinct_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.filter(all_present(columns)).select(*[F.col(_q(c)) for c in columns]).distinct()
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: its texts as they are, other values by their type's usual size."""
+    fixed = 8 * len(df.columns)
+    texts = [F.coalesce(F.octet_length(_q(f.name)), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    nested = [
+        8 * F.greatest(F.coalesce(F.size(_q(f.name)), F.lit(0)), F.lit(0))
+        for f in df.schema.fields if f.dataType.simpleString().startswith(("array", "map"))
+    ]
+    return reduce(lambda x, y: x + y, texts + nested, F.lit(fixed)).cast("bigint")
+
+
+def _hot_keys(rows: DataFrame, on: list[str], hot_bytes: int) -> DataFrame:
+    """``__hot, __salts``: hashes of the keys that hold too much for a task, and over how many they are spread.
+
+    A key needs a 10,000th of all bytes as well, so there are at most HOT_KEYS of them, 12 bytes each.
+    """
+    if not hot_bytes:
+        hot_bytes = HOT_PARTITIONS * _advisory_bytes(rows)
+    per_key = rows.filter(all_present(on)).select(_hashed(on).alias("__hot"), row_bytes(rows).alias("b")).groupBy("__hot").agg(F.sum("b").alias("b"))
+    limit = per_key.agg(F.greatest(F.lit(hot_bytes), F.ceil(F.sum("b") / HOT_KEYS)).alias("__limit"))
+    hot = per_key.join(F.broadcast(limit)).filter("b > __limit")
+    return hot.select("__hot", F.ceil(F.col("b") / F.col("__limit")).cast("int").alias("__salts"))
+
+
+def _advisory_bytes(df: DataFrame) -> int:
+    value = df.sparkSession.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    return int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value))
+
+
+def _hashed(columns: list[str]) -> Column:
+    return F.xxhash64(*[_q(c) for c in columns])
+
+
 def keyed_join(
-    rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "left", hot_rows: int = HOT_ROWS,
+    rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "left", hot_bytes: int = HOT_BYTES,
     force_salt: bool = False,
 ) -> DataFrame:
     """``rows`` with the other columns of ``keyed``, which has one row per key and the same key columns.
 
-    If what ``keyed`` reads is small, a plain join will do: Spark broadcasts it. Otherwise the keys of
-    more than ``hot_rows`` rows are found first, by one job over the key columns. There are at most
-    rows / hot_rows of them, so that list is safe to broadcast. The rows of such a key are spread over
-    as many salts as keep a task at about ``hot_rows`` rows, by the partition they come from, and the
-    key's entry in ``keyed`` is repeated once per salt. A rerun task gives the same salts. Rows with an
-    incomplete key match nothing and are spread too.
+    If what ``keyed`` reads is below the session's broadcast threshold, it is broadcast. Otherwise the bytes of every key
+    are added up as part of the same query; rows of a key that holds more than ``hot_bytes`` (by default four advisory
+    partitions) are spread over as many salts as that takes, by the partition they come from, and the key's entry in
+    ``keyed`` is repeated once per salt. A rerun task gives the same salts. Rows with an incomplete key match nothing and
+    are spread too. Nothing runs before the result is asked for, on either way.
     """
     names = [f"__k{i}" for i in range(len(on))]
     extra = [c for c in keyed.columns if c not in on]
@@ -61,20 +95,16 @@ def keyed_join(
     same = [F.col(_q(c)) == F.col(n) for c, n in zip(on, names)]
     columns = [_q(c) for c in rows.columns + extra]
     if not force_salt and 0 < input_bytes(keyed) <= broadcast_limit(rows):
-        return rows.join(right, same, how).select(*columns)
+        return rows.join(F.broadcast(right), same, how).select(*columns)
 
-    ensure_checkpoint_dir(rows.sparkSession)
-    hot_names = [f"__h{i}" for i in range(len(on))]
-    hot = key_counts(rows, on).filter(F.col("rows_per_key") > hot_rows)
-    salts = F.ceil(F.col("rows_per_key") / hot_rows).cast("int")
-    hot = hot.select(*[F.col(_q(c)).alias(h) for c, h in zip(on, hot_names)], salts.alias("__salts")).checkpoint()
+    hot = _hot_keys(rows, on, hot_bytes)
 
     def with_salts(df: DataFrame, keys: list[str]) -> DataFrame:
-        match = reduce(lambda a, b: a & b, [F.col(_q(k)) == F.col(h) for k, h in zip(keys, hot_names)])
-        return df.join(F.broadcast(hot), match, "left")
+        # Bounded by HOT_KEYS rows of two numbers.
+        return df.join(F.broadcast(hot), _hashed(keys) == F.col("__hot"), "left").drop("__hot")
 
     part = F.spark_partition_id()
-    salt = F.when(F.col("__salts").isNotNull(), F.pmod(part, F.col("__salts"))).when(any_null(on), part).otherwise(0)
+    salt = F.when(any_null(on), part).when(F.col("__salts").isNotNull(), F.pmod(part, F.col("__salts"))).otherwise(0)
     left = with_salts(rows, on).select(*[_q(c) for c in rows.columns], salt.alias("__salt"))
     every = F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)
     right = with_salts(right, names).select(*names, *[_q(c) for c in extra], F.explode(every).alias("__copy"))
@@ -82,9 +112,9 @@ def keyed_join(
 
 
 def lookup(
-    rows: DataFrame, columns: list[str], keys: DataFrame, flag: str, hot_rows: int = HOT_ROWS, force_salt: bool = False
+    rows: DataFrame, columns: list[str], keys: DataFrame, flag: str, hot_bytes: int = HOT_BYTES, force_salt: bool = False
 ) -> DataFrame:
     """Add ``flag``: whether the row's key (``columns``) is in ``keys`` (distinct, in the same order)."""
     marked = keys.toDF(*columns).withColumn(flag, F.lit(True))
-    joined = keyed_join(rows, marked, columns, "left", hot_rows, force_salt)
+    joined = keyed_join(rows, marked, columns, "left", hot_bytes, force_salt)
     return joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))

@@ -200,6 +200,7 @@ def build_constraints(raw: Raw, schema: str) -> DataFrame:
         "referenced_columns",
     )
     joined = (
+        # Constraints other than foreign keys all name table 0; the join spreads them.
         keyed_join(found, parents, ["env", "confrelid"])
         .join(columns, ["env", "oid"], "left")
         .join(referenced, ["env", "oid"], "left")
@@ -346,9 +347,10 @@ def catalog_from_dataframes(
 
 
 def write_snapshot(parts: Mapping[str, DataFrame], root: str) -> None:
-    """Store snapshot tables so that a comparison reads only the environments it compares."""
+    """Store snapshot tables so that a comparison reads only the environments it compares. Environments that are in
+    ``parts`` replace what is stored of them; the others stay."""
     for kind, df in parts.items():
-        df.write.mode("overwrite").partitionBy("env").parquet(f"{root}/{kind}")
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("env").parquet(f"{root}/{kind}")
 
 
 def read_snapshot(spark: SparkSession, root: str, env: str, schema: str = "public") -> Catalog:

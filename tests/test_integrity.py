@@ -10,7 +10,7 @@ FK = ForeignKey("c_p", "c", ("k1", "k2"), "p", ("k1", "k2"), ("k1", "k2"), ("k1"
 RULES = RuleSet(
     (Required("c", "id"), Required("c", "note", text=True), Required("absent", "x"), Required("c", "absent")),
     (Key("c_pk", "c", ("id",)), Key("c_k", "c", ("k1", "k2"), "u"), Key("no", "c", ("absent",))),
-    (FK, ForeignKey("c_audit", "c", ("id_usuario_modificacion",), "u", ("id",), ("id_usuario_modificacion",), ())),
+    (FK, ForeignKey("c_audit", "c", ("changed_by",), "u", ("id",), ("changed_by",), ())),
 )
 
 
@@ -24,7 +24,7 @@ def tables(spark):
                 (1, 1, "a", 1, "x"), (1, 1, "a", 9, "  "), (None, 2, "q", None, "\t"), (None, None, "z", 1, None),
                 (None, 2, "q", 9, ""), (7, None, None, None, "x"), (8, 2, "b", 1, "x"),
             ],
-            "id INT, k1 INT, k2 STRING, id_usuario_modificacion INT, note STRING",
+            "id INT, k1 INT, k2 STRING, changed_by INT, note STRING",
         ),
     }
 
@@ -34,7 +34,7 @@ def found(df):
 
 
 def test_all_checks(tables):
-    assert found(integrity.check(tables, RULES)) == {
+    assert found(integrity.check(tables, RULES, audit=("changed_by",))) == {
         ("REQUIRED_NULL_VALUES", "id"): ("CRITICAL", 3),
         ("REQUIRED_NULL_VALUES", "note"): ("CRITICAL", 1),
         ("REQUIRED_EMPTY_TEXT", "note"): ("MEDIUM", 2),
@@ -55,7 +55,7 @@ def test_zero_counts_on_request(tables):
 
 
 def test_statements(tables):
-    texts = {(r.type, r.rule_name): (r.review_sql, r.fix_sql) for r in integrity.check(tables, RULES, schema="s").collect()}
+    texts = {(r.type, r.rule_name): (r.review_sql, r.fix_sql) for r in integrity.check(tables, RULES, schema="s", audit=("changed_by",)).collect()}
     review, fix = texts["FK_ORPHAN_ROWS", "c_p"]
     assert review == (
         'SELECT c.* FROM "s"."c" c WHERE c."k1" IS NOT NULL AND c."k2" IS NOT NULL AND NOT EXISTS '
@@ -134,3 +134,9 @@ def test_lake_catalog_gives_back_its_rules(spark):
     assert {(f.name, f.parent, f.source_nullable) for f in read.foreign_keys} == {
         (f.name, f.parent, tuple(c for c in f.columns if (f.table, c) not in required)) for f in rules.foreign_keys
     }
+
+
+def test_no_rules_give_no_findings(spark):
+    for tables in ({}, {"t": spark.range(2)}):
+        found = integrity.check(tables, RuleSet())
+        assert found.collect() == [] and found.columns == integrity.check({"t": spark.range(2)}, RuleSet(required=(Required("t", "id"),))).columns

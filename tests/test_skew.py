@@ -12,7 +12,7 @@ def test_salted_join_gives_what_a_plain_join_gives(spark):
     keyed = spark.range(0, 30, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
     for how in ("left", "inner"):
         plain = skew.keyed_join(rows, keyed, ["k"], how)
-        salted = skew.keyed_join(rows, keyed, ["k"], how, hot_rows=200, force_salt=True)
+        salted = skew.keyed_join(rows, keyed, ["k"], how, hot_bytes=3000, force_salt=True)
         assert plain.columns == salted.columns == ["k", "v", "w"]
         assert plain.exceptAll(salted).isEmpty() and salted.exceptAll(plain).isEmpty()
         assert plain.count() == salted.count()
@@ -21,7 +21,7 @@ def test_salted_join_gives_what_a_plain_join_gives(spark):
 def test_hot_rows_are_spread(spark):
     rows = spark.range(0, 4000, 1, 4).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
     keyed = spark.createDataFrame([(1, "x")], "k INT, w STRING")
-    joined = skew.keyed_join(rows, keyed, ["k"], hot_rows=1000, force_salt=True)
+    joined = skew.keyed_join(rows, keyed, ["k"], hot_bytes=16000, force_salt=True)
     assert joined.filter("w = 'x'").count() == 4000
     assert "__salt" in joined._jdf.queryExecution().optimizedPlan().toString()
 
@@ -29,7 +29,7 @@ def test_hot_rows_are_spread(spark):
 def test_salting_reads_only_the_columns_in_use(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     keys = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey")
-    joined = skew.lookup(rows, ["l_orderkey"], keys, "known", hot_rows=5, force_salt=True).select("l_orderkey", "l_tax", "known")
+    joined = skew.lookup(rows, ["l_orderkey"], keys, "known", hot_bytes=200, force_salt=True).select("l_orderkey", "l_tax", "known")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "l_tax" in plan and "l_shipdate" not in plan
 
@@ -39,7 +39,7 @@ def test_lookup_of_compound_keys(spark, rows):
     keys = spark.createDataFrame([(1, "a"), (3, "c")], "p INT, q STRING")
     expected = [(1, "a", True), (1, None, False), (2, "b", False), (None, None, False)]
     for force in (False, True):
-        got = skew.lookup(left, ["x", "y"], keys, "known", hot_rows=1, force_salt=force)
+        got = skew.lookup(left, ["x", "y"], keys, "known", hot_bytes=1, force_salt=force)
         assert sorted(rows(got), key=repr) == sorted(expected, key=repr)
 
 
@@ -48,3 +48,14 @@ def test_small_tables_are_joined_plainly(spark):
     keys = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey")
     plan = skew.lookup(rows, ["l_orderkey"], keys, "known")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "__salt" not in plan
+
+
+def test_nothing_runs_before_the_result_is_asked_for(spark):
+    broken = spark.range(10).select(F.expr("CAST(id AS INT)").alias("k"), F.expr("raise_error('ran')").cast("string").alias("v"))
+    skew.keyed_join(broken, broken.withColumnRenamed("v", "w"), ["k"], force_salt=True)
+
+
+def test_wide_rows_count_by_their_bytes(spark):
+    rows = spark.range(0, 400, 1, 4).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), 1000)).alias("v"))
+    hot = skew._hot_keys(rows, ["k"], 50_000).collect()
+    assert [h["__salts"] for h in hot] == [5]
