@@ -11,6 +11,7 @@ from tablecheck.functions import ddl, text
 from tablecheck.operators import align, drift, integrity, purge, structure
 from tablecheck.plans import report
 from tablecheck.sources import catalog as builders
+from tablecheck.sources.checkpoints import Scratch
 from tablecheck.sources.tables import resolve_tables
 
 QUERIES = {}
@@ -151,8 +152,8 @@ _DEP = (
 _DROPS = _DEP.format(agg=f"string_agg('DROP INDEX IF EXISTS ' || {sql.qual(_PUB, 'i.index_name')} || ';', chr(10) ORDER BY i.index_name)")
 _CREATES = _DEP.format(agg="string_agg(regexp_replace(i.indexdef, ';+$', '') || ';', chr(10) ORDER BY i.index_name)")
 _RECREATE = (
-    f"concat_ws(chr(10), '-- WARNING: recreating a generated column drops and recomputes the values of ' || {_FULL} || '.' || {sql.q('s.column_name')} || '.', "
-    f"'-- Check what depends on it before running this in production.', {_DROPS}, "
+    f"concat_ws(chr(10), '-- CAUTION: this drops and computes anew all values of ' || {_FULL} || '.' || {sql.q('s.column_name')} || '.', "
+    f"'-- Look first at the views and functions that read it.', {_DROPS}, "
     f"'ALTER TABLE ' || {_FULL} || ' DROP COLUMN IF EXISTS ' || {sql.q('s.column_name')} || ';', "
     f"'ALTER TABLE ' || {_FULL} || ' ADD COLUMN ' || {sql.q('s.column_name')} || ' ' || {sql.type_text('s.')} || {sql.generated_clause('s.')} || {sql.null_clause('s.')} || ';', "
     f"{_CREATES})"
@@ -165,12 +166,12 @@ COLUMN_DRIFT = sql.diff(
     f"CASE WHEN {_MISSING} AND {_REQ} AND NOT ({_DEF}) THEN 'CRITICAL' WHEN {_MISSING} AND ({_REQ} OR {_DEF}) THEN 'HIGH' "
     f"WHEN {_MISSING} THEN 'MEDIUM' WHEN {_GENERATED} THEN 'CRITICAL' ELSE 'HIGH' END",
     "s.table_name", "s.column_name",
-    f"CASE WHEN {_MISSING} AND {_REQ} AND NOT ({_DEF}) THEN 'The column is required and has no default: loads may stop or stay incomplete.' "
-    f"WHEN {_MISSING} AND {_REQ} THEN 'The column is required: write rules or consistency may suffer.' "
-    f"WHEN {_MISSING} AND {_DEF} THEN 'The column has a default: inserts may behave differently.' "
-    f"WHEN {_MISSING} THEN 'The column is optional without a default: the effect is on features, not on integrity at once.' "
-    f"WHEN {_GENERATED} THEN 'The generated column is missing or wrong, and a plain column cannot be turned into one.' "
-    "ELSE 'The column''s full definition does not match the source.' END",
+    f"CASE WHEN {_MISSING} AND {_REQ} AND NOT ({_DEF}) THEN 'NOT NULL without a default: every insert has to name this column.' "
+    f"WHEN {_MISSING} AND {_REQ} THEN 'NOT NULL with a default: the target lacks a value that each source row has.' "
+    f"WHEN {_MISSING} AND {_DEF} THEN 'Nullable with a default: the same insert leaves different rows.' "
+    f"WHEN {_MISSING} THEN 'Nullable without a default: only readers of this column notice.' "
+    f"WHEN {_GENERATED} THEN 'Its generation rule differs, and only a new column can take another rule.' "
+    "ELSE 'Type, nullability, default, identity, collation or generation differs.' END",
     f"CASE WHEN {_MISSING} THEN 'Column ''' || {_PLACE} || ''' is missing in the target.' "
     f"ELSE 'Column ''' || {_PLACE} || ''' has another definition in the target.' END",
     f"CASE WHEN {_MISSING} THEN 'ALTER TABLE ' || {_FULL} || ' ADD COLUMN ' || {sql.column_clause('s.')} || ';' "
@@ -214,10 +215,10 @@ def constraint_drift_sql(scope: str) -> str:
     return sql.diff(
         8, "'CONSTRAINT_MISSING_OR_DIFFERENT'",
         "CASE WHEN s.constraint_type IN ('p', 'f', 'u') THEN 'CRITICAL' ELSE 'HIGH' END", "s.table_name", "s.constraint_name",
-        "CASE s.constraint_type WHEN 'p' THEN 'The primary key guards the identity of rows.' "
-        "WHEN 'f' THEN 'The foreign key guards the relation between tables.' "
-        "WHEN 'u' THEN 'The UNIQUE rule keeps out duplicates that break business rules.' "
-        "WHEN 'c' THEN 'The CHECK rule guards the domain of values.' ELSE 'The constraint may guard rules of integrity.' END",
+        "CASE s.constraint_type WHEN 'p' THEN 'Rows cannot be told apart by this key.' "
+        "WHEN 'f' THEN 'Rows may refer to parents that are not there.' "
+        "WHEN 'u' THEN 'Values that have to be unique may repeat.' "
+        "WHEN 'c' THEN 'Values outside the permitted range may enter.' ELSE 'A rule of the source is not enforced.' END",
         "'No constraint equivalent to ''' || s.constraint_name || ''' exists in the target.'",
         sql.add_constraint("'public'", "s.table_name", "s.constraint_name", "s.definition"), "s.definition",
         rest=f"""FROM s_constraints s WHERE s.constraint_type <> 'n'
@@ -324,6 +325,15 @@ def drift_run(spark: SparkSession, folder: str) -> DataFrame:
     return drift.drift(*catalogs(spark, folder))
 
 
+@register("stored_snapshots", with_ctes(tuple(SNAPSHOT), ALL_DRIFT))
+def stored_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """All drift between two environments that were stored one after the other and read back."""
+    root = Scratch(spark).root
+    for env, side in zip(("left", "right"), catalogs(spark, folder)):
+        builders.write_snapshot({k: getattr(side, k).withColumn("env", F.lit(env)) for k in SNAPSHOT}, root)
+    return drift.drift(*[builders.read_snapshot(spark, root, env) for env in ("left", "right")])
+
+
 # --- structure in both directions ----------------------------------------------------------------
 
 _ST = "coalesce(s.table_name, t.table_name)"
@@ -540,6 +550,22 @@ _TREE = (
 )
 
 
+@register(
+    "fk_edges_all_schemas",
+    f"""WITH {raw_ctes("class", "namespace", "constraint")},
+named AS (SELECT c.env, c.oid, n.nspname, c.relname FROM r_class c JOIN r_namespace n ON n.env = c.env AND n.oid = c.relnamespace)
+SELECT DISTINCT p.nspname AS parent_schema, p.relname AS parent_table, c.nspname AS child_schema, c.relname AS child_table
+FROM r_constraint k JOIN named c ON c.env = k.env AND c.oid = k.conrelid JOIN named p ON p.env = k.env AND p.oid = k.confrelid
+WHERE k.contype = 'f' AND (p.nspname, p.relname) <> (c.nspname, c.relname)""",
+)
+def fk_edges_all_schemas(spark: SparkSession, folder: str) -> DataFrame:
+    edges = purge.raw_fk_edges(raw(spark, folder, "class", "namespace", "constraint"))
+    return edges.select(
+        F.col("parent.schema").alias("parent_schema"), F.col("parent.name").alias("parent_table"),
+        F.col("child.schema").alias("child_schema"), F.col("child.name").alias("child_table"),
+    )
+
+
 @register(
     "fk_closure",
     f"""WITH RECURSIVE edges AS ({oracle(_TREE)}),
@@ -754,36 +780,26 @@ _LEVELS = "(VALUES (1, 'CRITICAL'), (2, 'HIGH'), (3, 'MEDIUM'), (4, 'LOW')) l(im
 @register(
     "summary_by_impact",
     with_ctes(
-        _COLUMN_KINDS,
-        f"SELECT l.impact_rank, l.impact, count(d.impact) AS n FROM {_LEVELS} LEFT JOIN ({COLUMN_DRIFT}) d ON d.impact = l.impact GROUP BY 1, 2",
+        tuple(SNAPSHOT),
+        f"SELECT l.impact_rank, l.impact, count(d.impact) AS n FROM {_LEVELS} LEFT JOIN ({ALL_DRIFT}) d ON d.impact = l.impact GROUP BY 1, 2",
     ),
 )
 def summary_by_impact(spark: SparkSession, folder: str) -> DataFrame:
-    return report.summary_by_impact(column_drift(spark, folder))
+    return report.summary_by_impact(drift_run(spark, folder))
 
 
-@register(
-    "summary_by_type",
-    with_ctes(
-        ("constraints", "indexes"),
-        f"SELECT type, count(*) AS n FROM ({constraint_drift_sql('table')} UNION ALL {INDEX_DRIFT}) d GROUP BY type",
-    ),
-)
+@register("summary_by_type", with_ctes(tuple(SNAPSHOT), f"SELECT type, count(*) AS n FROM ({ALL_DRIFT}) d GROUP BY type"))
 def summary_by_type(spark: SparkSession, folder: str) -> DataFrame:
-    sides = catalogs(spark, folder, "constraints", "indexes")
-    return report.summary_by_type(drift.constraint_drift(*sides).unionByName(drift.index_drift(*sides)))
+    return report.summary_by_type(drift_run(spark, folder))
 
 
 _NUMBERED = f"""
-SELECT row_number() OVER (ORDER BY impact_rank, stage, object_table, object_name) AS number, * FROM (
-{constraint_drift_sql('table')} UNION ALL {INDEX_DRIFT}) d"""
+SELECT row_number() OVER (ORDER BY impact_rank, stage, object_table, object_name) AS number, * FROM ({ALL_DRIFT}) d"""
 
 
-@register("numbered_detail", with_ctes(("constraints", "indexes"), f"SELECT number, type, impact, object_table, object_name, description FROM ({_NUMBERED}) n"))
+@register("numbered_detail", with_ctes(tuple(SNAPSHOT), f"SELECT number, type, impact, object_table, object_name, description FROM ({_NUMBERED}) n"))
 def numbered_detail(spark: SparkSession, folder: str) -> DataFrame:
-    sides = catalogs(spark, folder, "constraints", "indexes")
-    found = drift.constraint_drift(*sides).unionByName(drift.index_drift(*sides))
-    return report.numbered(found).select("number", "type", "impact", "object_table", "object_name", "description")
+    return report.numbered(drift_run(spark, folder)).select("number", "type", "impact", "object_table", "object_name", "description")
 
 
 def _commented(x: str) -> str:
@@ -796,33 +812,31 @@ _HEADER = "'" + "' || chr(10) || '".join(report.SCRIPT_HEADER) + "'"
 @register(
     "script_rows",
     with_ctes(
-        ("views", "matviews"),
+        tuple(SNAPSHOT),
         f"""SELECT l.impact, CAST(0 AS BIGINT) AS position, {_HEADER} AS value FROM {_LEVELS} UNION ALL
 SELECT impact, n, '-- ' || n || '. ' || type || chr(10) || '-- Impact: ' || impact || chr(10) || '-- Reason: ' || impact_reason || chr(10)
   || '-- ' || description || chr(10) || '-- Source definition:' || chr(10) || {_commented('source_definition')} || chr(10)
   || '-- Target definition:' || chr(10) || {_commented('target_definition')} || chr(10) || '-- Suggested change:' || chr(10)
   || regexp_replace(sql, '\\s+$', '') || chr(10)
 FROM (SELECT *, row_number() OVER (PARTITION BY impact ORDER BY stage, object_table, object_name) AS n
-  FROM ({VIEW_DRIFT} UNION ALL {MATVIEW_DRIFT}) d) x""",
+  FROM ({ALL_DRIFT}) d) x""",
     ),
 )
 def script_rows(spark: SparkSession, folder: str) -> DataFrame:
-    sides = catalogs(spark, folder, "views", "matviews")
-    found = drift.view_drift(*sides).unionByName(drift.matview_drift(*sides))
-    return report.script_rows(report.numbered(found))
+    return report.script_rows(report.numbered(drift_run(spark, folder)))
 
 
 @register(
     "difference_report",
     with_ctes(
-        ("sequences",),
+        tuple(SNAPSHOT),
         f"""SELECT number, number || '. [' || impact || '] ' || type || chr(10) || '   ' || description || chr(10) || '   Reason: ' || impact_reason
   || chr(10) || '   Source definition:' || chr(10) || '   ' || CASE WHEN source_definition = '' THEN '(not available)' ELSE source_definition END
   || chr(10) || '   Target definition:' || chr(10) || '   ' || CASE WHEN target_definition = '' THEN '(absent or not available)' ELSE target_definition END
   || chr(10) || '   Suggested script:' || chr(10) || '   ' || trim(sql, ' ') || chr(10) AS value
-FROM (SELECT *, row_number() OVER (ORDER BY impact_rank, stage, object_table, object_name) AS number FROM ({SEQUENCE_DRIFT}) d) x""",
+FROM (SELECT *, row_number() OVER (ORDER BY impact_rank, stage, object_table, object_name) AS number FROM ({ALL_DRIFT}) d) x""",
     ),
 )
 def difference_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = report.numbered(sequence_drift(spark, folder))
+    rows = report.numbered(drift_run(spark, folder))
     return rows.select("number", report.difference_text(F.col("number")).alias("value"))

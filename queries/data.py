@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +9,11 @@ from tablecheck import testkit
 from tablecheck.model import ForeignKey, Key, RuleSet, Side, TableRef
 from tablecheck.operators import align, diff, integrity, purge
 from tablecheck.plans import report
+from tablecheck.plans.audit import run_audit
 from tablecheck.sources.catalog import catalog_from_dataframes
-from tablecheck.sources.checkpoints import ensure_checkpoint_dir
+from tablecheck.sources.checkpoints import Scratch
 from tablecheck.sources.store import TableStore
+from tablecheck.sources.tables import load_side
 from tablecheck.sources.tables import source_status as status_of
 from tablecheck.sources.tables import table_counts as counts_of
 
@@ -249,12 +249,13 @@ def review_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     "repair_orphans",
     f"""SELECT CASE WHEN o.o_orderkey IS NOT NULL THEN l_orderkey END AS l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+  l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate,
   o.o_orderkey IS NULL AS repaired FROM lineitem LEFT JOIN {ORDERS_P} o ON o.o_orderkey = l_orderkey""",
 )
 def repair_orphans(spark: SparkSession, folder: str) -> DataFrame:
     t = testkit.load(spark, folder, "lineitem", "orders")
     fixed = integrity.repair_orphans(t["lineitem"], testkit.orders_parents(t["orders"]), LINE_ORDERS)
-    return fixed.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "repaired")
+    return fixed.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @register(
@@ -349,12 +350,42 @@ def data_diff_gate(spark: SparkSession, folder: str) -> DataFrame:
 )
 def data_diff_types(spark: SparkSession, folder: str) -> DataFrame:
     """The same values as text and as numbers never match, NULLs do; whole numbers match their doubles."""
-    orders = testkit.orders_nulls(testkit.load(spark, folder, "orders")["orders"]).select("o_orderkey", "o_custkey")
+    orders = testkit.orders_nulls(testkit.load(spark, folder, "orders")["orders"])
     source = orders.withColumn("o_custkey", F.col("o_custkey").cast("string"))
     target = orders.withColumn("o_orderkey", F.col("o_orderkey").cast("double"))
     return diff.diff_counts(diff.bag_counts(source, target))
 
 
+@register(
+    "data_diff_decimals",
+    """SELECT count(*) AS source_row_count, count(*) AS target_row_count, count(*) FILTER (WHERE o_totalprice <> floor(o_totalprice)) AS only_source_count,
+  count(*) FILTER (WHERE o_totalprice <> floor(o_totalprice)) AS only_target_count, TRUE AS data_compared,
+  count(*) FILTER (WHERE o_totalprice <> floor(o_totalprice)) = 0 AS data_equal FROM orders""",
+)
+def data_diff_decimals(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices against their whole parts, in two decimal types that no third one holds both of."""
+    orders = testkit.load(spark, folder, "orders")["orders"]
+    source = orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(38,18)"))
+    target = orders.withColumn("o_totalprice", F.floor("o_totalprice").cast("decimal(38,0)"))
+    return diff.diff_counts(diff.bag_counts(source, target))
+
+
+@register(
+    "data_diff_moved_nulls",
+    """SELECT count(*) AS source_row_count, count(*) AS target_row_count, count(*) FILTER (WHERE (doc_id % 3 = 0) AND (doc_id % 2 = 0)) AS only_source_count,
+  count(*) FILTER (WHERE (doc_id % 3 = 0) AND (doc_id % 2 = 0)) AS only_target_count, TRUE AS data_compared,
+  count(*) FILTER (WHERE (doc_id % 3 = 0) AND (doc_id % 2 = 0)) = 0 AS data_equal, '' AS data_skip_reason FROM documents""",
+)
+def data_diff_moved_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    """By buckets: in every third document a length moves to another column, which shows where only one had it."""
+    docs = testkit.load(spark, folder, "documents")["documents"]
+    one, other = F.when(F.col("doc_id") % 2 == 1, F.col("n_chars")), F.col("n_chars")
+    source = docs.withColumns({"a": one, "b": other})
+    move = F.col("doc_id") % 3 == 0
+    target = docs.withColumns({"a": F.when(move, other).otherwise(one), "b": F.when(move, one).otherwise(other)})
+    return diff.compare_data(source, target, bucket_rows=64)
+
+
 _EMBEDDINGS_T = "(SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN label + 1 ELSE label END AS label FROM embeddings)"
 
 
@@ -405,7 +436,7 @@ def data_diff_lineitem(spark: SparkSession, folder: str) -> DataFrame:
 )
 def data_diff_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """The same comparison with equal hash buckets left out first."""
-    summary = diff.compare_data(*lines_pair(spark, folder), buckets=4096)
+    summary = diff.compare_data(*lines_pair(spark, folder), bucket_rows=150)
     return summary.select("only_source_count", "only_target_count", "source_row_count", "target_row_count")
 
 
@@ -506,14 +537,16 @@ def source_status(spark: SparkSession, folder: str) -> DataFrame:
 @register(
     "align_schema",
     f"""SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_totalprice, coalesce(o_orderpriority, '5-LOW') AS o_orderpriority,
-  'new' AS o_channel, CAST(NULL AS INT) AS o_rank, 'kept' AS extra FROM {orders_n()} x""",
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, 'new' AS o_channel, CAST(NULL AS INT) AS o_rank, 'kept' AS extra FROM {orders_n()} x""",
 )
 def align_schema(spark: SparkSession, folder: str) -> DataFrame:
-    target = testkit.orders_nulls(testkit.load(spark, folder, "orders")["orders"]).drop("o_orderdate")
+    target = testkit.orders_nulls(testkit.load(spark, folder, "orders")["orders"])
+    target = target.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
     target = target.withColumn("o_totalprice", F.col("o_totalprice").cast("string")).withColumn("extra", F.lit("kept"))
     wanted = [
         ("o_orderkey", "bigint", False), ("o_custkey", "string", True), ("o_orderstatus", "string", False),
-        ("o_totalprice", "double", True), ("o_orderpriority", "string", False), ("o_channel", "string", False),
+        ("o_totalprice", "double", True), ("o_orderpriority", "string", False), ("o_orderdate", "string", True),
+        ("o_channel", "string", False),
         ("o_rank", "int", True),
     ]
     return align.align_schema(target, wanted, {"o_orderpriority": "'5-LOW'", "o_channel": "'new'"})
@@ -547,9 +580,8 @@ def children_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scratch_store(spark: SparkSession) -> TableStore:
-    """A new store in the shared folder of the session."""
-    ensure_checkpoint_dir(spark)
-    return TableStore(spark, f"{spark.sparkContext.getCheckpointDir()}/stores/{uuid.uuid4().hex}")
+    """A new store in the shared folder of the session; it goes when the session ends."""
+    return TableStore(spark, f"{Scratch(spark).root}/store")
 
 
 @register(
@@ -571,6 +603,35 @@ def replace_data(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register(
+    "sync_schema",
+    f"""SELECT o_orderkey, o_custkey, o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, o_orderpriority, 'COMPLETED' AS status,
+  CAST(2 AS BIGINT) AS statements FROM {orders_n()} x""",
+)
+def sync_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored copy with one column as text and one missing gets the source's columns; a constraint is left over."""
+    orders = testkit.orders_nulls(testkit.load(spark, folder, "orders")["orders"]).drop("o_orderdate")
+    store = scratch_store(spark)
+    store.publish({"orders": orders.withColumn("o_custkey", F.col("o_custkey").cast("string")).drop("o_totalprice")})
+    keys = RuleSet(keys=(Key("orders_pkey", "orders", ("o_orderkey",)),))
+    want = catalog_from_dataframes(spark, {"orders": orders}, keys)
+    have = catalog_from_dataframes(spark, {"orders": store.read("orders")}, RuleSet())
+    done = align.sync_schema(align.sync_plan(want, have), orders, store, "orders")
+    return store.read("orders").withColumns({"status": F.lit(done.status), "statements": F.lit(done.statements).cast("bigint")})
+
+
+@register("audit_run", expected_findings())
+def audit_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole flow on two sides loaded by path: readiness, drift, scripts, findings, repairs. Its stored findings."""
+    root, rules = Scratch(spark).root, testkit.rules()
+    damaged = testkit.target_tables(testkit.load(spark, folder))
+    sides = [
+        load_side(spark, name, tables, catalog_from_dataframes(spark, testkit.load(spark, folder), rules))
+        for name, tables in (("source", {t: f"{folder}/{t}.parquet" for t in testkit.TABLES}), ("target", damaged))
+    ]
+    return run_audit(spark, *sides, root).findings.withColumn("columns", F.array_join("columns", ","))
+
+
 _CLOSURE = (("customer", 0), ("orders", 1), ("events", 1), ("lineitem", 2))
 
 
@@ -633,6 +694,30 @@ def cascade_purge(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("table_name", F.coalesce("deleted_rows", F.lit(0)).alias("deleted_rows"), "row_count")
 
 
+@register(
+    "purge_two_schemas",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) FILTER (WHERE {w}) AS deleted_rows, count(*) FILTER (WHERE NOT ({w})) AS kept_rows FROM {t}"
+        for n, t, w in (
+            ("customer", "customer", _LOST["customer"]), ("orders", "orders", _LOST["orders"]), ("web.orders", "events", _LOST["events"]),
+            ("web.lines", "lineitem", _LOST["lineitem"]),
+        )
+    ),
+)
+def purge_two_schemas(spark: SparkSession, folder: str) -> DataFrame:
+    """Two schemas share a table name, and tables of one depend on the other's."""
+    t = testkit.load(spark, folder, *_LOST)
+    tables = {"customer": t["customer"], "orders": t["orders"], "web.orders": t["events"], "web.lines": t["lineitem"]}
+    keys = (
+        ForeignKey("o_c", "orders", ("o_custkey",), "customer", ("c_custkey",)),
+        ForeignKey("e_c", "orders", ("user_id",), "customer", ("c_custkey",), parent_schema="public", table_schema="web"),
+        ForeignKey("l_o", "lines", ("l_orderkey",), "orders", ("o_orderkey",), parent_schema="public", table_schema="web"),
+    )
+    plan = purge.purge_plan(tables, purge.rule_edges(spark, keys), "customer")
+    flagged = purge.doomed_rows(tables, keys, list(reversed(plan.order)), F.col("c_mktsegment") == "BUILDING")
+    return purge.purge_counts(flagged)
+
+
 @register("cascade_drop", "SELECT 'region' AS table_name, count(*) AS row_count FROM region")
 def cascade_drop(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of a stored copy after customers and all that depends on them are dropped."""

@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.functions import ddl
-from tablecheck.functions.text import constraint_text, qualify, quote_ident, sql_string
+from tablecheck.functions.text import qualify, quote_ident, sql_string
 from tablecheck.model import Catalog, ForeignKey, SyncResult
 from tablecheck.operators.diff import column_gate
 from tablecheck.operators.drift import _side, _text, move_index
 from tablecheck.operators.integrity import parent_lookup
-from tablecheck.operators.structure import index_objects, table_constraints, table_ddl
+from tablecheck.operators.structure import matched_objects, table_ddl
 from tablecheck.sources.store import TableStore
 
 
+COLUMN_ACTIONS = ("ADD_COLUMN", "ALTER_COLUMN")
+
+
 def sync_plan(source: Catalog, target: Catalog, target_table: str | None = None) -> DataFrame:
     """Statements that give the target's tables the source's structure: ``table_name, seq, action, object_name, sql``.
 
@@ -41,7 +44,10 @@ def sync_plan(source: Catalog, target: Catalog, target_table: str | None = None)
             name.alias("object_name"), sql.alias("sql"),
         )
 
-    absent = Catalog(**{**source.__dict__, "schema": target.schema, "tables": source.tables.join(known, "table_name", "left_anti")})
+    absent = Catalog(**{
+        **source.__dict__, "schema": target.schema, "tables": source.tables.join(known, "table_name", "left_anti"),
+        "indexes": source.indexes.withColumn("indexdef", move_index(c("indexdef"), F.lit(source.schema), schema)),
+    })
     created = action(table_ddl(absent), 0, F.lit(0), "CREATE_TABLE", c("table_name"), c("ddl"))
 
     sides = [shared(cat.columns).withColumn("sig", ddl.column_signature()) for cat in (source, target)]
@@ -57,46 +63,32 @@ def sync_plan(source: Catalog, target: Catalog, target_table: str | None = None)
         .otherwise(ddl.alter_column(sql_string(target.schema), name_sql)),
     )
 
-    wanted = shared(table_constraints(source)).withColumn("sig", constraint_text(c("definition")))
-    found = table_constraints(target).withColumn("sig", constraint_text(c("definition")))
-    by_name = found.select("table_name", "constraint_name", c("sig").alias("t_sig"))
-    by_sig = found.select("table_name", "sig").distinct().withColumn("same_text", F.lit(True))
-    by_index = target.indexes.select(
-        "table_name", c("index_name").alias("constraint_name"), F.lit(True).alias("has_index")
+    objects = shared(matched_objects(source, target, either=False)).filter(c("s").isNotNull() & ((c("kind") == "INDEX") | ~c("elsewhere")))
+    objects = objects.filter(~c("s.sig").eqNullSafe(c("t.sig"))).select(
+        "table_name", "name", c("kind").alias("what"), "t_index", c("t").isNull().alias("missing"),
+        c("s.definition").alias("definition"), c("s.constraint_type").alias("constraint_type"),
     )
-    joined = (
-        wanted.join(by_name, ["table_name", "constraint_name"], "left")
-        .join(by_sig, ["table_name", "sig"], "left")
-        .join(by_index, ["table_name", "constraint_name"], "left")
-    )
-    unnamed = c("t_sig").isNull()
-    joined = joined.filter((unnamed & c("same_text").isNull()) | (c("t_sig") != c("sig")))
-    name, kind = c("constraint_name"), c("constraint_type")
+    name, kind, missing = c("name"), c("constraint_type"), c("missing")
     add = ddl.add_constraint(schema, table, name, c("definition"))
-    promoted = unnamed & c("has_index").isNotNull() & kind.isin("p", "u")
+    promoted = missing & c("t_index") & kind.isin("p", "u")
     promote = ddl.add_constraint(
         schema, table, name,
         _text(F.when(kind == "p", "PRIMARY KEY").otherwise("UNIQUE"), " USING INDEX ", quote_ident(name)),
     )
     drop = _text("ALTER TABLE ", qualify(schema, table), " DROP CONSTRAINT ", quote_ident(name), ";")
-    constraints = action(
-        joined, 2, F.lit(0),
-        F.when(promoted, "PROMOTE_INDEX").when(unnamed, "ADD_CONSTRAINT").otherwise("REPLACE_CONSTRAINT"), name,
-        F.when(promoted, promote).when(unnamed, add).otherwise(_text(drop, "\n", add)),
-    )
-
-    wanted = shared(index_objects(source, source))
-    found = index_objects(target, target).select("table_name", "name", c("sig").alias("t_sig"))
-    joined = wanted.join(found, ["table_name", "name"], "left").filter(~c("sig").eqNullSafe(c("t_sig")))
     create = move_index(c("definition"), F.lit(source.schema), schema)
-    missing = c("t_sig").isNull()
-    indexes = action(
-        joined, 3, F.lit(0), F.when(missing, "CREATE_INDEX").otherwise("REPLACE_INDEX"), c("name"),
-        F.when(missing, create).otherwise(_text("DROP INDEX ", qualify(schema, c("name")), ";\n", create)),
+    index = c("what") == "INDEX"
+    others = objects.select(
+        "table_name", F.when(index, 3).otherwise(2).alias("part"), F.lit(0).alias("position"),
+        F.when(index & missing, "CREATE_INDEX").when(index, "REPLACE_INDEX").when(promoted, "PROMOTE_INDEX")
+        .when(missing, "ADD_CONSTRAINT").otherwise("REPLACE_CONSTRAINT").alias("action"),
+        name.alias("object_name"),
+        F.when(index & missing, create).when(index, _text("DROP INDEX ", qualify(schema, name), ";\n", create))
+        .when(promoted, promote).when(missing, add).otherwise(_text(drop, "\n", add)).alias("sql"),
     )
     # The window covers one table's statements, so it is bounded by the size of a definition.
     order = Window.partitionBy("table_name").orderBy("part", "position", "object_name")
-    plan = reduce(DataFrame.unionByName, [created, columns, constraints, indexes])
+    plan = reduce(DataFrame.unionByName, [created, columns, others])
     return plan.select("table_name", F.row_number().over(order).alias("seq"), "action", "object_name", "sql")
 
 
@@ -129,13 +121,20 @@ def sync_schema(
     plan: DataFrame, source: DataFrame, store: TableStore, table: str, required: Sequence[str] = (),
     defaults: Mapping[str, str] | None = None, names=("source", "target"),
 ) -> SyncResult:
-    """Give a stored table the source's columns, as its :func:`sync_plan` says; nothing to say, nothing to do."""
-    statements = plan.count()
-    if not statements:
-        return SyncResult(table, *names, "SCHEMA", "UNCHANGED", 0, 0, "The schema already matches.")
+    """Give a stored table the source's columns, as its :func:`sync_plan` says.
+
+    Statements on columns are carried out and counted; those on constraints and indexes are reported as left over.
+    """
+    counted = plan.agg(F.count_if(F.col("action").isin(*COLUMN_ACTIONS)).alias("columns"), F.count("*").alias("n")).first()
+    rest = counted.n - counted.columns
+    left = f" {rest} statement(s) on constraints and indexes are left over: a store of files has none." if rest else ""
+    if not counted.columns:
+        return SyncResult(table, *names, "SCHEMA", "UNCHANGED", 0, 0, f"The columns already match.{left}")
     wanted = [(f.name, f.dataType.simpleString(), f.name not in required) for f in source.schema.fields]
-    store.publish({table: align_schema(store.read(table), wanted, defaults)})
-    return SyncResult(table, *names, "SCHEMA", "COMPLETED", statements, 0, "The schema was aligned.")
+    version = store.version()
+    before = store.read_all(version)[table]
+    store.publish({table: align_schema(before, wanted, defaults)}, after=version)
+    return SyncResult(table, *names, "SCHEMA", "COMPLETED", counted.columns, 0, f"The columns were aligned.{left}")
 
 
 def parent_gate(
@@ -202,20 +201,45 @@ def replace_data(
     source: DataFrame, store: TableStore, table: str, foreign_keys: Sequence[ForeignKey] = (),
     names=("source", "target"),
 ) -> SyncResult:
-    """Replace the rows of a stored table by the source's, or raise and leave it as it is."""
-    target = {t: store.read(t) for t in store.tables()}
+    """Replace the rows of a stored table by the source's, or raise and leave it as it is.
+
+    Rows take the target's column order and types; a value that does not fit its type fails the call. They are written
+    first and checked as written, and become visible only as the successor of the version that the checks have read.
+    """
+    version = store.version()
+    target = store.read_all(version)
     if column_gate(source.columns, target[table].columns):
         raise ValueError("The data cannot be replaced because the columns differ: align the schema first.")
-    messages = [
-        r.message
-        for gate in (
-            parent_gate(source, target, table, foreign_keys, names),
-            children_gate(source, target, table, foreign_keys),
-        )
-        for r in gate.filter("message <> ''").select("message").collect()
-    ]
-    if messages:
-        listed = "\n".join(f"- {m}" for m in messages)
-        raise ValueError(f"The data cannot be replaced because related rows are missing.\n{listed}")
-    rows = store.publish({table: source})[table]
+    path = store.stage(table, fitted(source, target[table]))
+    try:
+        staged = source.sparkSession.read.parquet(path)
+        messages = [
+            r.message
+            for gate in (
+                parent_gate(staged, target, table, foreign_keys, names),
+                children_gate(staged, target, table, foreign_keys),
+            )
+            for r in gate.filter("message <> ''").select("message").collect()
+        ]
+        if messages:
+            listed = "\n".join(f"- {m}" for m in messages)
+            raise ValueError(f"The data cannot be replaced because related rows are missing.\n{listed}")
+        rows = store.publish({table: path}, after=version)[table]
+    except Exception:
+        store.discard(path)
+        raise
     return SyncResult(table, *names, "DATA", "COMPLETED", 1 + rows, rows, "The data was replaced.")
+
+
+def fitted(source: DataFrame, target: DataFrame) -> DataFrame:
+    """The source's rows in the target's columns and types; reading a value that does not fit is an error."""
+    out = []
+    for f in target.schema.fields:
+        kind, value = f.dataType.simpleString(), F.col(f"`{f.name}`")
+        if source.schema[f.name].dataType == f.dataType:
+            out.append(value)
+            continue
+        cast = F.expr(f"try_cast(`{f.name}` AS {kind})")
+        error = F.raise_error(F.concat(F.lit(f"A value of {f.name} is no {kind}: "), value.cast("string"))).cast(kind)
+        out.append(F.when(value.isNull() | cast.isNotNull(), cast).otherwise(error).alias(f.name))
+    return source.select(*out)

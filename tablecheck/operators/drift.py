@@ -257,10 +257,10 @@ def missing_column_impact(c: Fields) -> tuple[Column, Column]:
         F.when(required & ~has_default, "CRITICAL").when(required | has_default, "HIGH").otherwise("MEDIUM")
     )
     reason = (
-        F.when(required & ~has_default, "The column is required and has no default: loads may stop or stay incomplete.")
-        .when(required, "The column is required: write rules or consistency may suffer.")
-        .when(has_default, "The column has a default: inserts may behave differently.")
-        .otherwise("The column is optional without a default: the effect is on features, not on integrity at once.")
+        F.when(required & ~has_default, "NOT NULL without a default: every insert has to name this column.")
+        .when(required, "NOT NULL with a default: the target lacks a value that each source row has.")
+        .when(has_default, "Nullable with a default: the same insert leaves different rows.")
+        .otherwise("Nullable without a default: only readers of this column notice.")
     )
     return impact, reason
 
@@ -289,8 +289,8 @@ def recreate_generated(schema: Column, table: Column, p: str, indexes: Column) -
     creates = F.transform(indexes, lambda i: F.concat(strip_end(i["indexdef"]), F.lit(";")))
     return F.concat_ws(
         "\n",
-        _text("-- WARNING: recreating a generated column drops and recomputes the values of ", full, ".", column, "."),
-        F.lit("-- Check what depends on it before running this in production."),
+        _text("-- CAUTION: this drops and computes anew all values of ", full, ".", column, "."),
+        F.lit("-- Look first at the views and functions that read it."),
         drops,
         _text("ALTER TABLE ", full, " DROP COLUMN IF EXISTS ", column, ";"),
         _text("ALTER TABLE ", full, " ADD COLUMN ", column, " ", ddl.type_text(p), ddl.generated_clause(p),
@@ -309,7 +309,9 @@ def column_drift(source: Catalog, target: Catalog) -> DataFrame:
     generated = ~missing & s("sig.generated").eqNullSafe("s") & (
         (s("sig.generated") != t("sig.generated")) | (s("sig.expression") != t("sig.expression"))
     )
-    lists = _index_lists(target.indexes).alias("i")
+    # Only tables for which the source has a generated column can need their indexes.
+    wanted = sides[0].filter("sig.generated = 's'").select("table_name").distinct()
+    lists = _index_lists(target.indexes.join(wanted, "table_name", "left_semi")).alias("i")
     joined = joined.join(lists, (s("table_name") == F.col("i.table_name")) & generated, "left")
 
     schema, table = F.lit(target.schema), s("table_name")
@@ -323,8 +325,8 @@ def column_drift(source: Catalog, target: Catalog) -> DataFrame:
         F.when(missing, impact).when(generated, "CRITICAL").otherwise("HIGH"),
         s("column_name"),
         F.when(missing, reason)
-        .when(generated, "The generated column is missing or wrong, and a plain column cannot be turned into one.")
-        .otherwise("The column's full definition does not match the source."),
+        .when(generated, "Its generation rule differs, and only a new column can take another rule.")
+        .otherwise("Type, nullability, default, identity, collation or generation differs."),
         F.when(missing, _text("Column '", place, "' is missing in the target."))
         .otherwise(_text("Column '", place, "' has another definition in the target.")),
         F.when(missing, _text("ALTER TABLE ", qualify(schema, table), " ADD COLUMN ", ddl.column_clause("s."), ";"))
@@ -385,11 +387,11 @@ def constraint_drift(source: Catalog, target: Catalog, scope: str = "table") ->
     return diff_rows(
         missing, "CONSTRAINT_MISSING_OR_DIFFERENT",
         F.when(kind.isin("p", "f", "u"), "CRITICAL").otherwise("HIGH"), name,
-        F.when(kind == "p", "The primary key guards the identity of rows.")
-        .when(kind == "f", "The foreign key guards the relation between tables.")
-        .when(kind == "u", "The UNIQUE rule keeps out duplicates that break business rules.")
-        .when(kind == "c", "The CHECK rule guards the domain of values.")
-        .otherwise("The constraint may guard rules of integrity."),
+        F.when(kind == "p", "Rows cannot be told apart by this key.")
+        .when(kind == "f", "Rows may refer to parents that are not there.")
+        .when(kind == "u", "Values that have to be unique may repeat.")
+        .when(kind == "c", "Values outside the permitted range may enter.")
+        .otherwise("A rule of the source is not enforced."),
         _text("No constraint equivalent to '", name, "' exists in the target."),
         ddl.add_constraint(F.lit(target.schema), c("table_name"), name, c("definition")),
         c("definition"), table=c("table_name"),

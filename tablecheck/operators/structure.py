@@ -51,51 +51,11 @@ def columns_compared(source: Catalog, target: Catalog, names=("source", "target"
     )
 
 
-def objects_compared(
-    source: DataFrame, target: DataFrame, kind: str, stage: int, names=("source", "target")
-) -> DataFrame:
-    """Objects ``(table_name, name, sig, definition)`` matched by name first, else by signature."""
-    s, t = _side("s"), _side("t")
-    on = (s("table_name") == t("table_name")) & (s("name") == t("name"))
-    joined = source.alias("s").join(target.alias("t"), on, "full_outer")
-    joined = joined.filter(~s("sig").eqNullSafe(t("sig")))
-    joined = joined.select(
-        F.coalesce(s("table_name"), t("table_name")).alias("table_name"),
-        F.coalesce(s("name"), t("name")).alias("name"),
-        F.when(t("name").isNull(), "missing").when(s("name").isNull(), "extra").otherwise("different").alias("state"),
-        F.coalesce(s("sig"), t("sig")).alias("sig"),
-        s("definition").alias("source_definition"),
-        t("definition").alias("target_definition"),
-    )
-    # An object without a namesake is fine when the other side has the same text under another name.
-    elsewhere = (
-        target.select("table_name", "sig", F.lit("missing").alias("state"))
-        .unionByName(source.select("table_name", "sig", F.lit("extra").alias("state")))
-        .distinct()
-    )
-    left = joined.join(elsewhere, ["table_name", "sig", "state"], "left_anti")
-    name, state = F.col("name"), F.col("state")
-    return diff_rows(
-        left, kind, F.when(state == "extra", "MEDIUM").otherwise("HIGH"), name, "",
-        F.when(state == "missing", _text("'", name, f"' exists in {names[0]} and not in {names[1]}."))
-        .when(state == "extra", _text("'", name, f"' exists in {names[1]} and not in {names[0]}."))
-        .otherwise(_text("'", name, "' has another definition.")),
-        "", F.col("source_definition"), F.col("target_definition"), table=F.col("table_name"), stage=stage,
-    )
-
-
 def table_constraints(catalog: Catalog) -> DataFrame:
     """Constraints that take part in comparisons: all but those that only say NOT NULL."""
     return catalog.constraints.filter(F.col("constraint_type") != "n")
 
 
-def constraint_objects(catalog: Catalog) -> DataFrame:
-    return table_constraints(catalog).select(
-        "table_name", F.col("constraint_name").alias("name"), constraint_text(F.col("definition")).alias("sig"),
-        "definition",
-    )
-
-
 def index_objects(catalog: Catalog, *backing: Catalog) -> DataFrame:
     """Indexes, less those named like a constraint of their table in any of ``backing``."""
     named = reduce(
@@ -108,21 +68,74 @@ def index_objects(catalog: Catalog, *backing: Catalog) -> DataFrame:
     )
 
 
+def matched_objects(source: Catalog, target: Catalog, either: bool = True) -> DataFrame:
+    """Constraints and indexes of both sides, matched by name and then by text, from one scan of each.
+
+    ``kind`` is CONSTRAINT or INDEX; ``s`` and ``t`` are structs of ``sig, definition, constraint_type``, NULL where the
+    side has no object of the name. ``elsewhere``: the other side has the same text under another name. ``t_index``: the
+    target has an index of the name. Indexes named like a constraint of their table belong to it and are left out; with
+    ``either`` the source's constraints count for the target's indexes too.
+    """
+    def slot(df: DataFrame, name: str, sig: Column, definition: str, which: str, kind: Column) -> DataFrame:
+        held = F.struct(sig.alias("sig"), F.col(definition).alias("definition"), kind.cast("string").alias("constraint_type"))
+        return df.select("table_name", F.col(name).alias("name"), F.lit(which).alias("slot"), held.alias("held"))
+
+    parts = []
+    for side, catalog in (("s", source), ("t", target)):
+        text = constraint_text(F.col("definition"))
+        parts.append(slot(table_constraints(catalog), "constraint_name", text, "definition", f"{side}_con", F.col("constraint_type")))
+        parts.append(slot(catalog.indexes, "index_name", F.col("indexdef"), "indexdef", f"{side}_idx", F.lit(None)))
+    slots = ("s_con", "s_idx", "t_con", "t_idx")
+    # Names are unique within a table, so a group has at most one object per slot.
+    named = reduce(DataFrame.unionByName, parts).groupBy("table_name", "name").agg(
+        *[F.max(F.when(F.col("slot") == x, F.col("held"))).alias(x) for x in slots]
+    )
+    c = F.col
+    theirs = c("t_con").isNull() & c("s_con").isNull() if either else c("t_con").isNull()
+    both = F.explode(F.array(
+        F.struct(F.lit("CONSTRAINT").alias("kind"), c("s_con").alias("s"), c("t_con").alias("t")),
+        F.struct(F.lit("INDEX").alias("kind"), F.when(c("s_con").isNull(), c("s_idx")).alias("s"), F.when(theirs, c("t_idx")).alias("t")),
+    ))
+    rows = named.select("table_name", "name", c("t_idx").isNotNull().alias("t_index"), both.alias("o")).select("table_name", "name", "t_index", "o.*")
+    rows = rows.filter("s IS NOT NULL OR t IS NOT NULL")
+    # Each object goes to its own text, and the target's other text is noted where the two differ.
+    row = F.struct("name", "t_index", "s", "t")
+    own = F.struct(
+        F.coalesce("s.sig", "t.sig").alias("sig"), c("s").isNotNull().alias("in_s"),
+        (c("t").isNotNull() & (c("s").isNull() | c("t.sig").eqNullSafe(c("s.sig")))).alias("in_t"), row.alias("row"),
+    )
+    other = F.struct(c("t.sig").alias("sig"), F.lit(False).alias("in_s"), F.lit(True).alias("in_t"), F.lit(None).alias("row"))
+    differ = c("s").isNotNull() & c("t").isNotNull() & ~c("s.sig").eqNullSafe(c("t.sig"))
+    texts = rows.select("table_name", "kind", F.explode(F.when(differ, F.array(own, other)).otherwise(F.array(own))).alias("x"))
+    # A group holds the objects of one table that have the same text.
+    grouped = texts.groupBy("table_name", "kind", "x.sig").agg(
+        F.bool_or("x.in_s").alias("in_s"), F.bool_or("x.in_t").alias("in_t"), F.collect_list("x.row").alias("held"),
+    )
+    flat = grouped.select("table_name", "kind", "sig", "in_s", "in_t", F.explode("held").alias("r")).select("*", "r.*").drop("r")
+    known = c("sig").isNotNull()
+    return flat.select(
+        "table_name", "kind", "name", "s", "t", "t_index",
+        F.when(c("t").isNull(), known & c("in_t")).when(c("s").isNull(), known & c("in_s")).otherwise(False).alias("elsewhere"),
+    )
+
+
 def structure_diff(source: Catalog, target: Catalog, names=("source", "target")) -> DataFrame:
     """Columns, constraints and indexes of all shared tables, both directions."""
-    parts = [
-        columns_compared(source, target, names),
-        objects_compared(
-            _shared(constraint_objects(source), target), _shared(constraint_objects(target), source),
-            "CONSTRAINT_DIFFERENT", 3, names,
-        ),
-        objects_compared(
-            _shared(index_objects(source, source), target),
-            _shared(index_objects(target, source, target), source),
-            "INDEX_DIFFERENT", 4, names,
-        ),
-    ]
-    return reduce(DataFrame.unionByName, parts).select(*DIFF_COLUMNS)
+    shared = source.tables.select("table_name").join(target.tables.select("table_name"), "table_name", "left_semi")
+    objects = matched_objects(source, target).filter(~F.col("s.sig").eqNullSafe(F.col("t.sig")) & ~F.col("elsewhere"))
+    objects = objects.join(shared, "table_name", "left_semi")
+    name, index = F.col("name"), F.col("kind") == "INDEX"
+    missing, extra = F.col("t").isNull(), F.col("s").isNull()
+    found = diff_rows(
+        objects, F.when(index, "INDEX_DIFFERENT").otherwise("CONSTRAINT_DIFFERENT"),
+        F.when(extra, "MEDIUM").otherwise("HIGH"), name, "",
+        F.when(missing, _text("'", name, f"' exists in {names[0]} and not in {names[1]}."))
+        .when(extra, _text("'", name, f"' exists in {names[1]} and not in {names[0]}."))
+        .otherwise(_text("'", name, "' has another definition.")),
+        "", F.col("s.definition"), F.col("t.definition"), table=F.col("table_name"),
+        stage=F.when(index, 4).otherwise(3),
+    )
+    return columns_compared(source, target, names).unionByName(found).select(*DIFF_COLUMNS)
 
 
 def _ordered(df: DataFrame, name: Column, text: Column, out: str) -> DataFrame:

@@ -118,9 +118,9 @@ def fix_block(number: Column) -> Column:
 
 
 SCRIPT_HEADER = (
-    "-- Statements that bring the target closer to the source.",
-    "-- Review them, and run them on a test copy with a backup first.",
-    "-- Destructive changes carry a warning; no table is dropped with CASCADE.",
+    "-- One numbered block for each difference between two catalogs.",
+    "-- Blocks do not depend on each other; a CAUTION line marks those that lose data.",
+    "-- Nothing here has been run.",
     "",
 )
 

@@ -29,12 +29,16 @@ class TableStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
-    def manifest(self) -> dict[str, str]:
-        """Current directory of every table."""
-        versions = self._manifests()
-        if not versions:
+    def version(self) -> int:
+        """The newest version, 0 for an empty store."""
+        return (self._manifests() or [0])[-1]
+
+    def manifest(self, version: int | None = None) -> dict[str, str]:
+        """Directory of every table, in the newest version by default."""
+        version = self.version() if version is None else version
+        if not version:
             return {}
-        stream = self._fs.open(self._path(f"{self.root}/_manifest/{versions[-1]}.json"))
+        stream = self._fs.open(self._path(f"{self.root}/_manifest/{version}.json"))
         try:
             text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -47,23 +51,36 @@ class TableStore:
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.manifest()[table])
 
-    def read_all(self) -> dict[str, DataFrame]:
-        return {t: self.spark.read.parquet(p) for t, p in sorted(self.manifest().items())}
+    def read_all(self, version: int | None = None) -> dict[str, DataFrame]:
+        return {t: self.spark.read.parquet(p) for t, p in sorted(self.manifest(version).items())}
+
+    def stage(self, table: str, df: DataFrame) -> str:
+        """Write rows for a table that nobody sees yet; the path can be checked, then published or discarded."""
+        path = f"{self.root}/{table}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def discard(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def publish(
+        self, tables: Mapping[str, DataFrame | str], drop: Sequence[str] = (), after: int | None = None
+    ) -> dict[str, int]:
+        """Write new versions of tables (or take staged ones), remove others, and show all of it at once; rows per table.
 
-    def publish(self, tables: Mapping[str, DataFrame], drop: Sequence[str] = ()) -> dict[str, int]:
-        """Write new versions of tables, remove others, and show all of it at once; rows written per table."""
-        before = self._manifests()
-        current = self.manifest()
+        With ``after`` it is the successor of that version, and fails if there has been another publish since.
+        """
+        after = self.version() if after is None else after
+        current = self.manifest(after)
         rows = {}
         for table, df in tables.items():
-            path = f"{self.root}/{table}/{uuid.uuid4().hex}"
-            df.write.parquet(path)
+            path = df if isinstance(df, str) else self.stage(table, df)
             # Counted from the files' footers: what was written, whatever tasks had to run twice.
             rows[table] = self.spark.read.parquet(path).count()
             current[table] = path
         for table in drop:
             del current[table]
-        self._commit(current, (before[-1] if before else 0) + 1)
+        self._commit(current, after + 1)
         return rows
 
     def _commit(self, manifest: Mapping[str, str], version: int) -> None:

@@ -127,14 +127,14 @@ def resolve_name(catalog: Catalog, table: str, side: str) -> str:
     """One name, with an error when it is unknown or ambiguous."""
     wanted = table.strip()
     if not wanted:
-        raise ValueError("A table name is needed.")
+        raise ValueError("No table name was given.")
     same = catalog.tables.filter(F.lower("table_name") == F.lower(F.lit(wanted)))
     exact = same.filter(F.col("table_name") == wanted)
     if not exact.isEmpty():
         return wanted
     matches = [r.table_name for r in same.select("table_name").limit(2).collect()]
     if not matches:
-        raise ValueError(f"Table '{wanted}' does not exist in {side}.")
+        raise ValueError(f"{side} has no table '{wanted}'.")
     if len(matches) > 1:
-        raise ValueError(f"Several tables in {side} are called '{wanted}': use the exact letter case.")
+        raise ValueError(f"'{wanted}' fits more than one table in {side}; only the exact spelling can tell which.")
     return matches[0]

@@ -74,7 +74,9 @@ def test_sync_plan(spark):
 def test_sync_schema(spark, store):
     store.publish({"t": spark.createDataFrame([("1", 5)], "id STRING, kept INT")})
     source = spark.createDataFrame([(1, "x")], "id INT, name STRING")
-    plan = spark.createDataFrame([("t", 1), ("t", 2)], "table_name STRING, seq INT")
+    plan = spark.createDataFrame([("t", 1, "ALTER_COLUMN"), ("t", 2, "ADD_COLUMN"), ("t", 3, "ADD_CONSTRAINT")], "table_name STRING, seq INT, action STRING")
+    only = align.sync_schema(plan.filter("seq = 3"), source, store, "t")
+    assert (only.status, only.statements) == ("UNCHANGED", 0) and "1 statement(s)" in only.detail
     assert align.sync_schema(plan.limit(0), source, store, "t").status == "UNCHANGED"
     assert store.read("t").columns == ["id", "kept"]
     done = align.sync_schema(plan, source, store, "t", required=["name"], defaults={"name": "'n'"})

@@ -89,12 +89,12 @@ def test_comparison_report(spark, tmp_path):
 
 
 def test_plan_and_sync_lines(spark, tmp_path):
-    items, orders = TableRef("public", "order_items"), TableRef("public", "orders")
-    plan = PurgePlan("target", orders, (items, orders), {items: 4, orders: 2})
-    assert "Rows: 6" in report.plan_lines(plan) and "  1. public.order_items: 4 row(s)" in report.plan_lines(plan)
-    assert "Rows deleted: 6" in report.purge_lines(plan, {items: 4, orders: 2})
-    lines = report.sync_lines(SyncResult("orders", "a", "b", "DATA", "COMPLETED", 3, 2))
-    assert {"Type: DATA", "Direction: a -> b", "Status: COMPLETED", "Statements: 3", "Rows copied: 2"} <= set(lines)
+    cabin, ship = TableRef("sea", "cabin"), TableRef("sea", "ship")
+    plan = PurgePlan("target", ship, (cabin, ship), {cabin: 31, ship: 5})
+    assert "Rows: 36" in report.plan_lines(plan) and "  1. sea.cabin: 31 row(s)" in report.plan_lines(plan)
+    assert "Rows deleted: 36" in report.purge_lines(plan, {cabin: 31, ship: 5})
+    lines = report.sync_lines(SyncResult("ship", "a", "b", "DATA", "COMPLETED", 8, 7))
+    assert {"Type: DATA", "Direction: a -> b", "Status: COMPLETED", "Statements: 8", "Rows copied: 7"} <= set(lines)
     report.write_text_report(spark, lines, f"{tmp_path}/s")
     assert text(f"{tmp_path}/s").startswith("Table synchronisation\nType: DATA")
 

@@ -38,7 +38,7 @@ def test_names(spark, rows):
         ("Two", None, "AMBIGUOUS"), ("four", None, "MISSING"), ("one", "One", "OK"), ("three", "three", "OK"), ("two", "two", "OK"),
     ]
     assert tables.resolve_name(c, " ONE ", "source") == "One"
-    for name, message in (("Two", "exact letter case"), ("four", "does not exist in source"), ("  ", "needed")):
+    for name, message in (("Two", "exact spelling"), ("four", "source has no table"), ("  ", "No table name")):
         with pytest.raises(ValueError, match=message):
             tables.resolve_name(c, name, "source")
 
