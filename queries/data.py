@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablecheck import testkit
 from tablecheck.model import ForeignKey, Key, RuleSet, Side, TableRef
-from tablecheck.operators import align, diff, integrity, purge
+from tablecheck.operators import align, diff, integrity, purge, structure
 from tablecheck.plans import report
 from tablecheck.plans.audit import run_audit
 from tablecheck.sources.catalog import catalog_from_dataframes
@@ -473,15 +475,16 @@ def status_rollup(spark: SparkSession, folder: str) -> DataFrame:
     other["documents"] = t["documents"].filter("doc_id % 57 <> 0").withColumn(
         "text", F.when(F.col("doc_id") % 91 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
     )
-    out = None
-    for name in sorted(t):
-        missing = len(set(t[name].columns) ^ set(other[name].columns))
-        row = report.status(diff.compare_data(t[name], other[name]), missing).select(
-            F.lit(name).alias("table_name"), "source_row_count", "target_row_count", "only_source_count",
-            "only_target_count", "structure_status", "data_status", "overall_status",
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    rules = testkit.rules()
+    sides = [catalog_from_dataframes(spark, x, rules) for x in (t, other)]
+    # The rules name a column that the other side lacks; its structure is what the tables themselves have.
+    found = structure.structure_diff(*sides).groupBy(F.col("object_table").alias("table_name")).agg(F.count("*").alias("n"))
+    summaries = [diff.compare_data(t[name], other[name]).withColumn("table_name", F.lit(name)) for name in sorted(t)]
+    whole = reduce(DataFrame.unionByName, summaries).join(found, "table_name", "left")
+    return report.status(whole, F.coalesce("n", F.lit(0))).select(
+        "table_name", "source_row_count", "target_row_count", "only_source_count", "only_target_count",
+        "structure_status", "data_status", "overall_status",
+    )
 
 
 @register(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tablecheck.model import Catalog, ForeignKey, TableRef
 from tablecheck.operators.skew import HOT_BYTES, distinct_keys, lookup
-from tablecheck.sources.checkpoints import Scratch, ensure_checkpoint_dir
+from tablecheck.sources.checkpoints import Scratch
 from tablecheck.sources.store import TableStore
 from tablecheck.sources.tables import resolve_name, table_counts
 
@@ -58,59 +58,65 @@ def closure(edges: DataFrame, root: TableRef | Column) -> DataFrame:
     """``table, depth`` for the root and all that depends on it; depth is the longest way from the root.
 
     Ordering by depth from the largest puts every child before its parents. Each round handles a
-    whole frontier as joins; results of a round are checkpointed, so plans do not grow with depth.
+    whole frontier as joins; results of a round are written to the shared folder, so plans do not grow with depth.
     Raises when the foreign keys form a cycle.
     """
     spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
     if isinstance(root, TableRef):
         root = F.struct(F.lit(root.schema).alias("schema"), F.lit(root.name).alias("name"))
-    edges = edges.distinct().checkpoint()
+    rounds = Rounds(spark)
+    edges = rounds.keep(edges.distinct(), "edges")
 
-    reached = spark.range(1).select(root.alias("table"), F.lit(0).alias("round"))
-    size, round_no = 1, 0
+    # Every round writes what it has found, never what was known before.
+    frontier = rounds.add("reached", spark.range(1).select(root.alias("table")))
     while True:
-        frontier = reached.filter(F.col("round") == round_no).select(F.col("table").alias("parent"))
-        found = edges.join(frontier, "parent", "left_semi").select(F.col("child").alias("table")).distinct()
-        round_no += 1
-        found = found.join(reached, "table", "left_anti").withColumn("round", F.lit(round_no))
-        reached = reached.unionByName(found).checkpoint()
-        grown = reached.count()
-        if grown == size:
+        found = edges.join(frontier.toDF("parent"), "parent", "left_semi").select(F.col("child").alias("table")).distinct()
+        frontier = rounds.add("reached", found.join(rounds.all("reached"), "table", "left_anti"))
+        if frontier.isEmpty():
             break
-        size = grown
 
     # A table is ranked in the round after the last of its parents.
-    inside = edges.join(reached.select(F.col("table").alias("parent")), "parent", "left_semi")
-    parents = inside.groupBy(F.col("child").alias("table")).agg(F.count("*").alias("open"))
-    state = reached.select("table").join(parents, "table", "left").select(
-        "table", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open").isNull(), 0).alias("depth")
-    ).checkpoint()
-    ranked, depth = state.filter("depth = 0").count(), 0
-    while ranked < size:
-        fresh = state.filter(F.col("depth") == depth).select(F.col("table").alias("parent"))
-        closed = edges.join(fresh, "parent").groupBy(F.col("child").alias("table")).agg(F.count("*").alias("closed"))
+    reached = rounds.all("reached")
+    inside = rounds.keep(edges.join(reached.toDF("parent"), "parent", "left_semi"), "inside")
+    parents = rounds.keep(inside.groupBy(F.col("child").alias("table")).agg(F.count("*").alias("open")), "parents")
+    fresh = rounds.add("ranked", reached.join(parents, "table", "left_anti").select("table", F.lit(0).alias("depth")))
+    depth = 0
+    while not fresh.isEmpty():
         depth += 1
-        still = F.col("open") - F.coalesce("closed", F.lit(0))
-        state = state.join(closed, "table", "left").select(
-            "table", still.alias("open"),
-            F.coalesce("depth", F.when(still == 0, depth)).alias("depth"),
-        ).checkpoint()
-        now = state.filter("depth IS NOT NULL").count()
-        if now == ranked:
-            waiting = state.filter("depth IS NULL").select("table")
-            among = edges.join(waiting.toDF("parent"), "parent", "left_semi").join(
-                waiting.toDF("child"), "child", "left_semi"
-            )
-            raise ValueError(f"The foreign keys form a cycle: {_cycle(among)}.")
-        ranked = now
-    return state.select("table", "depth")
+        closed = rounds.add("closed", inside.join(fresh.select(F.col("table").alias("parent")), "parent").select(F.col("child").alias("table")))
+        touched = rounds.all("closed").join(closed.distinct(), "table", "left_semi").groupBy("table").agg(F.count("*").alias("n"))
+        ready = touched.join(parents, "table").filter("n = open").select("table", F.lit(depth).alias("depth"))
+        fresh = rounds.add("ranked", ready)
+    ranked = rounds.all("ranked")
+    waiting = reached.join(ranked, "table", "left_anti")
+    if not waiting.isEmpty():
+        among = inside.join(waiting.toDF("parent"), "parent", "left_semi").join(waiting.toDF("child"), "child", "left_semi")
+        raise ValueError(f"The foreign keys form a cycle: {_cycle(rounds.keep(among, 'among'))}.")
+    return ranked
+
+
+class Rounds(Scratch):
+    """Tables that grow by a part per round."""
+
+    def __init__(self, spark: SparkSession):
+        super().__init__(spark)
+        self._parts: dict[str, list[DataFrame]] = {}
+
+    def add(self, name: str, part: DataFrame) -> DataFrame:
+        self._parts.setdefault(name, []).append(self.keep(part, name))
+        return self._parts[name][-1]
+
+    def all(self, name: str) -> DataFrame:
+        """All parts so far, as one scan over their files."""
+        parts = self._parts[name]
+        return self.spark.read.schema(parts[0].schema).parquet(*[f for p in parts for f in p.inputFiles()]) if len(parts) > 1 else parts[0]
 
 
 def _cycle(edges: DataFrame) -> str:
     """One cycle, written as a path, out of edges between tables that all wait for a parent."""
-    # From any of them, going to a waiting parent never ends, so it must come round again.
-    step = edges.groupBy("child").agg(F.min("parent").alias("parent")).checkpoint()
+    # From any of them, going to a waiting parent never ends, so it must come round again. The walk reads one row per
+    # step, as long as the path that the error shows.
+    step = edges.groupBy("child").agg(F.min("parent").alias("parent"))
     here = step.agg(F.min("child")).first()[0]
     path: list[TableRef] = []
     while TableRef(*here) not in path:

@@ -14,7 +14,7 @@ from tablecheck.model import IMPACTS, SyncResult
 from tablecheck.operators.diff import TableComparison
 from tablecheck.operators.drift import _text
 from tablecheck.operators.purge import PurgePlan
-from tablecheck.sources.checkpoints import ensure_checkpoint_dir
+from tablecheck.sources.checkpoints import Scratch
 
 DIFF_ORDER = ("impact_rank", "stage", "object_table", "object_name")
 FINDING_ORDER = ("impact_rank", "stage", "table_name", "rule_name")
@@ -38,12 +38,12 @@ def summary_by_type(results: DataFrame) -> DataFrame:
 def numbered(results: DataFrame, order: Sequence[str] = DIFF_ORDER) -> DataFrame:
     """Add ``number``, running from 1 in the given order, without passing all rows through one task.
 
-    The sorted rows are checkpointed, so their split into partitions is fixed. A row's number is its
-    place in its partition plus the rows of the partitions before it.
+    The sorted rows are written once to the shared folder, each with its partition and its place in it. A row's number is
+    its place plus the rows of the partitions before its own.
     """
     spark = results.sparkSession
-    ensure_checkpoint_dir(spark)
-    placed = results.orderBy(*order).checkpoint().withColumn("__place", F.monotonically_increasing_id())
+    placed = results.orderBy(*order).withColumn("__place", F.monotonically_increasing_id())
+    placed = Scratch(spark).keep(placed, "numbered")
     part = F.shiftright("__place", 33)
     within = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
     # One row per partition of the sort.

@@ -77,18 +77,38 @@ def source_status(
     spark: SparkSession, name: str, tables: Mapping[str, str | Mapping[str, str] | DataFrame],
     schema: str = "public", engine: str = "parquet",
 ) -> DataFrame:
-    """Per table whether a row of it can be read, and the error if not."""
-    rows = []
+    """Per table whether a row of it can be read, and the error if not.
+
+    All tables are tried by one job; only if that fails is each tried alone, to tell which.
+    """
+    rows, probes = [], {}
     for table, source in sorted(tables.items()):
         try:
-            # All columns of one row are computed and thrown away.
-            read_table(spark, source).limit(1).write.format("noop").mode("overwrite").save()
+            # All values of one row are computed, as text that is thrown away.
+            probes[table] = read_table(spark, source).limit(1).select(F.to_json(F.struct("*")).alias("row"))
             rows.append((name, table, engine, schema, "OK", ""))
         except Exception as error:  # any failure to read is what this reports
-            rows.append((name, table, engine, schema, "ERROR", str(error).split("\n", 1)[0]))
+            rows.append((name, table, engine, schema, "ERROR", _first_line(error)))
+    try:
+        if probes:
+            reduce(DataFrame.unionByName, probes.values()).write.format("noop").mode("overwrite").save()
+    except Exception:
+        rows = [r if r[4] == "ERROR" else (*r[:4], *_tried(probes[r[1]])) for r in rows]
     return spark.createDataFrame(rows, STATUS_DDL)
 
 
+def _first_line(error: Exception) -> str:
+    return str(error).split("\n", 1)[0]
+
+
+def _tried(probe: DataFrame) -> tuple[str, str]:
+    try:
+        probe.write.format("noop").mode("overwrite").save()
+    except Exception as error:
+        return "ERROR", _first_line(error)
+    return "OK", ""
+
+
 def all_ready(*statuses: DataFrame) -> bool:
     return all(s.filter("state = 'ERROR'").isEmpty() for s in statuses)
 
