@@ -23,7 +23,7 @@ RULES = {
     "few_words": "n_words < 50",
     "repeats": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > n_words",
-    "dup_lines": "10 * n_dup_lines > 3 * n_lines",
+    "dup_lines": "2 * n_dup_lines > n_lines",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
 }

@@ -132,7 +132,7 @@ ORACLES: dict[str, str] = {
             FROM d LEFT JOIN repeated USING (n)
         ), b AS (
             SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
-                + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
+                + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
                 + 32 * (word_chars > 20 * n_words)::BIGINT)::BIGINT AS fail_bits
             FROM m
         )

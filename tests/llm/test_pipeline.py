@@ -50,7 +50,7 @@ def failed(text):
     chars = len(b"".join(w).decode())
     return (
         len(w) < 50 or 100 * len(covered) > 50 * len(w) or 10 * sum(c in "#*$%&|<>" for c in text) > len(w)
-        or 10 * (len(lines) - len(set(lines))) > 3 * len(lines) or chars < 2 * len(w) or chars > 20 * len(w)
+        or 2 * (len(lines) - len(set(lines))) > len(lines) or chars < 2 * len(w) or chars > 20 * len(w)
     )
 
 
