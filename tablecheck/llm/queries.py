@@ -192,4 +192,35 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
         FROM d LEFT JOIN lost USING (n) LEFT JOIN kept USING (n)""",
+    "op7_virtual_slots": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(list_reduce(list_prepend(i, list_transform(range(8), lambda z: 0::BIGINT)),
+                lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM range(256) r(i)
+        ), d AS (
+            SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
+                xor(list_reduce(list_prepend(4294967295::BIGINT,
+                    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32,
+                ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 4096 AS virtual_slot
+            FROM documents, crc
+        ), sizes AS (SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n FROM d GROUP BY 1),
+        deck AS (
+            SELECT range AS virtual_slot, coalesce(bytes, 0)::BIGINT AS bytes, row_number() OVER (ORDER BY coalesce(bytes, 0) DESC, range) AS k
+            FROM range(4096) LEFT JOIN sizes ON virtual_slot = range
+        ), fold AS (
+            SELECT 0::BIGINT AS k, list_transform(range(16), lambda z: 0::BIGINT) AS loads, 0::BIGINT AS box
+            UNION ALL
+            SELECT deck.k, list_transform(f.loads, lambda x, i: x + CASE WHEN i = f.next THEN deck.bytes ELSE 0 END), f.next
+            FROM (SELECT k, loads, list_position(loads, list_min(loads))::BIGINT AS next FROM fold) f JOIN deck ON deck.k = f.k + 1
+        ), slot_map AS (SELECT virtual_slot, box - 1 AS shard FROM fold JOIN deck USING (k)),
+        starts AS (
+            SELECT virtual_slot, shard,
+                coalesce(sum(n) OVER (PARTITION BY shard ORDER BY virtual_slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM slot_map JOIN sizes USING (virtual_slot)
+        )
+        SELECT doc_id, size, text_crc32, virtual_slot::INT AS virtual_slot, 1 AS map_version, 'bytes' AS law, shard::INT AS shard,
+            (start + row_number() OVER (PARTITION BY virtual_slot ORDER BY text_crc32, doc_id, size) - 1)::BIGINT AS slot,
+            NULL::INT AS grown_shard
+        FROM d JOIN starts USING (virtual_slot)""",
 }
