@@ -42,18 +42,25 @@ ALPHABETS = (
 )
 _TITLES = "|".join(sorted(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES, key=len, reverse=True))
 _SECRET_WORD = r"(?:password|passwd|secret|token|api_key|apikey)"
-#: Patterns of the kinds, the first that fits a place counts. None has a group, since Spark cuts at whole matches.
+#: Patterns of the kinds, the first that fits a place counts. None has a group, since Spark cuts at whole matches. Each
+#: begins with what is cheap to refuse.
 KINDS = {
-    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"(?i:(?<=\b{_SECRET_WORD}[ ]?[=:][ ]?[\"']?))[A-Za-z0-9_\-+/]{{8,}}",
+    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
+    "secret": rf"(?<=[=:\"' ])(?=[A-Za-z0-9_\-+/]{{8}})(?i:(?<=\b{_SECRET_WORD}[ ]?[=:][ ]?[\"']?))[A-Za-z0-9_\-+/]{{8,}}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "card": r"(?<![\d.])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{13,19})(?![\d.]*\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ \-.]?(?:\(\d{1,4}\)[ \-.]?)?\d{2,4}(?:[ \-.]?\d{2,4}){1,3}(?!\d)|(?<![\d(])(?:\(\d{3}\) ?|\d{3}[\-.])\d{3}[\-.]\d{4}(?!\d)",
-    "person": rf"\b(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "person": rf"(?=[A-ZГ])\b(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+_DIGITAL = ("card", "ip", "ssn", "phone")
+PATTERN = "|".join(
+    [f"(?:{KINDS[k]})" for k in ("email", "secret", "access_key")]
+    + [f"(?=[0-9+(])(?:{'|'.join(f'(?:{KINDS[k]})' for k in _DIGITAL)})", f"(?:{KINDS['person']})"]
+)
+#: What a text with an entity has at least: a digit or @, a word before a secret, or a title.
+HINT = rf"[0-9@]|(?i:{_SECRET_WORD}[ ]?[=:])|(?=[A-ZГ])\b(?:{_TITLES})\.? \p{{Lu}}"
 MAX_ROUNDS = 64
 
 
@@ -164,7 +171,7 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     """``doc`` (the input row as a struct), ``text`` with surrogates, and ``replaced``: (kind, surrogate) in order."""
     row = docs.select(F.struct("*").alias("doc")).select("doc", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
     found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
-    listed = row.select("id", F.xxhash64("text").alias("x"), F.explode(F.array_distinct(found)).alias("entity"))
+    listed = row.filter(F.col("text").rlike(HINT)).select("id", F.xxhash64("text").alias("x"), F.explode(F.array_distinct(found)).alias("entity"))
     mentions = staged(listed.select("id", "x", "entity", _kind(F.col("entity")).alias("kind")), "mentions")
     drawn = draws(mentions.select("kind", "entity").distinct(), key)
     pairs = mentions.join(drawn, ["kind", "entity"]).groupBy("id", "x").agg(
