@@ -7,8 +7,12 @@ if they had one, telephone numbers their country code, access keys their prefix,
 fits its gender.
 
 Distinctness is checked over the whole corpus: the distinct entities are one table, and an entity whose surrogate is an
-entity itself, or the surrogate of a smaller entity of its kind, draws again, until none does. Such draws are rare; each
-round is one written table. Entities are joined back to the texts that have them, through the text's hash and id.
+entity itself, or the surrogate of a smaller entity, draws again, until none does; so does a person whose last name came
+out as it was. Such draws are rare; each round is one written table. After GROW_AFTER draws a surrogate gets one more
+character with each further draw, so that entities of few letters get free too, whatever their number.
+
+Letters of persons in any script are replaced within their script and case; a script without fixed first names has the
+first name replaced like the last. A run without a letter or digit, such as the line of a form, is no secret. Entities are joined back to the texts that have them, through the text's hash and id.
 
 Texts are cut at their entities and put together again with surrogates between, so a surrogate is never searched. NULL
 texts stay NULL, empty texts empty. Rows without an id are treated like others, and repeated rows alike. Other columns of any
@@ -17,6 +21,10 @@ name are carried in a struct.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +43,24 @@ FIRST_NAMES = {
     ("cyrillic", "m"): ("Андрей", "Борис", "Виктор", "Иван", "Олег", "Павел", "Юрий"),
     ("cyrillic", "n"): ("Саша", "Женя", "Валя"),
 }
-#: Alphabets in which letters are replaced.
+#: Alphabets in which letters are replaced; all other letters are replaced within the pools of _classes and LARGE_SCRIPTS.
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+#: Scripts of very many letters without case: Java's name, and the letters that stand for others.
+LARGE_SCRIPTS = {name: "".join(map(chr, range(first, first + 256))) for name, first in (("Han", 0x4E00), ("Hangul", 0xAC00), ("Tangut", 0x17000))}
+#: Scripts whose first word is also that of others in Unicode's names.
+_TWO_WORDS = ("OLD", "TAI", "LINEAR", "INSCRIPTIONAL", "OL")
+#: The most letters of a script and case that stand for others, and where the marks of classes begin.
+POOL, MARKS = 256, 0xE000
 _TITLES = "|".join(sorted(FEMALE_TITLES + MALE_TITLES + NEUTRAL_TITLES, key=len, reverse=True))
 _SECRET_WORD = r"(?:password|passwd|secret|token|api_key|apikey)"
 #: Patterns of the kinds, the first that fits a place counts. None has a group, since Spark cuts at whole matches. Each
 #: begins with what is cheap to refuse.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"(?<=[=:\"' ])(?=[A-Za-z0-9_\-+/]{{8}})(?i:(?<=\b{_SECRET_WORD}[ ]?[=:][ ]?[\"']?))[A-Za-z0-9_\-+/]{{8,}}",
+    "secret": rf"(?<=[=:\"' ])(?=[A-Za-z0-9_\-+/]{{8}})(?=[_\-+/]*+[A-Za-z0-9])(?i:(?<=\b{_SECRET_WORD}[ ]?[=:][ ]?[\"']?))[A-Za-z0-9_\-+/]{{8,}}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
     "card": r"(?<![\d.])(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{13,19})(?![\d.]*\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
@@ -61,7 +75,26 @@ PATTERN = "|".join(
 )
 #: What a text with an entity has at least: a digit or @, a word before a secret, or a title.
 HINT = rf"[0-9@]|(?i:{_SECRET_WORD}[ ]?[=:])|(?=[A-ZГ])\b(?:{_TITLES})\.? \p{{Lu}}"
-MAX_ROUNDS = 64
+#: From this draw on each one makes the surrogate a character longer.
+GROW_AFTER = 8
+
+
+@cache
+def _classes() -> tuple[str, str, tuple[str, ...]]:
+    """Every letter outside the large scripts, a mark of its script and case for each, and the letters each class draws from."""
+    classes: dict[tuple[str, str], list[str]] = {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        case = unicodedata.category(c)
+        if case[0] != "L":
+            continue
+        words = unicodedata.name(unicodedata.normalize("NFKC", c)[0], "").split(" ")
+        script = " ".join(words[:2]) if words[0] in _TWO_WORDS else words[0]
+        if script and script not in ("CJK", "HANGUL"):
+            classes.setdefault((script, case if case in ("Lu", "Ll") else ""), []).append(c)
+    letters = "".join(c for members in classes.values() for c in members)
+    marks = "".join(chr(MARKS + k) * len(members) for k, members in enumerate(classes.values()))
+    plain = [[c for c in members if unicodedata.normalize("NFKC", c) == c] or members for members in classes.values()]
+    return letters, marks, tuple("".join(members[:POOL]) for members in plain)
 
 
 def _kind(entity: Column) -> Column:
@@ -82,10 +115,19 @@ def _number(stream: Column, i: Column) -> Column:
     return F.conv(stream.substr((i % 31) * 4 + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 31).cast("int") * 7
 
 
-def _masked(text: Column, stream: Column, keep: Column) -> Column:
-    """Characters from ``keep`` on replaced within their alphabet."""
+def _any_letter(c: Column, number: Column) -> Column:
+    """A letter of any script replaced by one of its script and case; other characters stay."""
+    letters, marks, pools = _classes()
+    pool = F.get(F.array(*map(F.lit, pools)), (F.ascii(F.translate(c, letters, marks)) - MARKS).cast("int"))
+    for script, large in LARGE_SCRIPTS.items():
+        pool = F.when(c.rlike(rf"\p{{Is{script}}}"), F.lit(large)).otherwise(pool)
+    return F.coalesce(let(pool, lambda p: p.substr((number % F.length(p)).cast("int") + 1, F.lit(1))), c)
+
+
+def _masked(text: Column, stream: Column, keep: Column, any_script: bool = False) -> Column:
+    """Characters from ``keep`` on replaced within their alphabet, with ``any_script`` also letters outside ALPHABETS."""
     def one(c: Column, i: Column) -> Column:
-        out = c
+        out = F.when(c.rlike(r"\p{L}"), _any_letter(c, _number(stream, i))).otherwise(c) if any_script else c
         for letters in ALPHABETS:
             at = (_number(stream, i) % len(letters)).cast("int") + 1
             out = F.when(F.instr(F.lit(letters), c) > 0, F.lit(letters).substr(at, F.lit(1))).otherwise(out)
@@ -112,37 +154,48 @@ def _checked(masked: Column, entity: Column) -> Column:
     return F.when(valid, F.concat(masked.substr(F.lit(1), F.length(masked) - 1), check)).otherwise(masked)
 
 
-def _person(entity: Column, stream: Column) -> Column:
+def _longer(text: Column, more: Column, by: Column) -> Column:
+    return F.concat(text, F.repeat(by, more))
+
+
+def _person(entity: Column, stream: Column, more: Column) -> Column:
     """The title, a first name of the same gender and script, and a masked family name if there was one."""
     title = F.regexp_extract(entity, rf"^({_TITLES})", 1)
-    parts = F.split(F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", ""), " ")
+    lead = F.regexp_extract(entity, rf"^(?:{_TITLES})\.? ", 0)
+    names = F.regexp_replace(entity, rf"^(?:{_TITLES})\.? ", "")
     gender = F.when(title.isin(*FEMALE_TITLES), "f").when(title.isin(*MALE_TITLES), "m").otherwise("n")
-    script = F.when(entity.rlike(r"\p{IsCyrillic}\p{L}*$"), "cyrillic").otherwise("latin")
-    first = F.lit("")
-    for (s, g), names in FIRST_NAMES.items():
-        pick = F.get(F.array(*map(F.lit, names)), (_number(stream, F.lit(0)) % len(names)).cast("int"))
+    script = F.when(entity.rlike(r"\p{IsCyrillic}\p{L}*$"), "cyrillic").when(names.rlike(r"^\p{IsLatin}"), "latin")
+    first = F.lit(None).cast("string")
+    for (s, g), listed in FIRST_NAMES.items():
+        pick = F.get(F.array(*map(F.lit, listed)), (_number(stream, F.lit(0)) % len(listed)).cast("int"))
         first = F.when((script == s) & (gender == g), pick).otherwise(first)
-    lead = F.regexp_extract(entity, rf"^(?:{_TITLES})\.? ", 0)
-    last = _masked(F.get(parts, 1), stream, F.lit(0))
-    alone = _masked(F.get(parts, 0), stream, F.lit(0))
-    return F.when(F.size(parts) > 1, F.concat(lead, first, F.lit(" "), last)).otherwise(F.concat(lead, alone))
+    masked = F.split(_masked(_longer(names, more, F.right(names, F.lit(1))), stream, F.lit(0), any_script=True), " ")
+    return let(masked, lambda parts: F.when(
+        F.size(parts) > 1, F.concat(lead, F.coalesce(first, F.get(parts, 0)), F.lit(" "), F.get(parts, 1)),
+    ).otherwise(F.concat(lead, F.get(parts, 0))))
 
 
 def surrogate(key: str, kind: Column, entity: Column, attempt: Column) -> Column:
     """What stands for an entity in a given draw."""
     def made(stream: Column) -> Column:
+        # Numbers grow by digits, an address by a port, all else by letters.
+        more = F.greatest(attempt - GROW_AFTER, F.lit(0))
+        filler = F.when(kind.isin("card", "ssn", "phone"), "0").when(kind == "access_key", "A").otherwise("a")
+        grown = _longer(entity, more, filler)
+        port = F.when(more > 0, F.concat(F.lit(":"), _masked(F.repeat(F.lit("0"), more), F.reverse(stream), F.lit(0)))).otherwise("")
         octets = F.concat_ws(".", *[(_number(stream, F.lit(i)) % 254 + 1).cast("string") for i in range(4)])
         local, domain = F.substring_index(entity, "@", 1), F.substring_index(entity, "@", -1)
         names, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.[^.]+$", 0)
         site = _masked(names, _stream(key, F.lit("domain"), domain, F.lit(0)), F.lit(0))
-        whole = _masked(entity, stream, F.lit(0))
+        whole = _masked(grown, stream, F.lit(0))
         keep = F.when(kind == "access_key", 4).when(kind == "card", 1).when(
             (kind == "phone") & entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ \-.(])|^\+\d", 0))
         ).otherwise(0)
         return (
-            F.when(kind == "email", F.concat(_masked(local, stream, F.lit(0)), F.lit("@"), site, top)).when(kind == "ip", octets)
-            .when(kind == "card", _checked(_masked(entity, stream, keep), entity)).when(kind == "person", _person(entity, stream))
-            .when(kind.isin("phone", "access_key"), _masked(entity, stream, keep)).otherwise(whole)
+            F.when(kind == "email", F.concat(_masked(_longer(local, more, F.lit("a")), stream, F.lit(0)), F.lit("@"), site, top))
+            .when(kind == "ip", F.concat(octets, port))
+            .when(kind == "card", _checked(_masked(grown, stream, keep), entity)).when(kind == "person", _person(entity, stream, more))
+            .when(kind.isin("phone", "access_key"), _masked(grown, stream, keep)).otherwise(whole)
         )
 
     return let(_stream(key, kind, entity, attempt), made)
@@ -152,19 +205,20 @@ def draws(entities: DataFrame, key: str) -> DataFrame:
     """(``kind``, ``entity``, ``surrogate``) for distinct (``kind``, ``entity``): no two alike, none an entity."""
     known = entities.select(F.col("entity").alias("taken")).distinct()
     attempt = staged(entities.select("kind", "entity", F.lit(0).alias("attempt"), surrogate(key, F.col("kind"), F.col("entity"), F.lit(0)).alias("surrogate")), "draw")
-    for _ in range(MAX_ROUNDS):
+    last = F.element_at(F.split("surrogate", " "), -1) == F.element_at(F.split("entity", " "), -1)
+    same = (F.col("kind") == "person") & last
+    while True:
         least = attempt.groupBy(F.col("surrogate").alias("drawn")).agg(F.min(F.struct("kind", "entity")).alias("holder"), F.count("*").alias("n"))
         real = known.select(F.col("taken").alias("drawn"), F.lit(True).alias("real"))
         bad = least.join(real, "drawn", "left").filter("n > 1 OR real")
-        if bad.isEmpty():
+        if bad.isEmpty() and attempt.filter(same).isEmpty():
             return attempt
         again = attempt.join(bad, attempt["surrogate"] == bad["drawn"], "left")
         mine = F.struct("kind", "entity") == F.col("holder")
-        redo = F.col("drawn").isNotNull() & (F.coalesce(F.col("real"), F.lit(False)) | ~mine)
+        redo = same | (F.col("drawn").isNotNull() & (F.coalesce(F.col("real"), F.lit(False)) | ~mine))
         again = again.select("kind", "entity", F.when(redo, F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt"), F.when(~redo, F.col("surrogate")).alias("old"))
         drawn = F.coalesce("old", surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt")))
         attempt = staged(again.select("kind", "entity", "attempt", drawn.alias("surrogate")), "draw")
-    raise ValueError(f"some entities have no free surrogate after {MAX_ROUNDS} draws")
 
 
 def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

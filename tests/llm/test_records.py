@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import unicodedata
 import zlib
 
 import public_tokenizers
@@ -185,3 +186,33 @@ def test_colliding_surrogates_are_drawn_again(spark):
     drawn = surrogates.draws(entities.filter("CAST(entity AS INT) < 25"), "k").collect()
     stand = {r.entity: r.surrogate for r in drawn}
     assert len(stand) == len(set(stand.values())) == 25 and not set(stand) & set(stand.values())
+
+
+def test_names_of_any_script_and_form_lines(spark):
+    names = ["Mr Đỗ", "Mr Nam Đỗ", "Mrs Þóra Ólafsdóttir", "Г-н Фёдор Ёлкин", "Mr Αβ Ήλιος", "Dr Արամ", "Dr Արամ Հակոբյան", "Dr 𐐀𐐨𐐩"]
+    texts = [f"See {n}." for n in names] + ["Password: ________ token: --------", "token: ----abc-----", "_@1.example _@2.example"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc.doc_id: r for r in surrogates.replaced(docs, "k").collect()}
+    assert got[len(names)].text == texts[len(names)] and not got[len(names)].replaced
+    assert [r.kind for r in got[len(names) + 1].replaced] == ["secret"] and "abc" not in got[len(names) + 1].text
+    assert [r.kind for r in got[len(names) + 2].replaced] == ["email", "email"]
+    for k, name in enumerate(names):
+        new, old = got[k].replaced[0].surrogate.split(" "), name.split(" ")
+        assert new[0] == old[0] and len(new) == len(old) and new[-1] != old[-1]
+        assert len(new[-1]) == len(old[-1])
+        for a, b in zip(new[-1], old[-1]):
+            assert unicodedata.category(a) == unicodedata.category(b) and unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
+    assert unicodedata.name(got[6].replaced[0].surrogate.split(" ")[1][0]).startswith("ARMENIAN")
+
+
+def test_draws_that_cannot_succeed_grow(spark):
+    # All two-digit secrets are taken, as are all national parts of a short telephone number of one country.
+    taken = [("secret", f"{i:02d}") for i in range(100)] + [("phone", f"+1 {i:02d}") for i in range(100)]
+    taken += [("email", "_@a.io"), ("email", "_@b.io"), ("person", "Mr Ⴀ"), ("ip", "1.1.1.1"), ("card", "4111111111111111")]
+    drawn = surrogates.draws(spark.createDataFrame(taken, "kind string, entity string"), "k").collect()
+    stand = [r.surrogate for r in drawn]
+    assert len(stand) == len(set(stand)) == len(taken) and not set(stand) & {e for _, e in taken}
+    late = spark.createDataFrame([(k, e) for k, e in taken[-5:]], "kind string, entity string")
+    grown = {r.kind: r.s for r in late.select("kind", surrogates.surrogate("k", F.col("kind"), F.col("entity"), F.lit(surrogates.GROW_AFTER + 3)).alias("s")).collect()}
+    assert len(grown["person"]) == len("Mr Ⴀ") + 3 and len(grown["card"]) == 19 and luhn(grown["card"])
+    assert grown["ip"].count(":") == 1 and len(grown["email"].split("@")[0]) == 4
