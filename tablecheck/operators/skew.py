@@ -55,14 +55,14 @@ def row_bytes(df: DataFrame) -> Column:
     return reduce(lambda x, y: x + y, texts + nested, F.lit(fixed)).cast("bigint")
 
 
-def _hot_keys(rows: DataFrame, on: list[str], hot_bytes: int) -> DataFrame:
+def _hot_keys(rows: DataFrame, on: list[str], hot_bytes: int, types: list[str] | None = None) -> DataFrame:
     """``__hot, __salts``: hashes of the keys that hold too much for a task, and over how many they are spread.
 
     A key needs a 10,000th of all bytes as well, so there are at most HOT_KEYS of them, 12 bytes each.
     """
     if not hot_bytes:
         hot_bytes = HOT_PARTITIONS * _advisory_bytes(rows)
-    per_key = rows.filter(all_present(on)).select(_hashed(on).alias("__hot"), row_bytes(rows).alias("b")).groupBy("__hot").agg(F.sum("b").alias("b"))
+    per_key = rows.filter(all_present(on)).select(_hashed(on, types).alias("__hot"), row_bytes(rows).alias("b")).groupBy("__hot").agg(F.sum("b").alias("b"))
     limit = per_key.agg(F.greatest(F.lit(hot_bytes), F.ceil(F.sum("b") / HOT_KEYS)).alias("__limit"))
     hot = per_key.join(F.broadcast(limit)).filter("b > __limit")
     return hot.select("__hot", F.ceil(F.col("b") / F.col("__limit")).cast("int").alias("__salts"))
@@ -73,8 +73,18 @@ def _advisory_bytes(df: DataFrame) -> int:
     return int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value))
 
 
-def _hashed(columns: list[str]) -> Column:
-    return F.xxhash64(*[_q(c) for c in columns])
+def _compared_types(rows: DataFrame, on: list[str], keyed: DataFrame, names: list[str]) -> list[str]:
+    """The type in which Catalyst compares each pair of key columns; equal values of unlike types have unlike hashes."""
+    types = []
+    for c, n in zip(on, names):
+        pair = [F.lit(None).cast(df.schema[x].dataType).alias(a) for df, x, a in ((rows, c, "a"), (keyed, n, "b"))]
+        equal = rows.sparkSession.range(0).select(*pair).filter(F.col("a") == F.col("b"))
+        types.append(equal._jdf.queryExecution().analyzed().condition().left().dataType().sql())
+    return types
+
+
+def _hashed(columns: list[str], types: list[str] | None = None) -> Column:
+    return F.xxhash64(*[F.col(_q(c)).cast(t) for c, t in zip(columns, types)] if types else [_q(c) for c in columns])
 
 
 def keyed_join(
@@ -86,7 +96,7 @@ def keyed_join(
     If what ``keyed`` reads is below the session's broadcast threshold, it is broadcast. Otherwise the bytes of every key
     are added up as part of the same query; rows of a key that holds more than ``hot_bytes`` (by default four advisory
     partitions) are spread over as many salts as that takes, by the partition they come from, and the key's entry in
-    ``keyed`` is repeated once per salt. A rerun task gives the same salts. Rows with an incomplete key match nothing and
+    ``keyed`` is repeated once per salt; keys are hashed in the type in which they are compared. A rerun task gives the same salts. Rows with an incomplete key match nothing and
     are spread too. Nothing runs before the result is asked for, on either way.
     """
     names = [f"__k{i}" for i in range(len(on))]
@@ -97,11 +107,12 @@ def keyed_join(
     if not force_salt and 0 < input_bytes(keyed) <= broadcast_limit(rows):
         return rows.join(F.broadcast(right), same, how).select(*columns)
 
-    hot = _hot_keys(rows, on, hot_bytes)
+    types = _compared_types(rows, on, right, names)
+    hot = _hot_keys(rows, on, hot_bytes, types)
 
     def with_salts(df: DataFrame, keys: list[str]) -> DataFrame:
         # Bounded by HOT_KEYS rows of two numbers.
-        return df.join(F.broadcast(hot), _hashed(keys) == F.col("__hot"), "left").drop("__hot")
+        return df.join(F.broadcast(hot), _hashed(keys, types) == F.col("__hot"), "left").drop("__hot")
 
     part = F.spark_partition_id()
     salt = F.when(any_null(on), part).when(F.col("__salts").isNotNull(), F.pmod(part, F.col("__salts"))).otherwise(0)

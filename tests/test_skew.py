@@ -59,3 +59,14 @@ def test_wide_rows_count_by_their_bytes(spark):
     rows = spark.range(0, 400, 1, 4).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), 1000)).alias("v"))
     hot = skew._hot_keys(rows, ["k"], 50_000).collect()
     assert [h["__salts"] for h in hot] == [5]
+
+
+def test_hot_keys_of_unlike_types_find_their_parent(spark):
+    for child, parent in (("int", "bigint"), ("bigint", "int"), ("decimal(10,2)", "decimal(18,4)"), ("int", "double"), ("string", "int")):
+        rows = spark.range(0, 2000, 1, 4).select((F.col("id") % 2).cast("int").cast(child).alias("k"))
+        if child == "string":
+            rows = rows.select(F.concat(F.lit("0"), "k").alias("k"))
+        keys = spark.createDataFrame([(0,), (1,)], "p INT").select(F.col("p").cast(parent))
+        found = skew.lookup(rows, ["k"], keys, "known", hot_bytes=2000, force_salt=True)
+        assert found.filter("known").count() == found.count() == 2000, (child, parent)
+        assert found.schema["k"].dataType == rows.schema["k"].dataType
