@@ -69,6 +69,26 @@ def test_near_duplicate_stage(stages):
     assert rows_of(stages[2]) == kept and len(kept) < len(data)
 
 
+def test_near_duplicates_are_kept_by_row(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in ("a", "b", "c", "d", "e")]
+    rows = [
+        (1, texts[0], "x"), (2, texts[0], "x"), (None, texts[0], "x"),  # one component
+        (3, texts[1], "x"), (1, texts[2], "x"), (0, texts[2], "x"),  # 1 is a root above, but not here
+        (4, texts[3], "x"), (4, texts[3] + " more", "x"), (4, texts[3], "y"),  # one id, near texts or unlike columns
+        (None, texts[4], "x"), (None, texts[4], "x"), (None, texts[4], "y"), (None, None, None), (None, "", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row_key", F.lit(1))
+    prints = [plain_fingerprint(t) for _, t, _ in rows]
+    assert (prints[6] ^ prints[7]).bit_count() <= 3
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(k for k in kept if k[0] in (0, 1, 3)) == [(0, texts[2]), (1, texts[0]), (3, texts[1])]
+    assert len([k for k in kept if k[0] == 4]) == 1
+    assert [k for k in kept if k[0] is None and k[1]] == [(None, texts[4])]
+    assert len([k for k in kept if not k[1]]) == 1 and len(kept) == 6
+
+
 def test_decontamination_stage(spark, stages):
     items = [normal_words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     windows = {tuple(v[i: i + 13]) for v in items for i in range(max(1, len(v) - 12)) if v}
