@@ -73,8 +73,8 @@ PATTERN = "|".join(
     [f"(?:{KINDS[k]})" for k in ("email", "secret", "access_key")]
     + [f"(?=[0-9+(])(?:{'|'.join(f'(?:{KINDS[k]})' for k in _DIGITAL)})", f"(?:{KINDS['person']})"]
 )
-#: What a text with an entity has at least: a digit or @, a word before a secret, or a title.
-HINT = rf"[0-9@]|(?i:{_SECRET_WORD}[ ]?[=:])|(?=[A-ZГ])\b(?:{_TITLES})\.? \p{{Lu}}"
+#: What a text with an entity has at least: a digit or @, the start of an access key, a word before a secret, or a title.
+HINT = rf"[0-9@]|AKIA|ASIA|(?i:{_SECRET_WORD}[ ]?[=:])|(?=[A-ZГ])\b(?:{_TITLES})\.? \p{{Lu}}"
 #: From this draw on each one makes the surrogate a character longer.
 GROW_AFTER = 8
 
