@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecheck.llm import decontaminate, mixing, quality, repeats, shards, simhash, surrogates, token_counts, token_files, warc
+from tablecheck.llm import (
+    centroids, decontaminate, mixing, packing, quality, repeats, resampling, shards, simhash, surrogates, token_counts, token_files, warc,
+)
 from tablecheck.llm.staging import new_folder
 
 
@@ -72,6 +74,20 @@ def repeats_query(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.cut(_table(spark, folder, "documents"))
 
 
+def centroids_query(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.with_summary(*centroids.clustered(_table(spark, folder, "embeddings")))
+
+
+def resampling_query(spark: SparkSession, folder: str) -> DataFrame:
+    scored = resampling.resampled(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return scored.select(F.col("doc.id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def packing_query(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.packed(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 QUERIES = {
     "op1_mix_sources": mixing_query,
     "op2_quality_rules": quality_query,
@@ -83,6 +99,9 @@ QUERIES = {
     "op8_simhash": simhash_query,
     "op9_decontaminate": decontaminate_query,
     "op10_repeated_passages": repeats_query,
+    "op11_incremental_centroids": centroids_query,
+    "op12_importance_resampling": resampling_query,
+    "op13_mixture_packing": packing_query,
 }
 
 ORACLES: dict[str, str] = {
