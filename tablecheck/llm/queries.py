@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablecheck.llm import (
     centroids, decontaminate, mixing, packing, quality, repeats, resampling, shards, simhash, surrogates, token_counts, token_files, warc,
 )
+from tablecheck.llm.sql import RESAMPLING, centroids as centroids_sql
 from tablecheck.llm.staging import new_folder
 
 
@@ -105,6 +106,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op11_incremental_centroids": centroids_sql(),
+    "op12_importance_resampling": RESAMPLING,
     "op1_mix_sources": r"""
         WITH d AS (
             SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
