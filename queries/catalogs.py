@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from queries import sql
 from queries.inputs import SNAPSHOT, catalogs, ctes, frame, raw, raw_ctes, oracle
 from tablecheck.functions import ddl, text
-from tablecheck.operators import align, drift, integrity, purge, structure
+from tablecheck.model import Catalog
+from tablecheck.operators import align, drift, fleet, integrity, purge, structure
 from tablecheck.plans import report
 from tablecheck.sources import catalog as builders
 from tablecheck.sources.checkpoints import Scratch
@@ -325,6 +326,32 @@ def drift_run(spark: SparkSession, folder: str) -> DataFrame:
     return drift.drift(*catalogs(spark, folder))
 
 
+# Environments of a fleet: the kinds of objects in which each has the target's state and not the source's.
+FLEET = {
+    "all": tuple(SNAPSHOT), "columns": ("columns",), "keys": ("constraints", "indexes"), "none": (),
+    "code": ("views", "matviews", "sequences", "functions", "triggers"), "tables": ("schemas", "tables", "extensions"),
+}
+
+
+def _fleet_sql() -> str:
+    parts = []
+    for env, changed in FLEET.items():
+        sides = [f"s_{k} AS ({oracle(SNAPSHOT[k](False))}), t_{k} AS ({oracle(SNAPSHOT[k](k in changed))})" for k in SNAPSHOT]
+        parts.append(f"SELECT '{env}' AS env, d.* FROM (WITH {', '.join(sides)} {ALL_DRIFT}) d")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("fleet_drift", _fleet_sql())
+def fleet_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """All drift of six environments against the source, whose objects are read and compared once."""
+    loaded: dict[str, DataFrame] = {}
+    table = fleet.SignatureTable(spark)
+    for env, changed in {"source": (), **FLEET}.items():
+        parts = {k: frame(spark, folder, SNAPSHOT[k](k in changed), loaded) for k in SNAPSHOT}
+        table.add(env, Catalog.from_snapshot(spark, parts, env="", schema="public"))
+    return table.compare("source", list(FLEET))
+
+
 @register("stored_snapshots", with_ctes(tuple(SNAPSHOT), ALL_DRIFT))
 def stored_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """All drift between two environments that were stored one after the other and read back."""

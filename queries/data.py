@@ -131,9 +131,9 @@ def expected_findings(kinds: tuple[str, ...] = integrity.STAGES) -> str:
     return "\nUNION ALL\n".join(out)
 
 
-def findings(spark: SparkSession, folder: str, kinds: tuple[str, ...] = integrity.STAGES) -> DataFrame:
+def findings(spark: SparkSession, folder: str, kinds: tuple[str, ...] = integrity.STAGES, bitmaps: bool = False) -> DataFrame:
     tables = testkit.target_tables(testkit.load(spark, folder))
-    found = integrity.check(tables, testkit.rules(), kinds=kinds)
+    found = integrity.check(tables, testkit.rules(), kinds=kinds, bitmaps=bitmaps)
     return found.withColumn("columns", F.array_join("columns", ","))
 
 
@@ -144,24 +144,114 @@ for _name, _kinds in {
     "fk_null_relation": ("FK_NULL_RELATION",),
     "fk_orphans_all": ("FK_ORPHAN_ROWS",),
 }.items():
-    QUERIES[_name] = lambda spark, folder, kinds=_kinds: findings(spark, folder, kinds)
+    QUERIES[_name] = lambda spark, folder, kinds=_kinds, name=_name: findings(spark, folder, kinds, name == "fk_orphans_all")
     ORACLES[_name] = expected_findings(_kinds)
 
-for _name, _kind in (("duplicate_keys", "p"), ("duplicate_unique", "u")):
-    _rules = [k for k in testkit.rules().keys if k.kind == _kind]
+# Unique columns with NULLs, which count as no value, and a unique pair of which either may be NULL.
+UNIQUE_TARGET = {
+    **TARGET,
+    "documents": "(SELECT * REPLACE (CASE WHEN doc_id % 5 <> 0 THEN text END AS text) FROM documents)",
+    "part": "(SELECT * REPLACE (CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS p_name) FROM part)",
+}
+_PAIR = Key("orders_custkey_priority_key", "orders", ("o_custkey", "o_orderpriority"), "u")
+_PRIMARY = tuple(k for k in testkit.rules().keys if k.kind == "p")
+_UNIQUE = (*(k for k in testkit.rules().keys if k.kind == "u"), _PAIR)
+
 
-    def _duplicates(spark, folder, rules=tuple(_rules)):
-        tables = testkit.target_tables(testkit.load(spark, folder))
-        return integrity.check(tables, RuleSet(keys=rules), include_zero=True).select("rule_name", "count")
+def _duplicates_sql(keys: tuple[Key, ...], target: dict[str, str]) -> str:
+    def where(k: Key) -> str:
+        return "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in k.columns) if k.kind == "u" else ""
 
-    QUERIES[_name] = _duplicates
-    ORACLES[_name] = "\nUNION ALL\n".join(
+    return "\nUNION ALL\n".join(
         f"SELECT '{k.name}' AS rule_name, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS count FROM "
-        f"(SELECT count(*) AS n FROM {TARGET[k.table]} t GROUP BY {', '.join(k.columns)} HAVING count(*) > 1) g"
-        for k in _rules
+        f"(SELECT count(*) AS n FROM {target[k.table]} t {where(k)} GROUP BY {', '.join(k.columns)} HAVING count(*) > 1) g"
+        for k in keys
     )
 
 
+def unique_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    tables = testkit.target_tables(testkit.load(spark, folder))
+    for table, key, by, n in (("documents", "text", "doc_id", 5), ("part", "p_name", "p_partkey", 7)):
+        tables[table] = tables[table].withColumn(key, F.when(F.col(by) % n != 0, F.col(key)))
+    return tables
+
+
+@register("duplicate_keys", _duplicates_sql(_PRIMARY, TARGET))
+def duplicate_keys(spark: SparkSession, folder: str) -> DataFrame:
+    tables = testkit.target_tables(testkit.load(spark, folder))
+    return integrity.check(tables, RuleSet(keys=_PRIMARY), include_zero=True).select("rule_name", "count")
+
+
+@register("duplicate_unique", _duplicates_sql(_UNIQUE, UNIQUE_TARGET))
+def duplicate_unique(spark: SparkSession, folder: str) -> DataFrame:
+    return integrity.check(unique_tables(spark, folder), RuleSet(keys=_UNIQUE), include_zero=True).select("rule_name", "count")
+
+
+@register("duplicate_all_keys", _duplicates_sql((*_PRIMARY, *_UNIQUE), UNIQUE_TARGET))
+def duplicate_all_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Primary and unique keys together: one scan of each table, however many keys it has."""
+    rules = RuleSet(keys=(*_PRIMARY, *_UNIQUE))
+    return integrity.check(unique_tables(spark, folder), rules, include_zero=True).select("rule_name", "count")
+
+
+def _samples_sql() -> str:
+    """The first rows of every rule, a query for each."""
+    rules, out = testkit.rules(), []
+
+    def rows(kind: str, rule: str, table: str, where: str) -> None:
+        shown = "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in COLUMNS[table]) + ")"
+        order = ", ".join(f"{c} NULLS FIRST" for c in COLUMNS[table])
+        out.append(
+            f"SELECT '{kind}' AS type, '{rule}' AS rule_name, '{table}' AS table_name, CAST(row_number() OVER (ORDER BY {order}) AS INT) AS place, "
+            f"'{','.join(COLUMNS[table])}' AS names, {shown} AS sample FROM {TARGET[table]} t WHERE {where} QUALIFY place <= 50"
+        )
+
+    for r in rules.required:
+        rows("REQUIRED_NULL_VALUES", r.column, r.table, f"{r.column} IS NULL")
+        if r.text:
+            rows("REQUIRED_EMPTY_TEXT", r.column, r.table, f"trim({r.column}, ' ') = ''")
+    for f in rules.foreign_keys:
+        child, parent = f.columns[0], f.parent_columns[0]
+        if f.source_nullable:
+            rows("FK_NULL_RELATION", f.name, f.table, f"{child} IS NULL")
+        rows("FK_ORPHAN_ROWS", f.name, f.table, f"{child} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {TARGET[f.parent]} p WHERE p.{parent} = t.{child})")
+    for k in rules.keys:
+        where = "WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in k.columns) if k.kind == "u" else ""
+        key = ", ".join(k.columns)
+        order = ", ".join(f"{c} NULLS FIRST" for c in sorted(k.columns))
+        shown = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in k.columns)
+        out.append(
+            f"SELECT 'DUPLICATE_KEY_VALUES' AS type, '{k.name}' AS rule_name, '{k.table}' AS table_name, "
+            f"CAST(row_number() OVER (ORDER BY n DESC, {order}) AS INT) AS place, '{','.join(k.columns)},duplicate_rows' AS names, "
+            f"concat_ws('|', {shown}, n) AS sample FROM (SELECT {key}, count(*) AS n FROM {TARGET[k.table]} t {where} GROUP BY {key} HAVING n > 1) g "
+            "QUALIFY place <= 50"
+        )
+    return "\nUNION ALL\n".join(out)
+
+
+COLUMNS = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"),
+    "events": ("event_id", "ts", "user_id", "event_type", "value", "props"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars"), "embeddings": ("vec_id", "embedding", "label"),
+    "pages": ("page_id", "url", "html"), "benchmark": ("item_id", "text"), "labels": ("doc_id", "quality", "toxic"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+}
+
+
+@register("finding_samples", _samples_sql())
+def finding_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """The first rows of every broken rule."""
+    found = integrity.samples(testkit.target_tables(testkit.load(spark, folder)), testkit.rules())
+    shown = F.array_join("sample", "|", "-").alias("sample")
+    return found.select("type", "rule_name", "table_name", "place", F.array_join("names", ",").alias("names"), shown)
+
+
 LINE_ORDERS = ForeignKey("lineitem_orders", "lineitem", ("l_orderkey",), "orders", ("o_orderkey",), (), ("l_orderkey",))
 
 

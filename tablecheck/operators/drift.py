@@ -1,13 +1,15 @@
 """Schema drift: what the source catalog has and the target lacks or defines differently.
 
 Every operator turns objects into signatures, joins the two snapshots on key or signature and
-renders statements only for the rows that differ. Objects that exist in the target alone are not
+renders statements only for the rows that differ. The ``render_*`` functions take these rows, the source's object as ``s``
+and the target's, where it has one of that name, as ``t``; :mod:`tablecheck.operators.fleet` finds them for many
+environments at once. Objects that exist in the target alone are not
 reported here; see :mod:`tablecheck.operators.structure` for the comparison in both directions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,10 @@ def _text(*parts) -> Column:
 Fields = Callable[[str], Column]
 
 
+def _prefixed(p: str) -> Fields:
+    return lambda name: F.col(p + name)
+
+
 def _side(alias: str) -> Fields:
     """Columns of one side of a join by name."""
     return lambda name: F.col(f"{alias}.{name}")
@@ -51,9 +57,9 @@ def _array(c: Column) -> Column:
 def diff_rows(
     df: DataFrame, kind, impact, name: Column, reason, description: Column, sql: Column,
     source_definition: Column | str = "", target_definition: Column | str = "", table: Column | str = "",
-    stage: int | Column | None = None,
+    stage: int | Column | None = None, keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Project to the schema of differences."""
+    """Project to the schema of differences, after the columns in ``keep``."""
 
     def col(value):
         return value if isinstance(value, Column) else F.lit(value)
@@ -61,6 +67,7 @@ def diff_rows(
     kind, impact = col(kind), col(impact)
     order = F.array_position(F.array(*[F.lit(s) for s in STAGES]), kind) if stage is None else col(stage)
     return df.select(
+        *keep,
         order.cast("int").alias("stage"),
         kind.alias("type"),
         impact.alias("impact"),
@@ -76,81 +83,94 @@ def diff_rows(
 
 
 def schema_drift(source: Catalog, target: Catalog) -> DataFrame:
-    missing = source.schemas.join(target.schemas, "schema_name", "left_anti")
-    name = F.col("schema_name")
+    return render_schemas(source.schemas.join(target.schemas, "schema_name", "left_anti").alias("s"))
+
+
+def render_schemas(missing: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    name = F.col("s.schema_name")
     return diff_rows(
         missing, "SCHEMA_MISSING", "HIGH", name,
         "Without the schema its objects can neither be created nor resolved.",
         _text("Schema '", name, "' is missing in the target."),
         _text("CREATE SCHEMA IF NOT EXISTS ", quote_ident(name), ";"),
+        keep=keep,
     )
 
 
+# Marker in a definition -> extension that provides it.
+MARKERS = {"pg_trgm": ("gin_trgm_ops", "similarity("), "fuzzystrmatch": ("soundex(", "dmetaphone")}
+TEXT_KINDS = ("columns", "constraints", "indexes", "views", "matviews", "triggers", "functions")
+
+
+def all_text(df: DataFrame) -> Column:
+    """All texts of a row in lower case."""
+    kinds = {"string": "{}", "array<string>": "array_join({}, '\\n')"}
+    texts = [kinds[f.dataType.simpleString()].format(f.name) for f in df.schema.fields if f.dataType.simpleString() in kinds]
+    return F.expr(f"lower(concat_ws('\\n', {', '.join(texts)}))")
+
+
+def mentions(text: Column, markers: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(m) for m in markers])
+
+
 def inferred_extensions(catalog: Catalog) -> DataFrame:
     """Extensions the catalog's own texts show to be in use, found in one pass over each kind."""
-    # Marker in a definition -> extension that provides it.
-    markers = {"pg_trgm": ("gin_trgm_ops", "similarity("), "fuzzystrmatch": ("soundex(", "dmetaphone")}
-
     def uses(df: DataFrame) -> DataFrame:
-        texts = []
-        for field in df.schema.fields:
-            if field.dataType.simpleString() == "string":
-                texts.append(F.col(field.name))
-            elif field.dataType.simpleString() == "array<string>":
-                texts.append(F.array_join(field.name, "\n"))
-        joined = F.lower(F.concat_ws("\n", *texts))
-        return df.select(joined.alias("text")).agg(
-            *[
-                F.bool_or(reduce(lambda a, b: a | b, [F.col("text").contains(m) for m in found])).alias(name)
-                for name, found in markers.items()
-            ]
+        return df.select(all_text(df).alias("text")).agg(
+            *[F.bool_or(mentions(F.col("text"), found)).alias(name) for name, found in MARKERS.items()]
         )
 
-    kinds = ("columns", "constraints", "indexes", "views", "matviews", "triggers", "functions")
-    flags = reduce(DataFrame.unionByName, [uses(getattr(catalog, kind)) for kind in kinds])
-    flags = flags.agg(*[F.bool_or(name).alias(name) for name in markers])
-    named = F.array(*[F.when(F.col(name), F.lit(name)) for name in markers])
+    flags = reduce(DataFrame.unionByName, [uses(getattr(catalog, kind)) for kind in TEXT_KINDS])
+    flags = flags.agg(*[F.bool_or(name).alias(name) for name in MARKERS])
+    named = F.array(*[F.when(F.col(name), F.lit(name)) for name in MARKERS])
     return flags.select(F.explode(F.array_compact(named)).alias("extension_name"))
 
 
 def extension_drift(source: Catalog, target: Catalog) -> DataFrame:
     needed = source.extensions.select("extension_name").unionByName(inferred_extensions(source)).distinct()
-    missing = needed.join(target.extensions, "extension_name", "left_anti")
-    name = F.col("extension_name")
+    return render_extensions(needed.join(target.extensions, "extension_name", "left_anti").alias("s"))
+
+
+def render_extensions(missing: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    name = F.col("s.extension_name")
     return diff_rows(
         missing, "EXTENSION_MISSING", "HIGH", name,
         "Functions, operator classes and other definitions may depend on the extension.",
         _text("Extension '", name, "' is needed and missing in the target."),
         _text("CREATE EXTENSION IF NOT EXISTS ", quote_ident(name), ";"),
-        name,
+        name, keep=keep,
     )
 
 
-def function_key() -> Column:
-    c = F.col
+def function_key(p: str = "") -> Column:
+    c = _prefixed(p)
     return _text(c("schema_name"), ".", c("function_name"), "(", c("identity_arguments"), ")")
 
 
+def function_signature() -> Column:
+    return F.struct(
+        text_or_empty(F.col("return_type")), text_or_empty(F.col("language")),
+        normalize_sql("definition"), text_or_empty(F.col("volatility")),
+        _flag(F.col("security_definer")), _flag(F.col("strict_null_input")),
+    )
+
+
 def function_drift(source: Catalog, target: Catalog) -> DataFrame:
-    def prepared(df: DataFrame) -> DataFrame:
-        return df.select(
-            function_key().alias("key"),
-            "definition",
-            F.struct(
-                text_or_empty(F.col("return_type")), text_or_empty(F.col("language")),
-                normalize_sql("definition"), text_or_empty(F.col("volatility")),
-                _flag(F.col("security_definer")), _flag(F.col("strict_null_input")),
-            ).alias("sig"),
-        )
+    sides = [
+        side.functions.select("schema_name", "function_name", "identity_arguments", "definition", function_key().alias("key"), function_signature().alias("sig"))
+        for side in (source, target)
+    ]
+    return render_functions(_matched(*sides, ["key"]))
+
 
-    joined = _matched(prepared(source.functions), prepared(target.functions), ["key"])
+def render_functions(joined: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     end = F.expr(strip_text("s.definition", ends="right"))
     return diff_rows(
-        joined, "FUNCTION_MISSING_OR_DIFFERENT", "HIGH", F.col("s.key"),
+        joined, "FUNCTION_MISSING_OR_DIFFERENT", "HIGH", function_key("s."),
         "Defaults, generated columns, constraints, indexes, triggers or views may call the function.",
-        _text("Function '", F.col("s.key"), "' is ", _state("t.key"), " in the target."),
+        _text("Function '", function_key("s."), "' is ", _state("t.function_name"), " in the target."),
         _text(end, ";"),
-        F.col("s.definition"), F.col("t.definition"),
+        F.col("s.definition"), F.col("t.definition"), keep=keep,
     )
 
 
@@ -202,27 +222,29 @@ def sequence_statements(schema: Column, c: Fields, exists: Column) -> Column:
     return F.concat_ws("\n", F.when(exists, alter).otherwise(create), owner)
 
 
+def sequence_signature() -> Column:
+    return F.struct(
+        text_or_empty(F.col("data_type")),
+        *[F.coalesce(F.col(n).cast("string"), F.lit("None")) for n in
+          ("start_value", "increment", "minimum_value", "maximum_value", "cache_size")],
+        _flag(F.col("cycle")), text_or_empty(F.col("owner_table")), text_or_empty(F.col("owner_column")),
+    )
+
+
 def sequence_drift(source: Catalog, target: Catalog) -> DataFrame:
-    def prepared(df: DataFrame) -> DataFrame:
-        return df.withColumn(
-            "sig",
-            F.struct(
-                text_or_empty(F.col("data_type")),
-                *[F.coalesce(F.col(n).cast("string"), F.lit("None")) for n in
-                  ("start_value", "increment", "minimum_value", "maximum_value", "cache_size")],
-                _flag(F.col("cycle")), text_or_empty(F.col("owner_table")), text_or_empty(F.col("owner_column")),
-            ),
-        )
+    sides = [side.sequences.withColumn("sig", sequence_signature()) for side in (source, target)]
+    return render_sequences(_matched(*sides, ["sequence_name"]), F.lit(target.schema))
+
 
-    joined = _matched(prepared(source.sequences), prepared(target.sequences), ["sequence_name"])
+def render_sequences(joined: DataFrame, schema: Column, keep: Sequence[str] = ()) -> DataFrame:
     s, t = _side("s"), _side("t")
     present = t("sequence_name").isNotNull()
     return diff_rows(
         joined, "SEQUENCE_MISSING_OR_DIFFERENT", "HIGH", s("sequence_name"),
         "Inserts that draw values from the sequence may fail.",
         _text("Sequence '", s("sequence_name"), "' is ", _state("t.sequence_name"), " in the target."),
-        sequence_statements(F.lit(target.schema), s, present),
-        sequence_text(s), F.when(present, sequence_text(t)),
+        sequence_statements(schema, s, present),
+        sequence_text(s), F.when(present, sequence_text(t)), keep=keep,
     )
 
 
@@ -240,13 +262,18 @@ def table_columns_text(columns: DataFrame) -> DataFrame:
 def table_drift(source: Catalog, target: Catalog) -> DataFrame:
     missing = source.tables.select("table_name").join(target.tables, "table_name", "left_anti")
     clauses = table_columns_text(source.columns.join(missing, "table_name", "left_semi"))
-    name = F.col("table_name")
+    return render_tables(missing.join(clauses, "table_name", "left").alias("s"), F.lit(source.schema), F.col("clauses"))
+
+
+def render_tables(missing: DataFrame, schema: Column, clauses: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """``schema`` is the source's."""
+    name = F.col("s.table_name")
     return diff_rows(
-        missing.join(clauses, "table_name", "left"), "TABLE_MISSING", "CRITICAL", name,
+        missing, "TABLE_MISSING", "CRITICAL", name,
         "Data the application expects can be neither stored nor read.",
-        _text("Table '", source.schema + ".", name, "' is missing in the target."),
-        ddl.create_table(F.lit(source.schema), name, _array(F.col("clauses"))),
-        table=name,
+        _text("Table '", schema, ".", name, "' is missing in the target."),
+        ddl.create_table(schema, name, _array(clauses)),
+        table=name, keep=keep,
     )
 
 
@@ -303,20 +330,29 @@ def column_drift(source: Catalog, target: Catalog) -> DataFrame:
     """COLUMN_MISSING and COLUMN_DIFFERENT from a single join of the two column tables."""
     present = source.columns.join(target.tables.select("table_name"), "table_name", "left_semi")
     sides = [df.withColumn("sig", ddl.column_signature()) for df in (present, target.columns)]
-    s, t = _side("s"), _side("t")
     joined = _matched(sides[0], sides[1], ["table_name", "column_name"])
-    missing = t("column_name").isNull()
-    generated = ~missing & s("sig.generated").eqNullSafe("s") & (
-        (s("sig.generated") != t("sig.generated")) | (s("sig.expression") != t("sig.expression"))
-    )
     # Only tables for which the source has a generated column can need their indexes.
     wanted = sides[0].filter("sig.generated = 's'").select("table_name").distinct()
     lists = _index_lists(target.indexes.join(wanted, "table_name", "left_semi")).alias("i")
-    joined = joined.join(lists, (s("table_name") == F.col("i.table_name")) & generated, "left")
+    joined = joined.join(lists, (F.col("s.table_name") == F.col("i.table_name")) & regenerated("s.sig", "t.sig"), "left")
+    return render_columns(joined, F.lit(target.schema), sql_string(target.schema), F.col("i.indexes"))
+
+
+def regenerated(source_signature: str, target_signature: str) -> Column:
+    """Whether the source generates the column and the target does not, or by another expression."""
+    s, t = _side(source_signature), _side(target_signature)
+    differs = (s("generated") != t("generated")) | (s("expression") != t("expression"))
+    return t("type").isNotNull() & s("generated").eqNullSafe("s") & differs
 
-    schema, table = F.lit(target.schema), s("table_name")
+
+def render_columns(joined: DataFrame, schema: Column, schema_sql: str, indexes: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """``s`` and ``t`` with ``sig``, their signatures; ``schema``, also as an SQL expression, is the target's, and ``indexes`` are
+    the target's on the column's table."""
+    s, t = _side("s"), _side("t")
+    missing, generated = t("column_name").isNull(), _flag(regenerated("s.sig", "t.sig"))
+    table = s("table_name")
     empty = F.array().cast("array<struct<index_name:string,indexdef:string,columns:array<string>>>")
-    used = dependent_indexes(F.coalesce(F.col("i.indexes"), empty), s("column_name"))
+    used = dependent_indexes(F.coalesce(indexes, empty), s("column_name"))
     impact, reason = missing_column_impact(s)
     place = _text(table, ".", s("column_name"))
     return diff_rows(
@@ -331,10 +367,10 @@ def column_drift(source: Catalog, target: Catalog) -> DataFrame:
         .otherwise(_text("Column '", place, "' has another definition in the target.")),
         F.when(missing, _text("ALTER TABLE ", qualify(schema, table), " ADD COLUMN ", ddl.column_clause("s."), ";"))
         .when(generated, recreate_generated(schema, table, "s.", used))
-        .otherwise(ddl.alter_column(sql_string(target.schema), "s.table_name", "s.")),
+        .otherwise(ddl.alter_column(schema_sql, "s.table_name", "s.")),
         F.when(~missing, ddl.signature_text("s.sig")),
         F.when(~missing, ddl.signature_text("t.sig")),
-        table=table,
+        table=table, keep=keep,
     )
 
 
@@ -383,6 +419,11 @@ def constraint_drift(source: Catalog, target: Catalog, scope: str = "table") ->
         & (_array(c("columns")) == c("i_columns")),
         "left_anti",
     )
+    return render_constraints(missing.alias("s"), F.lit(target.schema))
+
+
+def render_constraints(missing: DataFrame, schema: Column, keep: Sequence[str] = ()) -> DataFrame:
+    c = _side("s")
     kind, name = c("constraint_type"), c("constraint_name")
     return diff_rows(
         missing, "CONSTRAINT_MISSING_OR_DIFFERENT",
@@ -393,8 +434,8 @@ def constraint_drift(source: Catalog, target: Catalog, scope: str = "table") ->
         .when(kind == "c", "Values outside the permitted range may enter.")
         .otherwise("A rule of the source is not enforced."),
         _text("No constraint equivalent to '", name, "' exists in the target."),
-        ddl.add_constraint(F.lit(target.schema), c("table_name"), name, c("definition")),
-        c("definition"), table=c("table_name"),
+        ddl.add_constraint(schema, c("table_name"), name, c("definition")),
+        c("definition"), table=c("table_name"), keep=keep,
     )
 
 
@@ -434,23 +475,29 @@ def index_drift(source: Catalog, target: Catalog, ignore_name: bool = False) ->
     wanted = source.indexes.join(named, "index_name", "left").filter(c("backs").isNull())
     wanted = wanted.withColumn("sig", index_signature(ignore_name))
     missing = _without(wanted, target.indexes.select(index_signature(ignore_name).alias("sig")))
+    return render_indexes(missing.alias("s"), F.lit(target.schema))
+
+
+def render_indexes(missing: DataFrame, schema: Column, keep: Sequence[str] = ()) -> DataFrame:
+    c = _side("s")
     return diff_rows(
         missing, "INDEX_MISSING_OR_DIFFERENT",
         F.when(text_or_empty(c("expressions")) != "", "HIGH").otherwise("MEDIUM"), c("index_name"),
         "Query plans and speed may differ without the index.",
         _text("No index equivalent to '", c("index_name"), "' exists in the target."),
-        move_index(c("indexdef"), c("schema_name"), F.lit(target.schema)),
-        c("indexdef"), table=c("table_name"),
+        move_index(c("indexdef"), c("schema_name"), schema),
+        c("indexdef"), table=c("table_name"), keep=keep,
     )
 
 
 def _view_drift(source: DataFrame, target: DataFrame, schema: str, materialized: bool) -> DataFrame:
-    def prepared(df: DataFrame) -> DataFrame:
-        return df.withColumn("sig", normalize_sql("view_definition"))
+    sides = [df.withColumn("sig", normalize_sql("view_definition")) for df in (source, target)]
+    return render_views(_matched(*sides, ["view_name"]), F.lit(schema), materialized)
 
-    joined = _matched(prepared(source), prepared(target), ["view_name"])
+
+def render_views(joined: DataFrame, schema: Column, materialized: bool, keep: Sequence[str] = ()) -> DataFrame:
     name = F.col("s.view_name")
-    full = qualify(F.lit(schema), name)
+    full = qualify(schema, name)
     body = F.expr(strip_text("s.view_definition"))
     if materialized:
         kind, impact, label = "MATERIALIZED_VIEW_MISSING_OR_DIFFERENT", "HIGH", "Materialized view '"
@@ -463,7 +510,7 @@ def _view_drift(source: DataFrame, target: DataFrame, schema: str, materialized:
     return diff_rows(
         joined, kind, impact, name, reason,
         _text(label, name, "' is ", _state("t.view_name"), " in the target."), sql,
-        F.col("s.view_definition"), F.col("t.view_definition"),
+        F.col("s.view_definition"), F.col("t.view_definition"), keep=keep,
     )
 
 
@@ -475,24 +522,29 @@ def matview_drift(source: Catalog, target: Catalog) -> DataFrame:
     return _view_drift(source.matviews, target.matviews, target.schema, materialized=True)
 
 
-def trigger_drift(source: Catalog, target: Catalog) -> DataFrame:
+def trigger_signature() -> Column:
     c = F.col
+    return F.struct(
+        text_or_empty(c("table_name")).alias("table"), normalize_sql("definition").alias("definition"),
+        *[text_or_empty(c(n)).alias(n) for n in
+          ("enabled", "function_schema", "function_name", "function_arguments")],
+    )
+
+
+def trigger_drift(source: Catalog, target: Catalog) -> DataFrame:
+    sides = [side.triggers.withColumn("sig", trigger_signature()) for side in (source, target)]
+    return render_triggers(_without(sides[0], sides[1].select("sig")).alias("s"), F.lit(target.schema))
 
-    def signature() -> Column:
-        return F.struct(
-            text_or_empty(c("table_name")).alias("table"), normalize_sql("definition").alias("definition"),
-            *[text_or_empty(c(n)).alias(n) for n in
-              ("enabled", "function_schema", "function_name", "function_arguments")],
-        )
 
-    missing = _without(source.triggers.withColumn("sig", signature()), target.triggers.select(signature().alias("sig")))
+def render_triggers(missing: DataFrame, schema: Column, keep: Sequence[str] = ()) -> DataFrame:
+    c = _side("s")
     return diff_rows(
         missing, "TRIGGER_MISSING_OR_DIFFERENT", "HIGH", c("trigger_name"),
         "Writes behave differently without the trigger.",
         _text("Trigger '", c("table_name"), ".", c("trigger_name"), "' is missing or different in the target."),
         _text("DROP TRIGGER IF EXISTS ", quote_ident(c("trigger_name")), " ON ",
-              qualify(F.lit(target.schema), c("table_name")), ";\n", c("definition"), ";"),
-        c("definition"), table=c("table_name"),
+              qualify(schema, c("table_name")), ";\n", c("definition"), ";"),
+        c("definition"), table=c("table_name"), keep=keep,
     )
 
 

@@ -8,15 +8,16 @@ holds a large share of the rows reaches its task as one row per mapper.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablecheck.functions.text import all_present, any_null, qualify_name, quote_name
 from tablecheck.model import (
     AUDIT_COLUMNS, FINDING_COLUMNS, IMPACTS, REVIEW_LIMIT, TEXT_TYPES, Catalog, ForeignKey, Key, Required, RuleSet,
 )
+from tablecheck.functions.unions import balanced_union
+from tablecheck.operators import keybits
 from tablecheck.operators.diff import sort_columns
 from tablecheck.operators.skew import HOT_BYTES, broadcast_limit, distinct_keys, input_bytes, key_counts, keyed_join, lookup
 
@@ -195,17 +196,45 @@ def duplicate_count(df: DataFrame, key: Key) -> DataFrame:
     return duplicate_groups(df, key).selectExpr("coalesce(sum(duplicate_rows - 1), 0) AS n")
 
 
+def key_groups(df: DataFrame, keys: Sequence[Key]) -> tuple[DataFrame, list[Column]]:
+    """Values of all keys of a table that occur more than once, ``duplicate_rows`` times, and per key which groups are its own.
+
+    All keys are grouping sets of one aggregate: one scan, one Expand and one shuffle, in which rows are counted before it.
+    A group of a UNIQUE key with a NULL is none of its own; rows with a NULL reach the shuffle as one row per mapper and set.
+    """
+    columns = sorted({c for k in keys for c in k.columns})
+    sets = sorted({tuple(sorted(k.columns)) for k in keys})
+    grouped = df.groupingSets([[_tick(c) for c in s] for s in sets], *[_tick(c) for c in columns])
+    groups = grouped.agg(F.grouping_id().alias("__set"), F.count("*").alias("duplicate_rows")).filter("duplicate_rows > 1")
+    own = []
+    for k in keys:
+        number = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in k.columns)
+        own.append((F.col("__set") == number) & (all_present(k.columns) if k.kind == "u" else F.lit(True)))
+    return groups, own
+
+
+def duplicate_counts(df: DataFrame, keys: Mapping[int, Key]) -> DataFrame:
+    """``rule_id, n``: rows beyond the first of each value, for all keys of a table."""
+    groups, own = key_groups(df, list(keys.values()))
+    surplus = F.col("duplicate_rows") - 1
+    counted = groups.agg(*[F.coalesce(F.sum(F.when(o, surplus)), F.lit(0)).alias(f"c{i}") for i, o in zip(keys, own)])
+    pairs = ", ".join(f"{i}, c{i}" for i in keys)
+    return counted.selectExpr(f"stack({len(keys)}, {pairs}) AS (rule_id, n)")
+
+
 def check(
     tables: Mapping[str, DataFrame], rules: RuleSet, schema: str = "public",
-    audit: Sequence[str] = AUDIT_COLUMNS, include_zero: bool = False, kinds: Sequence[str] = STAGES,
+    audit: Sequence[str] = AUDIT_COLUMNS, include_zero: bool = False, kinds: Sequence[str] = STAGES, bitmaps: bool = False,
 ) -> DataFrame:
     """All findings on the given tables as one lazy frame; ``kinds`` narrows the run.
 
-    Rules about tables or columns the side does not have are skipped.
+    Rules about tables or columns the side does not have are skipped. With ``bitmaps`` orphans of whole-number keys are
+    found by :mod:`tablecheck.operators.keybits`, which writes the orphans' bitmaps when this is called.
     """
     rules = applicable(tables, rules)
     known = _Rules(schema, audit)
     parts: list[DataFrame] = []
+    whole: dict[int, ForeignKey] = {}
     for table in sorted(tables):
         rows, predicates = tables[table], {}
         for r in (r for r in rules.required if r.table == table):
@@ -219,6 +248,9 @@ def check(
             if "FK_ORPHAN_ROWS" not in kinds or fk.parent not in tables or not set(fk.parent_columns) <= set(tables[fk.parent].columns):
                 continue
             number = known.orphans(fk)
+            if bitmaps and keybits.fits(fk, tables[table], tables[fk.parent]):
+                whole[number] = fk
+                continue
             keys, on = _parent_keys(fk, tables[fk.parent], f"p{number}_")
             if 0 < input_bytes(keys) <= broadcast_limit(rows):
                 # What the parent's files hold is small: its keys travel to the child's one scan.
@@ -230,12 +262,19 @@ def check(
                 parts.append(counted.selectExpr(f"{number} AS rule_id", "n"))
         if predicates:
             parts.append(predicate_counts(rows, predicates))
+    if whole:
+        counted = keybits.orphan_counts(tables, whole)
+        if include_zero:
+            zero = counted.sparkSession.createDataFrame([(i, 0) for i in whole], "rule_id INT, n BIGINT")
+            counted = counted.unionAll(zero).groupBy("rule_id").agg(F.sum("n").alias("n"))
+        parts.append(counted)
     if "DUPLICATE_KEY_VALUES" in kinds:
+        keyed: dict[str, dict[int, Key]] = {}
         for key in rules.keys:
-            counted = duplicate_count(tables[key.table], key)
-            parts.append(counted.selectExpr(f"{known.duplicates(key)} AS rule_id", "n"))
+            keyed.setdefault(key.table, {})[known.duplicates(key)] = key
+        parts += [duplicate_counts(tables[table], own) for table, own in keyed.items()]
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
-    counts = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], "rule_id INT, n BIGINT")
+    counts = balanced_union(parts) if parts else spark.createDataFrame([], "rule_id INT, n BIGINT")
     if not include_zero:
         counts = counts.filter("n > 0")
     # One row per rule on both sides.
@@ -345,6 +384,73 @@ def review_duplicates(df: DataFrame, key: Key, limit: int = REVIEW_LIMIT) -> Dat
     return groups.orderBy(F.desc("duplicate_rows"), *sort_columns(groups.drop("duplicate_rows"))).limit(limit)
 
 
+def _texts_of(names: Sequence[str]) -> Column:
+    return F.array(*[F.col(_tick(c)).cast("string") for c in names])
+
+
+def samples(
+    tables: Mapping[str, DataFrame], rules: RuleSet, limit: int = REVIEW_LIMIT, kinds: Sequence[str] = STAGES,
+) -> DataFrame:
+    """``type, rule_name, table_name, place, names, sample``: up to ``limit`` rows for every rule that is broken.
+
+    A table is scanned once for all rules on its rows and once for all its keys. Rows that break none leave at the scan; the others
+    appear once per rule they break, and of each rule every task passes on its first ``limit`` by all columns (of
+    duplicates, the keys with most rows), so no more than that of any rule meets in one place. ``sample`` has the values as
+    text, under ``names``; for duplicates the key and its number of rows.
+    """
+    rules = applicable(tables, rules)
+    parts: list[DataFrame] = []
+    for table in sorted(tables):
+        rows, broken = tables[table], {}
+        for r in (r for r in rules.required if r.table == table):
+            broken["REQUIRED_NULL_VALUES", r.column] = null_predicate([r.column])
+            if r.text:
+                broken["REQUIRED_EMPTY_TEXT", r.column] = blank_predicate(r.column)
+        for fk in (f for f in rules.foreign_keys if f.table == table):
+            if fk.source_nullable:
+                broken["FK_NULL_RELATION", fk.name] = null_predicate(fk.columns)
+            if "FK_ORPHAN_ROWS" in kinds and fk.parent in tables and set(fk.parent_columns) <= set(tables[fk.parent].columns):
+                flag = f"__fk{len(broken)}"
+                rows = lookup(rows, list(fk.columns), distinct_keys(tables[fk.parent], list(fk.parent_columns)), flag)
+                broken["FK_ORPHAN_ROWS", fk.name] = f"NOT ({null_predicate(fk.columns)}) AND NOT {flag}"
+        broken = {rule: p for rule, p in broken.items() if rule[0] in kinds}
+        names = tables[table].columns
+        if broken:
+            hits = ", ".join(f"CASE WHEN {p} THEN {i} END" for i, p in enumerate(broken.values()))
+            rows = rows.withColumn("__rule", F.expr(f"explode(array_compact(array({hits})))"))
+            first = Window.partitionBy("__rule").orderBy(*sort_columns(tables[table]))
+            parts.append(_placed(rows, first, limit, list(broken), table, names))
+        keys = [k for k in rules.keys if k.table == table] if "DUPLICATE_KEY_VALUES" in kinds else []
+        if keys:
+            groups, own = key_groups(tables[table], keys)
+            hit = F.array_compact(F.array(*[F.when(o, F.lit(i)) for i, o in enumerate(own)]))
+            groups = groups.withColumn("__rule", F.explode(hit))
+            order = sort_columns(groups.select(*[_tick(c) for c in groups.columns if c not in ("__set", "__rule", "duplicate_rows")]))
+            most = Window.partitionBy("__rule").orderBy(F.desc("duplicate_rows"), *order)
+            shown = [[*k.columns, "duplicate_rows"] for k in keys]
+            parts.append(_placed(groups, most, limit, [("DUPLICATE_KEY_VALUES", k.name) for k in keys], table, shown))
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    empty = "type STRING, rule_name STRING, table_name STRING, place INT, names ARRAY<STRING>, sample ARRAY<STRING>"
+    return balanced_union(parts) if parts else spark.createDataFrame([], empty)
+
+
+def _placed(rows: DataFrame, order, limit: int, named: Sequence[tuple[str, str]], table: str, names: Sequence) -> DataFrame:
+    """The first rows per rule under the rules' names; ``names`` are the columns shown, or a list of them per rule."""
+    first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    per_rule = [names] * len(named) if names and isinstance(names[0], str) else list(names)
+
+    def of(values: Sequence[Column]) -> Column:
+        return F.element_at(F.array(*values), F.col("__rule") + 1)
+
+    shown = {tuple(n) for n in per_rule}
+    sample = _texts_of(per_rule[0]) if len(shown) == 1 else of([_texts_of(n) for n in per_rule])
+    return first.select(
+        of([F.lit(kind) for kind, _ in named]).alias("type"), of([F.lit(rule) for _, rule in named]).alias("rule_name"),
+        F.lit(table).alias("table_name"), "place", of([F.array(*[F.lit(c) for c in n]) for n in per_rule]).alias("names"),
+        sample.alias("sample"),
+    )
+
+
 def _first(df: DataFrame, limit: int) -> DataFrame:
     return df.orderBy(*sort_columns(df)).limit(limit)
 

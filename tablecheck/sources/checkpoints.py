@@ -34,10 +34,10 @@ class Scratch:
         self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(self._path)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a frame and go on from its files."""
+    def keep(self, df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+        """Write a frame, with a folder per value of ``partition``, and go on from its files."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        (df.write.partitionBy(partition) if partition else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

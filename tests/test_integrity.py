@@ -140,3 +140,63 @@ def test_no_rules_give_no_findings(spark):
     for tables in ({}, {"t": spark.range(2)}):
         found = integrity.check(tables, RuleSet())
         assert found.collect() == [] and found.columns == integrity.check({"t": spark.range(2)}, RuleSet(required=(Required("t", "id"),))).columns
+
+
+def test_bitmaps_find_the_orphans_that_joins_find(spark):
+    import random
+
+    from tablecheck.operators import keybits
+
+    draw = random.Random(4)
+    pool = [0, -1, 1, 63, 64, -64, -65, 2**63 - 1, -(2**63), *[draw.randint(-500, 500) for _ in range(200)], *[draw.randint(-(2**60), 2**60) for _ in range(50)]]
+    child = spark.createDataFrame([(draw.choice([None, *pool]), draw.choice([None, *range(-40, 40)])) for _ in range(3000)], "k long, m int")
+    parent = spark.createDataFrame([(p, draw.choice([None, *range(-30, 30)])) for p in [None, *pool[::2]]], "k long, m int")
+    fks = [ForeignKey("a", "child", ("k",), "parent", ("k",)), ForeignKey("b", "child", ("m",), "parent", ("m",)), ForeignKey("c", "parent", ("m",), "parent", ("k",))]
+    tables = {"child": child, "parent": parent}
+    expected = {f.name: integrity.orphan_count(tables[f.table], tables[f.parent], f).first().n for f in fks}
+    found = integrity.check(tables, RuleSet(foreign_keys=tuple(fks)), include_zero=True, kinds=("FK_ORPHAN_ROWS",), bitmaps=True)
+    assert {r.rule_name: r["count"] for r in found.collect()} == expected
+    keys = keybits.orphan_keys(keybits.orphan_words(tables, {0: fks[0]})).collect()
+    assert sorted(r.key for r in keys) == sorted(r.k for r in integrity.parent_lookup(child, fks[0], parent).collect())
+    # Beyond the broadcast threshold rows are counted per key first; nothing lost, nothing found twice.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counted = {r.rule_id: r.n for r in keybits.orphan_counts(tables, dict(enumerate(fks))).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [counted.get(i, 0) for i in range(3)] == [expected[f.name] for f in fks]
+    assert not keybits.fits(ForeignKey("d", "child", ("k", "m"), "parent", ("k", "m")), child, parent)
+
+
+def test_all_keys_of_a_table_are_counted_in_one_scan(spark):
+    rows = [(1, "a", None), (1, "a", 2), (None, "a", 2), (None, None, None), (3, None, None), (3, "b", 2)]
+    df = spark.createDataFrame(rows, "i int, s string, n int")
+    keys = (Key("p1", "t", ("i",)), Key("u1", "t", ("i",), "u"), Key("p2", "t", ("s", "n")), Key("u2", "t", ("n", "s"), "u"), Key("u3", "t", ("s",), "u"))
+    found = integrity.check({"t": df}, RuleSet(keys=keys), include_zero=True)
+    assert {r.rule_name: r["count"] for r in found.collect()} == {k.name: integrity.duplicate_count(df, k).first().n for k in keys}
+    counted = integrity.duplicate_counts(df, dict(enumerate(keys)))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and plan.count("LogicalRDD") == 1
+
+
+def test_samples_of_every_rule(spark):
+    parent = spark.createDataFrame([(k,) for k in range(5)], "k int")
+    child = spark.createDataFrame([(None if i % 4 == 0 else i % 9, " " if i % 5 == 0 else f"s{i:03}", 1.5) for i in range(400)] * 2, "k int, s string, d double")
+    rules = RuleSet(
+        (Required("child", "k"), Required("child", "s", True)), (Key("child_s", "child", ("s",), "u"), Key("child_k", "child", ("k",))),
+        (ForeignKey("child_k_fk", "child", ("k",), "parent", ("k",), ("k",)),),
+    )
+    found = integrity.samples({"child": child, "parent": parent}, rules, limit=7)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r.place):
+        got.setdefault((r.type, r.rule_name), []).append(r)
+    assert {k: [r.place for r in v] for k, v in got.items()} == dict.fromkeys([
+        ("REQUIRED_NULL_VALUES", "k"), ("REQUIRED_EMPTY_TEXT", "s"), ("FK_NULL_RELATION", "child_k_fk"), ("FK_ORPHAN_ROWS", "child_k_fk"),
+        ("DUPLICATE_KEY_VALUES", "child_s"), ("DUPLICATE_KEY_VALUES", "child_k")], [*range(1, 8)])
+    text = lambda r: [None if v is None else str(v) for v in r]
+    orphans = integrity.review_orphans(child, parent, rules.foreign_keys[0], 7).collect()
+    assert [r.sample for r in got["FK_ORPHAN_ROWS", "child_k_fk"]] == [text(r) for r in orphans]
+    most = integrity.review_duplicates(child, rules.keys[0], 7).collect()
+    assert [r.sample for r in got["DUPLICATE_KEY_VALUES", "child_s"]] == [text(r) for r in most]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
