@@ -15,135 +15,39 @@ A pair never spans two documents. To read ids i to j of a document only symbols
 expanded, found by the running sum of expansion lengths.
 
 Re-Pair replaces the most frequent pairs first. In each round pairs are counted in the whole shard; every pair that occurs
-often enough and more often than the pairs it overlaps is replaced by a nonterminal of its own. Rounds end when no such
-pair is left or a round saves less than ``LEAST_GAIN``.
+``LEAST`` times and more often than the pairs it overlaps is replaced by a nonterminal of its own. Rounds end when no such
+pair is left.
 
-A word is encoded once per worker as long as it stays in a table of bounded size: at a single space or line end between
-characters that are no white space the tokenizer always starts a new piece, so the pieces between can be encoded
-apart. Texts with any other white space at such a place go to the tokenizer whole.
+Ids are those of the tokenizers library; :mod:`tablecheck.llm.encoding` says how they are found.
 
-Rows with NULL text are empty: the end id alone. NULL ids come first. Repeated rows stay, ordered by text. Other columns
-are not looked at.
+Rows with NULL text are empty: the end id alone. Ids are whole numbers; others are cast to them, to NULL or an error as the session
+has it. NULL ids come first. Rows with the same id stay, ordered by a hash of their text. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from tablecheck.llm.encoding import encoder, slices
 from tablecheck.llm.staging import new_folder
 
 END = 0
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_IDS = 1 << 18
-#: A pair is frequent if it is one of so many places of the shard.
-ONE_IN = 1024
-#: A round that saves a smaller share of the symbols is the last.
-LEAST_GAIN = 0.02
-#: Half of the pieces whose ids a worker remembers, and pieces that are encoded as one text.
-REMEMBERED = 250_000
-LINES = 100
-#: Bytes of text that are split at a time.
-SLICE = 2 << 20
+#: A pair that occurs less often is not replaced: its rule, of two symbols and a length, would take about what it saves.
+LEAST = 8
 
 SHARD = (
     "part int, block int, n_docs long, n_tokens long, base int, doc_ids binary, nulls binary, doc_tokens binary, "
     "doc_symbols binary, rules binary, lengths binary, symbols binary"
 )
-#: Code points that are or may be white space in some engine, besides space and line end.
-_RARE = [chr(c) for r in ((0, 10), (11, 32), (127, 161), (0x1680, 0x1681), (0x180E, 0x180F), (0x2000, 0x2070), (0x3000, 0x3001), (0xFEFF, 0xFF00)) for c in range(*r)]
-_NEXT = re.compile(f"[ \n][{''.join(_RARE)}]|[{''.join(_RARE)}][ \n]|\\A[{''.join(_RARE)}]|[{''.join(_RARE)}]\\Z")
-
-
-def _safe(texts: list[str]) -> list[bool]:
-    """Whether every space and line end of a text stands alone between characters that are no white space."""
-    together = "".join(texts)
-    rare = any(c in together for c in _RARE)
-    return [
-        not ("  " in t or " \n" in t or "\n " in t or "\n\n" in t or rare and _NEXT.search(t)) for t in texts
-    ]
-
-
-class Encoder:
-    """Texts to ids as uint32 bytes, by the tokenizers library."""
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.line_end = self._ids("\n").tobytes()
-        self.always = {"\0": b"", "": self._ids(" ").tobytes(), "\n": self.line_end}
-        self.known, self.older = dict(self.always), {}
-        self.marks = {m: self._ids(m).tobytes() for m in ",."}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces many at a time, each on a line of its own; the id of a line end parts them again."""
-        groups = [pieces[k: k + LINES] for k in range(0, len(pieces), LINES)]
-        # A piece follows a space, unless it opened a line (which the line end before it does here) or, marked, the text.
-        lines = ["\n".join([p[1:] if p[:1] in ("\n", "\0") else " " + p for p in few]) for few in groups]
-        end = np.frombuffer(self.line_end, dtype="<u4")[0]
-        for few, found in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == end)
-            if len(cuts) != len(few) - 1:
-                raise ValueError("the tokenizer does not part lines")
-            data = ids.tobytes()
-            for p, a, b in zip(few, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(data)]):
-                self.known[p] = self.line_end + data[a:b] if p[:1] == "\n" else data[a:b]
-
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        if len(self.known) > REMEMBERED:  # what has not been met since the last time is forgotten
-            self.known, self.older = dict(self.always), self.known
-        known, older = self.known, self.older
-        found = list(map(known.get, pieces))
-        new = [p for p, ids in zip(pieces, found) if ids is None]
-        again = [p for p in new if p in older]
-        known.update((p, older[p]) for p in again)
-        # A comma or full stop after a letter is a token of its own.
-        rest = [p for p in new if p not in known]
-        marked = [p for p in rest if p[-1:] in self.marks and p[-2:-1].isalpha()]
-        stems = {p[:-1] for p in marked if p[:-1] not in known}
-        self._learn(list(stems.union(rest).difference(marked)))
-        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
-        return [known[p] if ids is None else ids for p, ids in zip(pieces, found)]
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids per text (NULL is empty). Pieces are split and numbered by Arrow, so each distinct one is looked up once."""
-        texts = pc.fill_null(texts, "")
-        plain = texts.to_pylist()
-        safe = _safe(plain)
-        opened = pc.binary_join_element_wise("\0", pc.replace_substring(texts.filter(pa.array(safe, pa.bool_())), "\n", " \n"), "")
-        pieces = pc.split_pattern(opened, " ")
-        coded = pieces.flatten().dictionary_encode()
-        found = self._known(coded.dictionary.to_pylist())
-        ids = np.frombuffer(b"".join(found), dtype="<u4")
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        number = np.asarray(coded.indices)
-        length = size[number]
-        ends = np.cumsum(length)
-        begin = (np.cumsum(size) - size)[number] - (ends - length)
-        if len(ids) < 1 << 31 and len(ends) and ends[-1] < 1 << 31:
-            begin = begin.astype(np.int32)
-        ids = ids[np.repeat(begin, length) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=begin.dtype)]
-        last = np.cumsum(np.asarray(pc.list_value_length(pieces)))
-        cuts = ends[last - 1].tolist() if len(last) else []
-        parts = iter([ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)])
-        return [next(parts) if ok else self._ids(t).tobytes() for t, ok in zip(plain, safe)]
-
-
-_ENCODERS: dict[str, Encoder] = {}
 
 
 def _round(symbols: np.ndarray, last: np.ndarray, base: int, least: int):
@@ -165,9 +69,13 @@ def _round(symbols: np.ndarray, last: np.ndarray, base: int, least: int):
         pair_counts[0] = 0
         n = pair_counts[key + 1]
     else:
-        kinds, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
-        times[kinds < 0] = 0
-        n = times[inverse]
+        # Pairs are told apart exactly only where their hash occurs often enough.
+        some = np.flatnonzero(key >= 0)
+        hashed = (key[some] * 0x1E3779B97F4A7C15 >> 40) & 0x3FFFF
+        some = some[np.bincount(hashed, minlength=1 << 18)[hashed] >= least]
+        _, inverse, times = np.unique(key[some], return_inverse=True, return_counts=True)
+        n = np.zeros(len(key), dtype=np.int64)
+        n[some] = times[inverse]
     n[n < least] = 0
     # A pair goes if its neighbours are less frequent; of equally frequent neighbours every second goes.
     change = np.flatnonzero(np.diff(n)) + 1
@@ -198,15 +106,11 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray,
     """(symbols, last, rules, lengths). ``last`` marks the last id, later the last symbol, of each document."""
     symbols = ids.astype(np.int32 if base < 1 << 30 else np.int64)
     rules = np.zeros((0, 2), dtype=np.int64)
-    least = max(2, len(ids) // ONE_IN)
     while len(symbols) > 1:
-        before = len(symbols)
-        symbols, last, pairs = _round(symbols, last, base + len(rules), least)
+        symbols, last, pairs = _round(symbols, last, base + len(rules), LEAST)
         if pairs is None or not len(pairs):
             break
         rules = np.concatenate([rules, pairs])
-        if before - len(symbols) < LEAST_GAIN * before:
-            break
     lengths = np.ones(len(rules), dtype=np.int64)
     for r, (a, b) in enumerate(rules.tolist()):
         lengths[r] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
@@ -238,10 +142,10 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: in
     return out
 
 
-def _shard(part: int, block: int, docs: list[tuple[int | None, bytes]], base: int) -> dict:
-    tokens = np.array([len(x) // 4 + 1 for _, x in docs], dtype=np.int64)
-    end = np.array([END], dtype="<u4").tobytes()
-    ids = np.frombuffer(b"".join(y for _, x in docs for y in (x, end)), dtype="<u4")
+def _shard(part: int, block: int, docs: list[tuple[int | None, np.ndarray]], base: int) -> dict:
+    tokens = np.array([len(x) + 1 for _, x in docs], dtype=np.int64)
+    end = np.array([END], dtype="<u4")
+    ids = np.concatenate([y for _, x in docs for y in (x, end)])
     last = np.zeros(len(ids), dtype=bool)
     last[np.cumsum(tokens) - 1] = True
     symbols, last, rules, lengths = compress(ids, last, base)
@@ -255,36 +159,35 @@ def _shard(part: int, block: int, docs: list[tuple[int | None, bytes]], base: in
     }
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about SLICE bytes of text each."""
-    at = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64)) // SLICE
-    edges = np.r_[0, np.flatnonzero(np.diff(at)) + 1, batch.num_rows]
-    return (batch.slice(a, b - a) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()) if b > a)
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode the texts and write them as token files. Ranges of ids are dealt to tasks, so their order is global."""
+    """Encode the texts and write them as token files.
+
+    Ranges of ids are dealt to tasks, so their order is global; rows of one id go by a hash of their text, and copies by
+    where they stand in the input, so that a frequent id is no task's alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, Encoder(tokenizer))
-        base = encoder.tokenizer.get_vocab_size()
+        coder = encoder(tokenizer)
+        base = coder.vocabulary()
         part, block, held, size = TaskContext.get().partitionId(), 0, [], 0
         kind = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in SHARD.split(", ")])
         for batch in batches:
-            for few in _slices(batch):
+            for few in slices(batch):
                 pa.default_memory_pool().release_unused()
-                for doc, ids in zip(few.column(0).to_pylist(), encoder.encode(few.column(1))):
+                for doc, ids in zip(few.column(0).to_pylist(), coder.encode(few.column(1))):
                     held.append((doc, ids))
-                    size += len(ids) // 4 + 1
+                    size += len(ids) + 1
                     if size >= SHARD_IDS:
                         yield pa.RecordBatch.from_pylist([_shard(part, block, held, base)], schema=kind)
                         block, held, size = block + 1, [], 0
         if held:
             yield pa.RecordBatch.from_pylist([_shard(part, block, held, base)], schema=kind)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    order = ["id", F.xxhash64("text"), F.monotonically_increasing_id()]
+    rows = rows.withColumns({f"k{i}": k for i, k in enumerate(order[1:])})
+    dealt = rows.repartitionByRange("id", "k0", "k1").sortWithinPartitions("id", "k0", "k1").select("id", "text")
     dealt.mapInArrow(run, SHARD).write.parquet(path)
 
 

@@ -9,6 +9,8 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tablecheck.llm import simhash, token_files
 from tablecheck.llm.staging import new_folder
 
@@ -92,9 +94,10 @@ def test_simhash_of_an_empty_table(spark):
 def test_token_files_hold_the_librarys_ids(spark, documents, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_IDS", 20000)
     library = Tokenizer.from_file(BPE)
-    data = sorted(((r.doc_id, r.text or "") for r in documents.collect()), key=lambda x: (x[0] is not None, x[0], x[1]))
+    rows = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    data = sorted(((r.doc_id, r.h, r.text or "") for r in rows), key=lambda x: (x[0] is not None, *x))
     expected, start = [], 0
-    for doc, text in data:
+    for doc, _, text in data:
         ids = np.array([*library.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
         expected.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
@@ -126,5 +129,33 @@ def test_grammars_expand_to_what_they_were_made_from(ids):
     assert token_files.expand(first, rules, lengths, 100000).tolist() == ids[: len(ids) // 2 + 1].tolist()
 
 
+def test_token_files_replace_frequent_pairs_to_the_end(spark):
+    """Under two thirds of the symbols are left of ordinary documents, and hardly a pair that would pay for a rule."""
+    path = new_folder(spark, "test")
+    token_files.write(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), path, BPE)
+    shards = [r.asDict() for r in spark.read.parquet(path).collect()]
+    assert 3 * sum(len(s["symbols"]) // 4 for s in shards) < 2 * sum(s["n_tokens"] for s in shards)
+    for s in shards:
+        symbols = np.frombuffer(s["symbols"], dtype="<u4").astype(np.int64)
+        inside = np.ones(len(symbols), dtype=bool)
+        inside[np.cumsum(np.frombuffer(s["doc_symbols"], dtype="<u4").astype(np.int64)) - 1] = False
+        pairs = (symbols[:-1] << 32 | symbols[1:])[inside[:-1]]
+        assert np.unique(pairs, return_counts=True)[1].max() < 2 * token_files.LEAST  # runs of one symbol count pairs that overlap
+
+
+def test_token_files_share_out_a_frequent_id(spark):
+    docs = spark.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN id END AS doc_id", "'the same text' AS text").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = token_files.encoded(docs, BPE)
+        path = new_folder(spark, "test")
+        token_files.write(docs, path, BPE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r.n_docs for r in spark.read.parquet(path).groupBy("part").agg(F.sum("n_docs").alias("n_docs")).collect()) < 2600
+    starts = sorted((r.start, r.n_tokens, r.doc_id) for r in found.collect())
+    assert [s for s, _, _ in starts] == [n * starts[0][1] for n in range(4000)] and all(d is None for _, _, d in starts[:2000])
+
+
 def test_token_files_of_an_empty_table(spark):
     assert token_files.encoded(spark.createDataFrame([], "doc_id long, text string"), BPE).collect() == []
