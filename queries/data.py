@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablecheck import testkit
 from tablecheck.model import ForeignKey, Key, RuleSet, Side, TableRef
-from tablecheck.operators import align, diff, integrity, purge, structure
+from tablecheck.operators import align, diff, digests, integrity, purge, structure
 from tablecheck.plans import report
 from tablecheck.plans.audit import run_audit
 from tablecheck.sources.catalog import catalog_from_dataframes
@@ -395,6 +395,14 @@ def data_diff_counts(spark: SparkSession, folder: str) -> DataFrame:
     return diff.diff_counts(diff.bag_counts(*orders_pair(spark, folder)))
 
 
+@register("data_diff_tree", counts_sql("orders", ORDERS_T))
+def data_diff_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Two stored versions compared by their trees of digests."""
+    root = Scratch(spark).root
+    versions = [digests.DigestTree.write(df, f"{root}/v{n}", by=("o_orderkey",)) for n, df in enumerate(orders_pair(spark, folder))]
+    return versions[0].compare(versions[1])
+
+
 @register("data_diff_reverse", counts_sql(ORDERS_T, "orders"))
 def data_diff_reverse(spark: SparkSession, folder: str) -> DataFrame:
     return diff.diff_counts(diff.bag_counts(*orders_pair(spark, folder)[::-1]))
