@@ -9,7 +9,7 @@ from queries import sql
 from queries.inputs import SNAPSHOT, catalogs, ctes, frame, raw, raw_ctes, oracle
 from tablecheck.functions import ddl, text
 from tablecheck.model import Catalog
-from tablecheck.operators import align, drift, fleet, integrity, purge, structure
+from tablecheck.operators import align, drift, fleet, graph, integrity, purge, structure
 from tablecheck.plans import report
 from tablecheck.sources import catalog as builders
 from tablecheck.sources.checkpoints import Scratch
@@ -586,13 +586,79 @@ FROM r_constraint k JOIN named c ON c.env = k.env AND c.oid = k.conrelid JOIN na
 WHERE k.contype = 'f' AND (p.nspname, p.relname) <> (c.nspname, c.relname)""",
 )
 def fk_edges_all_schemas(spark: SparkSession, folder: str) -> DataFrame:
-    edges = purge.raw_fk_edges(raw(spark, folder, "class", "namespace", "constraint"))
+    return _ends(purge.raw_fk_edges(raw(spark, folder, "class", "namespace", "constraint"), "a"))
+
+
+def _ends(edges: DataFrame, *more: str) -> DataFrame:
     return edges.select(
-        F.col("parent.schema").alias("parent_schema"), F.col("parent.name").alias("parent_table"),
+        *more, F.col("parent.schema").alias("parent_schema"), F.col("parent.name").alias("parent_table"),
         F.col("child.schema").alias("child_schema"), F.col("child.name").alias("child_table"),
     )
 
 
+# Raw rows of two other kinds of server: key usage with a row per column, and numbered objects.
+MYSQL = {
+    "key_column_usage": """
+SELECT 'm' || CAST(o_orderkey % 2 AS STRING) AS env, 'shop' AS TABLE_SCHEMA, 't' || CAST(o_orderkey AS STRING) AS TABLE_NAME,
+  CASE WHEN o_orderkey % 3 <> 1 THEN CASE WHEN o_orderkey % 6 = 0 THEN 'crm' ELSE 'shop' END END AS REFERENCED_TABLE_SCHEMA,
+  CASE WHEN o_orderkey % 3 <> 1 THEN 't' || CAST(o_custkey AS STRING) END AS REFERENCED_TABLE_NAME, 'c' || CAST(l_linenumber AS STRING) AS COLUMN_NAME
+FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey""",
+}
+SQLSERVER = {
+    "foreign_keys": "SELECT 's' AS env, o_orderkey AS parent_object_id, o_custkey AS referenced_object_id FROM {orders} WHERE o_orderkey % 5 <> 0",
+    "tables": "SELECT 's' AS env, o_orderkey AS object_id, CAST(o_orderkey % 4 AS BIGINT) AS schema_id, 't' || CAST(o_orderkey AS STRING) AS name FROM {orders}",
+    "schemas": "SELECT 's' AS env, CAST(n_nationkey AS BIGINT) AS schema_id, lower(n_name) AS name FROM {nation} WHERE n_nationkey % 4 <> 3",
+}
+
+
+def _engines_sql() -> str:
+    return f"""WITH {raw_ctes("class", "namespace", "constraint")}, usage AS ({oracle(MYSQL["key_column_usage"])}),
+fk AS ({oracle(SQLSERVER["foreign_keys"])}), tab AS ({oracle(SQLSERVER["tables"])}), spc AS ({oracle(SQLSERVER["schemas"])}),
+named AS (SELECT c.env, c.oid, n.nspname, c.relname FROM r_class c JOIN r_namespace n ON n.env = c.env AND n.oid = c.relnamespace),
+found AS (
+SELECT 'postgresql' AS engine, k.env, p.nspname AS parent_schema, p.relname AS parent_table, c.nspname AS child_schema, c.relname AS child_table
+FROM r_constraint k JOIN named c ON c.env = k.env AND c.oid = k.conrelid JOIN named p ON p.env = k.env AND p.oid = k.confrelid WHERE k.contype = 'f'
+UNION SELECT 'mysql', env, REFERENCED_TABLE_SCHEMA, REFERENCED_TABLE_NAME, TABLE_SCHEMA, TABLE_NAME FROM usage WHERE REFERENCED_TABLE_NAME IS NOT NULL
+UNION SELECT 'sqlserver', f.env, ps.name, p.name, cs.name, c.name FROM fk f JOIN tab c ON c.object_id = f.parent_object_id
+JOIN spc cs ON cs.schema_id = c.schema_id JOIN tab p ON p.object_id = f.referenced_object_id JOIN spc ps ON ps.schema_id = p.schema_id)
+SELECT * FROM found WHERE parent_schema <> child_schema OR parent_table <> child_table"""
+
+
+@register("fk_edges_engines", _engines_sql())
+def fk_edges_engines(spark: SparkSession, folder: str) -> DataFrame:
+    """Foreign-key pairs of servers of three kinds, each from its raw rows."""
+    loaded: dict[str, DataFrame] = {}
+    servers = {engine: {n: frame(spark, folder, text, loaded) for n, text in parts.items()} for engine, parts in (("mysql", MYSQL), ("sqlserver", SQLSERVER))}
+    servers["postgresql"] = raw(spark, folder, "class", "namespace", "constraint")
+    return _ends(purge.engine_edges(servers), "engine", "env")
+
+
+# A tree over the customers, with rings of three, knots of two rings, and longer rings put in.
+KNOTS = (
+    "SELECT CAST(floor(c_custkey / 8) AS BIGINT) AS p, c_custkey AS k FROM {customer} WHERE c_custkey > 0 "
+    "UNION SELECT c_custkey, c_custkey + 1 FROM {customer} WHERE c_custkey % 40 IN (30, 31) "
+    "UNION SELECT c_custkey + 2, c_custkey FROM {customer} WHERE c_custkey % 40 = 30 "
+    "UNION SELECT c_custkey + 1, c_custkey + 2 FROM {customer} WHERE c_custkey % 80 = 30 "
+    "UNION SELECT c_custkey + 3, c_custkey + 1 FROM {customer} WHERE c_custkey % 80 = 30 "
+    "UNION SELECT c_custkey + 1, c_custkey + 3 FROM {customer} WHERE c_custkey % 80 = 30 "
+    "UNION SELECT c_custkey, c_custkey + 1 FROM {customer} WHERE c_custkey % 100 BETWEEN 5 AND 13 "
+    "UNION SELECT c_custkey + 9, c_custkey FROM {customer} WHERE c_custkey % 100 = 5"
+)
+
+
+@register(
+    "fk_components",
+    f"""WITH RECURSIVE e AS ({oracle(KNOTS)}), reach(a, b) AS (SELECT p, k FROM e WHERE p <> k UNION SELECT r.a, e.k FROM reach r JOIN e ON e.p = r.b)
+SELECT min('g' || CAST(y.b AS VARCHAR)) AS component, 'g' || CAST(x.a AS VARCHAR) AS table_name FROM reach x JOIN reach y ON x.a = y.a
+JOIN reach z ON z.a = y.b AND z.b = x.a WHERE x.a = x.b GROUP BY x.a""",
+)
+def fk_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Every component of a graph of foreign keys with cycles put in."""
+    ref = "named_struct('schema', 'public', 'name', concat('g', CAST({} AS STRING)))"
+    edges = frame(spark, folder, KNOTS).selectExpr(f"{ref.format('p')} AS parent", f"{ref.format('k')} AS child")
+    return graph.components(edges).select(F.col("component.name").alias("component"), F.col("table.name").alias("table_name"))
+
+
 @register(
     "fk_closure",
     f"""WITH RECURSIVE edges AS ({oracle(_TREE)}),

@@ -776,7 +776,7 @@ def _stored_plan(spark: SparkSession, folder: str) -> tuple[TableStore, purge.Pu
     store = scratch_store(spark)
     store.publish(tables)
     edges = purge.rule_edges(spark, testkit.rules().foreign_keys)
-    return store, purge.purge_plan(store.read_all(), edges, "customer")
+    return store, purge.store_plan(store, edges, "customer")
 
 
 @register(
@@ -819,6 +819,45 @@ def purge_two_schemas(spark: SparkSession, folder: str) -> DataFrame:
     return purge.purge_counts(flagged)
 
 
+@register(
+    "cascade_purge_where",
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, count(*) FILTER (WHERE {w}) AS deleted_rows, count(*) FILTER (WHERE ({w}) IS NOT TRUE) AS row_count FROM {t}"
+        for t, w in _LOST.items()
+    )
+    + " UNION ALL SELECT 'region', 0, count(*) FROM region",
+)
+def cascade_purge_where(spark: SparkSession, folder: str) -> DataFrame:
+    """A stored copy loses the customers of one segment and all that refers to them, in one publish."""
+    store, plan = _stored_plan(spark, folder)
+    deleted = purge.cascade_purge(store, plan, testkit.rules().foreign_keys, F.col("c_mktsegment") == "BUILDING")
+    gone = spark.createDataFrame([(t.name, n) for t, n in deleted.items()], "table_name STRING, deleted_rows BIGINT")
+    left = counts_of(store.read_all()).join(gone, "table_name", "left")
+    return left.select("table_name", F.coalesce("deleted_rows", F.lit(0)).alias("deleted_rows"), "row_count")
+
+
+# Customers who answer to one another: a tree, with some answering to a later one so that loops occur.
+_STAFF = (
+    "SELECT c_custkey AS k, CASE WHEN c_custkey % 11 = 3 THEN c_custkey * 3 + 1 WHEN c_custkey > 0 THEN CAST(floor(c_custkey / 3) AS BIGINT) END AS boss "
+    "FROM {customer}"
+)
+
+
+@register(
+    "purge_self_reference",
+    f"""WITH RECURSIVE staff AS ({_STAFF.format(customer='customer')}),
+gone AS (SELECT k FROM staff WHERE k % 50 = 7 UNION SELECT s.k FROM staff s JOIN gone g ON s.boss = g.k)
+SELECT 'staff' AS table_name, (SELECT count(*) FROM gone) AS deleted_rows, (SELECT count(*) FROM staff) - (SELECT count(*) FROM gone) AS kept_rows
+UNION ALL SELECT 'orders', count(*) FILTER (WHERE o_custkey IN (SELECT k FROM gone)), count(*) FILTER (WHERE o_custkey NOT IN (SELECT k FROM gone)) FROM orders""",
+)
+def purge_self_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """Some customers with all who answer to them over any number of steps, and the orders of all these."""
+    t = testkit.load(spark, folder, "customer", "orders")
+    tables = {"staff": spark.sql(_STAFF, customer=t["customer"]), "orders": t["orders"]}
+    keys = (ForeignKey("boss", "staff", ("boss",), "staff", ("k",)), ForeignKey("o_s", "orders", ("o_custkey",), "staff", ("k",)))
+    return purge.purge_counts(purge.doomed_rows(tables, keys, ["staff", "orders"], F.col("k") % 50 == 7))
+
+
 @register("cascade_drop", "SELECT 'region' AS table_name, count(*) AS row_count FROM region")
 def cascade_drop(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of a stored copy after customers and all that depends on them are dropped."""
