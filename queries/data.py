@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tablecheck import testkit
 from tablecheck.model import ForeignKey, Key, RuleSet, Side, TableRef
-from tablecheck.operators import align, diff, digests, integrity, purge, structure
+from tablecheck.operators import align, diff, digests, integrity, partials, purge, structure
 from tablecheck.plans import report
 from tablecheck.plans.audit import run_audit
 from tablecheck.sources.catalog import catalog_from_dataframes
 from tablecheck.sources.checkpoints import Scratch
 from tablecheck.sources.store import TableStore
-from tablecheck.sources.tables import load_side
+from tablecheck.sources.tables import load_side, split_predicates
 from tablecheck.sources.tables import source_status as status_of
 from tablecheck.sources.tables import table_counts as counts_of
 
@@ -147,6 +147,20 @@ for _name, _kinds in {
     QUERIES[_name] = lambda spark, folder, kinds=_kinds, name=_name: findings(spark, folder, kinds, name == "fk_orphans_all")
     ORACLES[_name] = expected_findings(_kinds)
 
+@register("integrity_incremental", expected_findings())
+def integrity_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables that arrive in two parts: the second run reads the second part alone and finds what a full run finds."""
+    root = Scratch(spark).root
+    tables = testkit.target_tables(testkit.load(spark, folder))
+    paths = {t: f"{root}/{t}" for t in tables}
+    for part in range(2):
+        for t, df in tables.items():
+            df.filter(F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns]), F.lit(2)) == part).write.mode("append").parquet(paths[t])
+        kept = partials.PartialFindings(spark, f"{root}/partials", paths, testkit.rules())
+        kept.refresh()
+    return kept.findings().withColumn("columns", F.array_join("columns", ","))
+
+
 # Unique columns with NULLs, which count as no value, and a unique pair of which either may be NULL.
 UNIQUE_TARGET = {
     **TARGET,
@@ -385,6 +399,23 @@ def counts_sql(source: str, target: str, columns: str = "*") -> str:
   (SELECT count(*) FROM ({t} EXCEPT ALL {s}) x) AS only_target_count) c"""
 
 
+@register(
+    "scan_splits",
+    "SELECT count(*) AS row_count, CAST(1 AS BIGINT) AS least_met, CAST(1 AS BIGINT) AS most_met, TRUE AS balanced FROM orders",
+)
+def scan_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Conditions that split a table by a crowded key: every row meets one, and none has more than twice the mean."""
+    crowded = F.when(F.col("o_orderkey") % 3 == 0, 7).when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey") * F.col("o_custkey"))
+    rows = testkit.load(spark, folder, "orders")["orders"].select(crowded.alias("k"), "o_orderkey")
+    conditions = split_predicates(rows, ["k", "o_orderkey"], 16, "mysql")
+    met = F.expr("+".join(f"CAST(coalesce({c}, false) AS BIGINT)" for c in conditions))
+    sizes = F.greatest(*[F.expr(f"count_if({c})") for c in conditions])
+    return rows.agg(
+        F.count("*").alias("row_count"), F.min(met).alias("least_met"), F.max(met).alias("most_met"),
+        (sizes * len(conditions) <= 2 * F.count("*")).alias("balanced"),
+    )
+
+
 def orders_pair(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     orders = testkit.load(spark, folder, "orders")["orders"]
     return orders, testkit.orders_target(orders)

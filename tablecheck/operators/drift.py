@@ -457,12 +457,18 @@ def index_signature(ignore_name: bool = False) -> Column:
 
 
 def move_index(indexdef: Column, source_schema: Column, target_schema: Column) -> Column:
-    """The index definition with the source's quoted schema replaced by the target's."""
-    moved = F.replace(
-        strip_end(indexdef),
-        F.concat(quote_ident(source_schema), F.lit(".")),
-        F.concat(quote_ident(target_schema), F.lit(".")),
-    )
+    """The index definition on the target's table: the schema of the relation after ``ON`` is replaced, quoted or plain.
+
+    Nothing after the relation changes, so literals and expressions that mention the schema stay.
+    """
+    text = strip_end(indexdef)
+    # CREATE [UNIQUE] INDEX [CONCURRENTLY] [IF NOT EXISTS] name ON [ONLY] schema.: names are quoted or plain.
+    head = r"""(?is)^(\s*CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?(?:"(?:[^"]|"")*"|[^\s"]+)\s+ON\s+(?:ONLY\s+)?)((?:"(?:[^"]|"")*"|[^\s".]+)\.)"""
+    start, place = F.regexp_extract(text, head, 1), F.regexp_extract(text, head, 2)
+    plain = F.rlike(source_schema, F.lit("^[a-z_][a-z0-9_$]*$")) & (F.lower(place) == F.concat(source_schema, F.lit(".")))
+    ours = (place == F.concat(quote_ident(source_schema), F.lit("."))) | plain
+    rest = F.substr(text, F.length(start) + F.length(place) + 1)
+    moved = F.when(ours, F.concat(start, quote_ident(target_schema), F.lit("."), rest)).otherwise(text)
     return F.concat(moved, F.lit(";"))
 
 

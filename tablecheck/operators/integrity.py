@@ -275,10 +275,15 @@ def check(
         parts += [duplicate_counts(tables[table], own) for table, own in keyed.items()]
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
     counts = balanced_union(parts) if parts else spark.createDataFrame([], "rule_id INT, n BIGINT")
+    return findings_of(counts, known, include_zero)
+
+
+def findings_of(counts: DataFrame, known: _Rules, include_zero: bool = False) -> DataFrame:
+    """Findings from ``rule_id, n`` and the texts of the numbered rules."""
     if not include_zero:
         counts = counts.filter("n > 0")
     # One row per rule on both sides.
-    found = counts.join(spark.createDataFrame(known.rows, META_DDL), "rule_id").withColumnRenamed("n", "count")
+    found = counts.join(counts.sparkSession.createDataFrame(known.rows, META_DDL), "rule_id").withColumnRenamed("n", "count")
     return found.withColumn("description", F.concat("before", F.col("count").cast("string"), "after")).select(
         *FINDING_COLUMNS
     )

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablecheck.functions.text import quote_name
+from tablecheck.functions.unions import balanced_union
 from tablecheck.model import Catalog, Side
 
 STATUS_DDL = "side STRING, table_name STRING, engine STRING, schema_name STRING, state STRING, error STRING"
@@ -56,6 +58,57 @@ def read_table(spark: SparkSession, source: str | Mapping[str, str] | DataFrame)
     return spark.read.table(source)
 
 
+def read_splits(spark: SparkSession, options: Mapping[str, str], predicates: Sequence[str]) -> DataFrame:
+    """A database table read by one task per predicate; see :func:`split_predicates`."""
+    rest = {k: v for k, v in options.items() if k not in ("url", "dbtable", "partitionColumn", "lowerBound", "upperBound", "numPartitions")}
+    return spark.read.jdbc(options["url"], options["dbtable"], predicates=list(predicates), properties=rest)
+
+
+def split_predicates(df: DataFrame, columns: Sequence[str], splits: int, engine: str = "postgresql") -> list[str]:
+    """About ``splits`` conditions, each for a like share of the rows; every row, NULL keys included, meets exactly one.
+
+    The first column is cut at its approximate quantiles, so crowded stretches get more splits than equal widths would give
+    them. A value (or NULL) that fills more than one split is one on its own, and is cut further by the next column.
+    ``df`` is the table or an earlier copy of it; what comes back are a few values per column, written as literals of ``engine``.
+    Columns are numbers, dates or timestamps.
+    """
+    if splits < 2 or not columns:
+        return []
+    column, accuracy = columns[0], 100 * splits
+    at = F.array(*[F.lit(k / splits) for k in range(1, splits)])
+    value = F.col(f"`{column}`")
+    row = df.agg(F.percentile_approx(value, at, F.lit(accuracy)).alias("points"), F.count("*").alias("n"), F.count_if(value.isNull()).alias("nulls")).first()
+    points, total, nulls = row["points"] or [], row["n"], row["nulls"]
+    name = quote_name(column, engine)
+    times = {p: points.count(p) for p in sorted(set(points))}
+    heavy = {p: n for p, n in times.items() if n > 1}
+
+    def within(own: Column, condition: str, parts: int) -> list[str]:
+        more = split_predicates(df.filter(own), columns[1:], parts, engine) if parts > 1 else []
+        return [f"{condition} AND {m}" for m in more] or [condition]
+
+    out, low = [], None  # low: the lower end so far, as a condition
+    for p in times:
+        below = f"{name} < {_literal(p)}"
+        out.append(f"{low} AND {below}" if low else below)
+        if p in heavy:
+            out += within(value == F.lit(p), f"{name} = {_literal(p)}", heavy[p] + 1)
+            low = f"{name} > {_literal(p)}"
+        else:
+            low = f"{name} >= {_literal(p)}"
+    out.append(low or f"{name} IS NOT NULL")
+    if nulls:
+        share = max(1, round(splits * nulls / total))
+        out += within(value.isNull(), f"{name} IS NULL", share)
+    return [f"({c})" for c in out]
+
+
+def _literal(value) -> str:
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
 def overwrite_jdbc(df: DataFrame, options: Mapping[str, str]) -> None:
     """Replace the rows of a database table, keeping its definition, indexes and grants."""
     df.write.format("jdbc").options(**options).option("truncate", "true").mode("overwrite").save()
@@ -91,7 +144,7 @@ def source_status(
             rows.append((name, table, engine, schema, "ERROR", _first_line(error)))
     try:
         if probes:
-            reduce(DataFrame.unionByName, probes.values()).write.format("noop").mode("overwrite").save()
+            balanced_union(list(probes.values())).write.format("noop").mode("overwrite").save()
     except Exception:
         rows = [r if r[4] == "ERROR" else (*r[:4], *_tried(probes[r[1]])) for r in rows]
     return spark.createDataFrame(rows, STATUS_DDL)
@@ -119,7 +172,7 @@ def table_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
         df.agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table_name"), "row_count")
         for t, df in sorted(tables.items())
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return balanced_union(counts)
 
 
 def resolve_tables(catalog: Catalog, requests: DataFrame, column: str = "requested") -> DataFrame:

@@ -173,3 +173,20 @@ def test_table_ddl(spark):
         'ALTER TABLE "public"."t" ADD CONSTRAINT "t_pk" PRIMARY KEY (id);\n\nCREATE INDEX z;'
     )
     assert texts["empty"] == 'CREATE TABLE "public"."empty" (\n\n);'
+
+
+def test_indexes_move_with_quoted_and_plain_schemas(spark):
+    from pyspark.sql import functions as F
+
+    cases = [
+        ('CREATE INDEX i ON "sales".t USING btree (a);', "sales", 'CREATE INDEX i ON "web".t USING btree (a);'),
+        ("CREATE UNIQUE INDEX i ON ONLY sales.t (a) WHERE a <> 'x ON sales.t';;", "sales", """CREATE UNIQUE INDEX i ON ONLY "web".t (a) WHERE a <> 'x ON sales.t';"""),
+        ('CREATE INDEX "a ON b" ON sales.t (lower("sales".f(a)))', "sales", 'CREATE INDEX "a ON b" ON "web".t (lower("sales".f(a)));'),
+        ("CREATE INDEX i ON t (a)", "sales", "CREATE INDEX i ON t (a);"),
+        ("CREATE INDEX i ON presales.t (a)", "sales", "CREATE INDEX i ON presales.t (a);"),
+        ('CREATE INDEX i ON "Sa""les".t (a)', 'Sa"les', 'CREATE INDEX i ON "web".t (a);'),
+        ("CREATE INDEX i ON sales.t (a)", "Sales", "CREATE INDEX i ON sales.t (a);"),
+    ]
+    df = spark.createDataFrame([c[:2] for c in cases], "d STRING, s STRING")
+    got = [r[0] for r in df.select(drift.move_index(F.col("d"), F.col("s"), F.lit("web"))).collect()]
+    assert got == [c[2] for c in cases]

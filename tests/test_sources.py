@@ -92,3 +92,16 @@ def test_raw_queries_cover_what_the_builders_read(spark):
     from queries.inputs import RAW
 
     assert set(RAW) == set(builders.RAW_QUERIES)
+
+
+def test_splits_hold_like_shares_of_crowded_keys(spark):
+    from tablecheck.sources.tables import split_predicates
+
+    rows = spark.range(20000).selectExpr("CASE WHEN id % 3 = 0 THEN 5 WHEN id % 7 <> 0 THEN id * id END AS k", "id", "CAST('2020-01-01' AS DATE) + CAST(id % 400 AS INT) AS day")
+    for columns, splits in ((["k", "id"], 10), (["day"], 8), (["id"], 5)):
+        conditions = split_predicates(rows, columns, splits, "mysql")
+        sizes = [rows.filter(c).count() for c in conditions]
+        assert sum(sizes) == 20000 and rows.filter(" AND ".join(f"NOT coalesce({c}, false)" for c in conditions)).isEmpty()
+        assert len(conditions) >= splits and max(sizes) <= 2 * 20000 / len(conditions)
+    assert split_predicates(rows.limit(0), ["id"], 4) == ['("id" IS NOT NULL)']
+    assert split_predicates(spark.range(2).selectExpr("id AS `a\"b`"), ["a\"b"], 2)[0] == '("a""b" < 0)'
