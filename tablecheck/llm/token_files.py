@@ -105,40 +105,57 @@ def _round(symbols: np.ndarray, last: np.ndarray, base: int, least: int):
 def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, last, rules, lengths). ``last`` marks the last id, later the last symbol, of each document."""
     symbols = ids.astype(np.int32 if base < 1 << 30 else np.int64)
-    rules = np.zeros((0, 2), dtype=np.int64)
+    rules, lengths = np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
     while len(symbols) > 1:
         symbols, last, pairs = _round(symbols, last, base + len(rules), LEAST)
         if pairs is None or not len(pairs):
             break
-        rules = np.concatenate([rules, pairs])
-    lengths = np.ones(len(rules), dtype=np.int64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[r] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
+        # A round's rules are made of ids and of rules from rounds before.
+        sizes = np.ones(pairs.shape, dtype=np.int64)
+        sizes[pairs >= base] = lengths[pairs[pairs >= base] - base]
+        rules, lengths = np.concatenate([rules, pairs]), np.concatenate([lengths, sizes.sum(axis=1)])
     return symbols, last, rules, lengths
 
 
-def _expansions(rules: np.ndarray, base: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for a, b in rules.tolist():
-        out.append(np.concatenate([out[x - base] if x >= base else np.array([x], dtype=np.uint32) for x in (a, b)]))
-    return out
+def _spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, … of every range, one after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(begin - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _table(rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """All rules written out, one after the other: level by level, each from its two parts."""
+    starts = np.cumsum(lengths) - lengths
+    table = np.zeros(int(lengths.sum()), dtype=np.uint32)
+    ready, waiting = np.zeros(len(rules), dtype=bool), np.arange(len(rules))
+    while len(waiting):
+        part = rules[waiting]
+        able = ((part < base) | ready[np.maximum(part - base, 0)]).all(axis=1)
+        now, at = waiting[able], starts[waiting[able]]
+        for side in (0, 1):
+            symbol = rules[now, side]
+            own = symbol >= base
+            table[at[~own]] = symbol[~own]
+            size = np.where(own, lengths[np.maximum(symbol - base, 0)], 1)
+            table[_spread(at[own], size[own])] = table[_spread(starts[symbol[own] - base], size[own])]
+            at = at + size
+        ready[now] = True
+        waiting = waiting[~able]
+    return table
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """The ids of symbols: one gather from a table that holds every id in use and every rule written out."""
     if not len(rules):
         return symbols.astype(np.uint32)
-    table = np.concatenate([np.zeros(0, dtype=np.uint32), *_expansions(rules, base)])
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
     rule = symbols >= base
     size = np.ones(len(symbols), dtype=np.int64)
     size[rule] = lengths[symbols[rule] - base]
-    ends = np.cumsum(size)
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
-    out[(ends - size)[~rule]] = symbols[~rule]
-    begin, length = starts[symbols[rule] - base], size[rule]
-    within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    out[np.repeat((ends - size)[rule], length) + within] = table[np.repeat(begin, length) + within]
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), dtype=np.uint32)
+    out[at[~rule]] = symbols[~rule]
+    starts = np.cumsum(lengths) - lengths
+    out[_spread(at[rule], size[rule])] = _table(rules, lengths, base)[_spread(starts[symbols[rule] - base], size[rule])]
     return out
 
 
