@@ -616,6 +616,16 @@ def status_rollup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _compared_orders(spark: SparkSession, folder: str) -> diff.TableComparison:
+    t = testkit.load(spark, folder, "orders", "customer")
+    rules = testkit.rules().for_tables(t)
+    other = {**t, "orders": testkit.orders_target(t["orders"])}
+    keys = tuple(k for k in rules.keys if k.table != "orders")
+    source = Side("source", t, catalog_from_dataframes(spark, t, rules))
+    target = Side("target", other, catalog_from_dataframes(spark, other, RuleSet(rules.required, keys, rules.foreign_keys)))
+    return diff.compare_table(source, target, "ORDERS")
+
+
 @register(
     "compare_table",
     f"""SELECT 'orders' AS table_name, source_row_count, target_row_count, only_source_count, only_target_count,
@@ -624,13 +634,7 @@ def status_rollup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def compare_table(spark: SparkSession, folder: str) -> DataFrame:
     """One table, asked for in capitals, whose key the target does not declare."""
-    t = testkit.load(spark, folder, "orders", "customer")
-    rules = testkit.rules().for_tables(t)
-    other = {**t, "orders": testkit.orders_target(t["orders"])}
-    keys = tuple(k for k in rules.keys if k.table != "orders")
-    source = Side("source", t, catalog_from_dataframes(spark, t, rules))
-    target = Side("target", other, catalog_from_dataframes(spark, other, RuleSet(rules.required, keys, rules.foreign_keys)))
-    result = diff.compare_table(source, target, "ORDERS")
+    result = _compared_orders(spark, folder)
     n = result.structure.count()
     return report.status(result.summary, n).select(
         "table_name", "source_row_count", "target_row_count", "only_source_count", "only_target_count", "structure_status",
@@ -764,6 +768,56 @@ def audit_run(spark: SparkSession, folder: str) -> DataFrame:
     return run_audit(spark, *sides, root).findings.withColumn("columns", F.array_join("columns", ","))
 
 
+_AUDITED = f"(SELECT * FROM ({expected_findings()}) f WHERE table_name <> 'labels' AND columns <> 'o_orderpriority')"
+# What the target's catalog lacks: a table with its keys, a column, a key; and one column has another type.
+_AUDIT_DRIFT = {"TABLE_MISSING": ("CRITICAL", 1), "COLUMN_MISSING": ("CRITICAL", 1), "COLUMN_DIFFERENT": ("HIGH", 1), "CONSTRAINT_MISSING_OR_DIFFERENT": ("CRITICAL", 3)}
+
+
+def _audit_sql() -> str:
+    levels: dict[str, int] = {}
+    for impact, n in _AUDIT_DRIFT.values():
+        levels[impact] = levels.get(impact, 0) + n
+    rows = [("differences", t, n) for t, (_, n) in _AUDIT_DRIFT.items()] + [("scripts of all", t, n) for t, (_, n) in _AUDIT_DRIFT.items()]
+    rows += [("difference report", i, n) for i, n in levels.items()] + [("scripts by impact", i, n) for i, n in levels.items()]
+    values = ", ".join(f"('{a}', '{label}', {n})" for a, label, n in rows)
+    return f"""SELECT artifact, label, CAST(n AS BIGINT) AS n FROM (VALUES {values}) v(artifact, label, n)
+UNION ALL SELECT 'findings', type || ' ' || rule_name, count FROM {_AUDITED} a
+UNION ALL SELECT 'finding report', type, count(*) FROM {_AUDITED} b GROUP BY type
+UNION ALL SELECT 'orphan fixes', type, count(*) FROM {_AUDITED} c WHERE type = 'FK_ORPHAN_ROWS' GROUP BY type"""
+
+
+@register("audit_reports", _audit_sql())
+def audit_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole flow on sides with unlike catalogs; every report and script is read back and its blocks are counted."""
+    root, rules = Scratch(spark).root, testkit.rules()
+    plain = testkit.load(spark, folder)
+    other = {t: df for t, df in plain.items() if t != "labels"}
+    other["orders"] = other["orders"].drop("o_orderpriority")
+    other["customer"] = other["customer"].withColumn("c_acctbal", F.col("c_acctbal").cast("string"))
+    fewer = rules.for_tables(other)
+    fewer = RuleSet(fewer.required, tuple(k for k in fewer.keys if k.name != "part_pkey"), fewer.foreign_keys)
+    source = load_side(spark, "source", plain, catalog_from_dataframes(spark, plain, rules))
+    target = load_side(spark, "target", testkit.target_tables(plain), catalog_from_dataframes(spark, other, fewer))
+    audit = run_audit(spark, source, target, root)
+
+    def blocks(artifact: str, path: str, pattern: str, label: str | None = None) -> DataFrame:
+        lines = spark.read.text(f"{root}/{path}")
+        found = F.regexp_extract("value", pattern, 1)
+        lines = lines.filter(F.col("value").rlike(pattern)).withColumn("label", F.col(label) if label else found)
+        return lines.groupBy("label").agg(F.count("*").alias("n")).select(F.lit(artifact).alias("artifact"), "label", "n")
+
+    script = r"^-- [0-9]+\. ([A-Z_]+)$"
+    return reduce(DataFrame.unionByName, [
+        audit.differences.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")).select(F.lit("differences").alias("artifact"), "label", "n"),
+        audit.findings.select(F.lit("findings").alias("artifact"), F.concat_ws(" ", "type", "rule_name").alias("label"), F.col("count").alias("n")),
+        blocks("difference report", "difference_report", r"^[0-9]+\. \[([A-Z]+)\] "),
+        blocks("scripts of all", "scripts/all", script),
+        blocks("scripts by impact", "scripts/by_impact", script, "impact"),
+        blocks("finding report", "finding_report", r"^[0-9]+\. \[[A-Z]+\] ([A-Z_]+)$"),
+        blocks("orphan fixes", "orphan_fixes", script),
+    ])
+
+
 _CLOSURE = (("customer", 0), ("orders", 1), ("events", 1), ("lineitem", 2))
 
 
@@ -895,3 +949,111 @@ def cascade_drop(spark: SparkSession, folder: str) -> DataFrame:
     store, plan = _stored_plan(spark, folder)
     purge.cascade_drop(store, plan)
     return counts_of(store.read_all())
+
+
+# --- reports as rows ----------------------------------------------------------------------------------------
+
+
+def _lines_sql(section: int, lines: list[str], rest: str = "") -> str:
+    """Lines given as SQL expressions, numbered from 0."""
+    listed = ", ".join(f"({i}, {line})" for i, line in enumerate(lines))
+    return f"SELECT CAST({section} AS INT) AS section, CAST(position AS BIGINT) AS position, value FROM (VALUES {listed}) v(position, value) {rest}"
+
+
+def _one(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SHOWN = "concat_ws(', ', " + ", ".join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), 'NULL')" for c in COLUMNS["orders"]) + ")"
+_ORDER_ALL = ", ".join(f"{c} NULLS FIRST" for c in COLUMNS["orders"])
+_ORDERS_DDL = (
+    'CREATE TABLE "public"."orders" (\n    "o_orderkey" bigint NOT NULL,\n    "o_custkey" bigint,\n    "o_orderstatus" string NOT NULL,\n'
+    '    "o_totalprice" double,\n    "o_orderdate" timestamp_ntz,\n    "o_orderpriority" string NOT NULL\n);\n\n'
+    'ALTER TABLE "public"."orders" ADD CONSTRAINT "orders_customer" FOREIGN KEY (o_custkey) REFERENCES customer(c_custkey);'
+)
+_ORDERS_KEY = '\n\nALTER TABLE "public"."orders" ADD CONSTRAINT "orders_pkey" PRIMARY KEY (o_orderkey);'
+
+
+def _difference_sql(section: int, mine: str, other: str) -> str:
+    return (
+        f"SELECT CAST({section} AS INT), row_number() OVER (ORDER BY {_ORDER_ALL}), {_SHOWN} FROM (SELECT * FROM {mine} a EXCEPT ALL SELECT * FROM {other} b) x "
+        f"QUALIFY row_number() OVER (ORDER BY {_ORDER_ALL}) <= 20"
+    )
+
+
+@register(
+    "report_comparison",
+    "\nUNION ALL\n".join([
+        "SELECT section, position, value FROM (" + _lines_sql(1, [
+            "'Table comparison'", "'Table: ORDERS'", "'Direction: source -> target'", "''", "'Overall: DIFFERENT'", "'Structure: DIFFERENT'",
+            "'Data: DIFFERENT'", "''", "(SELECT 'Rows in source: ' || count(*) FROM orders)", f"(SELECT 'Rows in target: ' || count(*) FROM {ORDERS_T} t)",
+            f"(SELECT 'Rows only in source: ' || count(*) FROM (SELECT * FROM orders EXCEPT ALL SELECT * FROM {ORDERS_T} t) x)",
+            f"(SELECT 'Rows only in target: ' || count(*) FROM (SELECT * FROM {ORDERS_T} t EXCEPT ALL SELECT * FROM orders) x)",
+            f"'Columns: {', '.join(COLUMNS['orders'])}'",
+        ]) + ") head",
+        "SELECT 2, 1, '  [HIGH] CONSTRAINT_DIFFERENT: ''orders_pkey'' exists in source and not in target.'",
+        _difference_sql(3, "orders", ORDERS_T), _difference_sql(4, ORDERS_T, "orders"),
+        f"SELECT 5, 0, {_one(_ORDERS_DDL + _ORDERS_KEY)}", f"SELECT 6, 0, {_one(_ORDERS_DDL)}",
+    ]),
+)
+def report_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a table whose rows differ and whose key the target does not declare."""
+    return report.comparison_report(_compared_orders(spark, folder))
+
+
+@register(
+    "report_sync",
+    _lines_sql(1, ["'Table synchronisation'", "'Type: DATA'", "'Table: orders'", "'Direction: source -> target'", "'Status: COMPLETED'", "''",
+                   "(SELECT 'Statements: ' || (count(*) + 1) FROM orders)", "(SELECT 'Rows copied: ' || count(*) FROM orders)",
+                   "'Detail: The data was replaced.'"]),
+)
+def report_sync(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of damaged orders that were replaced by the source's."""
+    t = testkit.load(spark, folder, "orders", "customer")
+    store = scratch_store(spark)
+    store.publish({"orders": testkit.orders_target(t["orders"]), "customer": t["customer"]})
+    return report.sync_report(align.replace_data(t["orders"], store, "orders", testkit.rules().foreign_keys).to_df(spark))
+
+
+_CHILDREN_FIRST = sorted(_CLOSURE, key=lambda x: (-x[1], x[0]))
+
+
+def _closure_sql(head: list[str], unit: str, count: str) -> str:
+    """The report of customers' closure; ``count`` is a table's number, its name put in."""
+    listed = [
+        f"SELECT CAST(2 AS INT), CAST({i} AS BIGINT), '  {i}. public.{t}: ' || ({count.format(t=t)}) || '{unit}'" for i, (t, _) in enumerate(_CHILDREN_FIRST, 1)
+    ]
+    return "\nUNION ALL\n".join(["SELECT * FROM (" + _lines_sql(1, head) + ") head", *listed])
+
+
+_ALL_ROWS = " + ".join(f"(SELECT count(*) FROM {t})" for t, _ in _CLOSURE)
+
+
+@register(
+    "report_plan",
+    _closure_sql(["'Tables to be emptied'", "'Side: target'", "'Table asked for: public.customer'", "''", "'Tables: 4'", f"'Rows: ' || ({_ALL_ROWS})", "''", "'Order:'"],
+                 " row(s)", "SELECT count(*) FROM {t}")
+    + "\nUNION ALL SELECT * FROM (" + _lines_sql(3, ["''", "'All tables change in one publish; if anything fails nothing changes.'"]) + ") e",
+)
+def report_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a purge of customers that is planned."""
+    return report.plan_report(purge_plan(spark, folder), "target", TableRef("public", "customer"))
+
+
+_LOST_ROWS = " + ".join(f"(SELECT count(*) FROM {t} WHERE {w})" for t, w in _LOST.items())
+
+
+@register(
+    "report_purge",
+    _closure_sql(["'Tables emptied'", "'Status: COMPLETED'", "'Side: target'", "'Table asked for: public.customer'", "''", "'Tables: 4'",
+                  f"'Rows deleted: ' || ({_LOST_ROWS})", "''", "'Detail:'"], " row(s) deleted", "SELECT count(*) FROM lost_{t}"),
+)
+def report_purge(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of a purge of the customers of one segment that is done."""
+    depths = spark.createDataFrame([("public", t, d) for t, d in _CLOSURE], "schema STRING, name STRING, depth INT")
+    lost = purge_counts(spark, folder).select(F.col("table_name").alias("name"), "deleted_rows")
+    return report.purge_report(depths.join(lost, "name"), "target", TableRef("public", "customer"))
+
+
+for _t, _w in _LOST.items():  # each table's lost rows under a name of their own
+    ORACLES["report_purge"] = ORACLES["report_purge"].replace(f"FROM lost_{_t})", f"FROM {_t} WHERE {_w})")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.functions.ddl import comment_lines, text_or_empty
 from tablecheck.functions.text import strip_text
-from tablecheck.model import IMPACTS, SyncResult
-from tablecheck.operators.diff import TableComparison
+from tablecheck.functions.unions import balanced_union
+from tablecheck.model import IMPACTS, SyncResult, TableRef
+from tablecheck.operators.diff import TableComparison, sort_columns
 from tablecheck.operators.drift import _text
 from tablecheck.operators.purge import PurgePlan
 from tablecheck.sources.checkpoints import Scratch
@@ -228,6 +229,94 @@ def purge_lines(plan: PurgePlan, deleted: Mapping, action: str = "emptied") -> l
     ]
 
 
+def _sections(rows: DataFrame, section: int, lines: Sequence[Column]) -> DataFrame:
+    """``section, position, value``: every row of a small frame as some lines; NULL lines are left out."""
+    found = rows.select(F.posexplode(F.array(*[F.struct(line.alias("value")) for line in lines])).alias("position", "line"))
+    found = found.select(F.lit(section).alias("section"), F.col("position").cast("bigint").alias("position"), F.col("line.value").alias("value"))
+    return found.filter("value IS NOT NULL")
+
+
+def _amount(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("0"))
+
+
+def sync_report(results: DataFrame) -> DataFrame:
+    """``section, position, value``: the report of synchronisations, from the rows of ``SyncResult.to_df``."""
+    c = F.col
+    return _sections(results, 1, [
+        _text("Table synchronisation"), _text("Type: ", c("sync_type")), _text("Table: ", c("table_name")),
+        _text("Direction: ", c("source_name"), " -> ", c("target_name")), _text("Status: ", c("status")), _text(""),
+        _text("Statements: ", _amount("statements_executed")), _text("Rows copied: ", _amount("rows_copied")), _text("Detail: ", c("detail")),
+    ])
+
+
+def plan_report(rows: DataFrame, side: str, target: TableRef, action: str = "emptied") -> DataFrame:
+    """``section, position, value``: the report of a purge or drop that is planned, from the rows of ``purge.plan_rows``."""
+    total = rows.agg(F.count("*").alias("n"), F.sum("row_count").alias("r"))
+    head = _sections(total, 1, [
+        _text(f"Tables to be {action}"), _text(f"Side: {side}"), _text(f"Table asked for: {target.schema}.{target.name}"), _text(""),
+        _text("Tables: ", _amount("n")), _text("Rows: ", _amount("r")), _text(""), _text("Order:"),
+    ])
+    end = _sections(total, 3, [_text(""), _text("All tables change in one publish; if anything fails nothing changes.")])
+    return head.unionAll(_listed(rows, "row_count", " row(s)")).unionAll(end)
+
+
+def purge_report(rows: DataFrame, side: str, target: TableRef, action: str = "emptied") -> DataFrame:
+    """``section, position, value``: the report of a purge or drop that is done, from ``depth, schema, name, deleted_rows``."""
+    head = _sections(rows.agg(F.count("*").alias("n"), F.sum("deleted_rows").alias("r")), 1, [
+        _text(f"Tables {action}"), _text("Status: COMPLETED"), _text(f"Side: {side}"), _text(f"Table asked for: {target.schema}.{target.name}"), _text(""),
+        _text("Tables: ", _amount("n")), _text("Rows deleted: ", _amount("r")), _text(""), _text("Detail:"),
+    ])
+    return head.unionAll(_listed(rows, "deleted_rows", " row(s) deleted"))
+
+
+def _listed(rows: DataFrame, amount: str, unit: str) -> DataFrame:
+    """The tables of a closure, children first: a row per table, numbered in one task."""
+    number = F.row_number().over(Window.orderBy(F.desc("depth"), "schema", "name"))
+    line = _text("  ", number.cast("string"), ". ", F.col("schema"), ".", F.col("name"), ": ", _amount(amount), unit)
+    return rows.select(F.lit(2).alias("section"), number.cast("bigint").alias("position"), line.alias("value"))
+
+
+def comparison_report(result: TableComparison, differences: DataFrame | None = None) -> DataFrame:
+    """``section, position, value``: the report of a table comparison; nothing runs before the result is asked for.
+
+    Sections: 1 the summary, 2 what differs in structure, 3 and 4 the samples of rows on one side only, 5 and 6 both definitions.
+    """
+    names, c = result.names, F.col
+    differences = result.structure if differences is None else differences
+    counted = differences.agg(F.count("*").alias("structure_differences"))
+    summary = result.summary.join(F.broadcast(counted))  # one row each
+    equal = c("structure_differences") == 0
+    overall = F.when(equal & c("data_compared") & c("data_equal"), "EQUAL").otherwise("DIFFERENT")
+    data = F.when(~c("data_compared"), "NOT COMPARED").when(c("data_equal"), "EQUAL").otherwise("DIFFERENT")
+    compared = c("data_compared")
+    parts = [_sections(summary, 1, [
+        _text("Table comparison"), _text(f"Table: {result.table_name}"), _text(f"Direction: {names[0]} -> {names[1]}"), _text(""),
+        _text("Overall: ", overall), _text("Structure: ", F.when(equal, "EQUAL").otherwise("DIFFERENT")), _text("Data: ", data), _text(""),
+        _text(f"Rows in {names[0]}: ", _amount("source_row_count")), _text(f"Rows in {names[1]}: ", _amount("target_row_count")),
+        F.when(compared, _text(f"Rows only in {names[0]}: ", _amount("only_source_count"))).otherwise(_text("Not compared: ", c("data_skip_reason"))),
+        F.when(compared, _text(f"Rows only in {names[1]}: ", _amount("only_target_count"))),
+        F.when(compared, _text(f"Columns: {', '.join(result.columns)}")),
+    ])]
+    order = Window.orderBy("impact_rank", "type", "object_name", "description")  # the differences of one table
+    line = _text("  [", c("impact"), "] ", c("type"), ": ", c("description"))
+    parts.append(differences.select(F.lit(2).alias("section"), F.row_number().over(order).cast("bigint").alias("position"), line.alias("value")))
+    for section, side in ((3, "source"), (4, "target")):
+        rows = result.samples(side)
+        if rows is not None:
+            shown = F.concat_ws(", ", *[_text(f"{n}=", F.coalesce(c(f"`{n}`").cast("string"), F.lit("NULL"))) for n in rows.columns])
+            place = F.row_number().over(Window.orderBy(*sort_columns(rows)))  # at most the sample's size
+            parts.append(rows.select(F.lit(section).alias("section"), place.cast("bigint").alias("position"), shown.alias("value")))
+    for section, side in ((5, "source"), (6, "target")):
+        parts.append(_sections(result.ddl(side), section, [c("ddl")]))
+    return balanced_union(parts)
+
+
+def write_report(sections: DataFrame, path: str) -> None:
+    """Text files whose order by name is the order of the lines."""
+    sections.orderBy("section", "position").select("value").write.mode("overwrite").text(path)
+
+
 def comparison_lines(result: TableComparison, spark_status: DataFrame) -> DataFrame:
     """A table comparison as ``position, value``; sample rows stay in Spark as JSON text."""
     s, names = spark_status.first(), result.names
