@@ -23,20 +23,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row with the smallest id, whatever other rows have that id.
+    """Of each component of near duplicates one row: the one with the smallest id, of several such rows the one with the
+    smallest checksum of all columns, of exact copies any one.
 
-    Of several rows with this id the one with the smallest checksum of all columns stays, with its exact copies: repeated
-    rows stay alike. Rows without an id are members like others and come last; of a component of such rows one stays.
+    Rows without an id are members like others and come last. NULL and empty texts are near duplicates of one another.
     """
     text, others = F.col("doc.text"), F.struct(*[F.col(f"doc.`{c}`") for c in docs.columns if c != "text"])
     digest = F.unhex(F.md5(F.concat_ws("/", F.md5(text), F.to_json(others))))
     row = docs.select(F.struct("*").alias("doc")).select("doc", F.col("doc.doc_id").alias("id"), digest.alias("digest"))
     keys = row.select(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest").alias("row_key"), text.alias("text"))
-    keep = simhash.classes(keys, "row_key").filter("row_key = component_id").select("row_key").distinct()
-    keep = keep.select(F.col("row_key.id").alias("kept_id"), F.col("row_key.digest").alias("kept_digest"))
-    kept = row.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")), "left_semi")
-    single = kept.filter("id IS NULL").groupBy("digest").agg(F.first("doc").alias("doc"))
-    return kept.filter("id IS NOT NULL").select("doc.*").unionByName(single.select("doc.*"))
+    keep = simhash.classes(keys, "row_key").filter("row_key = component_id").groupBy("row_key").agg(F.count("*").alias("copies"))
+    keep = keep.select(F.col("row_key.id").alias("kept_id"), F.col("row_key.digest").alias("kept_digest"), "copies")
+    kept = row.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    # Only rows that have copies are grouped; whole documents without any are not shuffled again.
+    single = kept.filter("copies > 1").groupBy("kept_id", "kept_digest").agg(F.first("doc").alias("doc"))
+    return kept.filter("copies = 1").select("doc.*").unionByName(single.select("doc.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
