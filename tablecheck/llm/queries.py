@@ -219,13 +219,14 @@ ORACLES: dict[str, str] = {
             SELECT list(list_reduce(list_prepend(i, list_transform(range(8), lambda z: 0::BIGINT)),
                 lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t
             FROM range(256) r(i)
-        ), d AS (
+        ), c AS (
             SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size,
                 xor(list_reduce(list_prepend(4294967295::BIGINT,
                     list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32,
-                ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 4096 AS virtual_slot
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
             FROM documents, crc
+        ), d AS (
+            SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || text_crc32), 1, 8))::BIGINT % 4096 AS virtual_slot FROM c
         ), sizes AS (SELECT virtual_slot, sum(size)::BIGINT AS bytes, count(*) AS n FROM d GROUP BY 1),
         deck AS (
             SELECT range AS virtual_slot, coalesce(bytes, 0)::BIGINT AS bytes, row_number() OVER (ORDER BY coalesce(bytes, 0) DESC, range) AS k

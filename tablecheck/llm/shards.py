@@ -1,6 +1,7 @@
 """Sharding over fixed virtual slots.
 
-A record's id is hashed into one of ``SLOTS`` slots, whatever the number of shards. The bytes of each slot are added up, and
+A record's id and its text's checksum are hashed into one of ``SLOTS`` slots, whatever the number of shards; of rows that
+are equal in both, each is hashed with its place in the input, so that a row repeated without end fills no slot by itself. The bytes of each slot are added up, and
 a slot map says which shard holds which slot. The map is a small table of versions: the first deals slots by size, the
 largest first, each to the shard with the fewest bytes; ``rebalanced`` edits it, moving slots only out of shards that hold
 more than their share, so most records stay where they are.
@@ -8,8 +9,8 @@ more than their share, so most records stay where they are.
 Both deals are a fold over at most ``SLOTS`` slots in one row. A record's place in its shard is the sum of the slots before
 its own plus its number within the slot, so nothing larger than a slot is ever ordered in one task.
 
-NULL texts have no bytes and the checksum of an empty text. Rows without an id go to the slot of an empty id. Repeated rows
-are placed next to each other. Other columns are not looked at.
+NULL texts have no bytes and the checksum of an empty text. A NULL id is hashed as an empty one. Repeated rows are spread over
+the slots, which copy goes where depends on the stored rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecheck.llm.staging import staged
+from tablecheck.operators.skew import keyed_join
 
 SLOTS = 4096
 SHARDS = 16
@@ -83,10 +85,16 @@ def rebalanced(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
 def placed(docs: DataFrame, slot_map: DataFrame | None = None, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``size``, ``text_crc32``, ``virtual_slot``, ``map_version``, ``shard``, ``slot``): slot is the place in the shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = staged(docs.select(
+    rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), virtual_slot(F.col(id_col), slots).alias("virtual_slot"),
-    ), "records")
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.monotonically_increasing_id().alias("place"),
+    )
+    key = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))
+    rows = staged(rows.withColumn("copy_key", key), "records")
+    repeated = rows.groupBy("copy_key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    rows = keyed_join(rows, repeated, ["copy_key"])
+    own = F.when(F.col("copies").isNull(), F.col("copy_key")).otherwise(F.concat_ws("/", "copy_key", F.col("place").cast("string")))
+    rows = staged(rows.select("id", "size", "text_crc32", virtual_slot(own, slots).alias("virtual_slot")), "placed-records")
     sizes = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
     chosen = staged(first_map(sizes.drop("n"), shards, slots), "slot-map") if slot_map is None else slot_map
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)

@@ -104,6 +104,16 @@ def test_foreign_archives(spark):
 SHARDED = [(i, "x" * (i % 50)) for i in range(500)] + [(7, "same"), (7, "same"), (None, None), (900, "é" * 50), (901, "")]
 
 
+def test_repeated_and_missing_ids_fill_no_shard(spark):
+    docs = spark.range(6000).selectExpr("CASE WHEN id % 2 = 0 THEN id WHEN id % 3 = 0 THEN -7 END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a copy' ELSE concat('text ', id) END AS text")
+    docs = docs.unionAll(spark.range(3000).selectExpr("NULL AS doc_id", "'the same' AS text")).repartition(3)
+    got = shards.placed(docs, shards=8).collect()
+    held = [sum(r["size"] for r in got if r.shard == s) for s in range(8)]
+    assert len(got) == 9000 and max(held) - min(held) <= 60  # a few records: the largest slot holds some of them
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
 def test_shards_are_gapless_and_near_equal(spark):
     docs = spark.createDataFrame(SHARDED, "doc_id long, text string").withColumn("size", F.lit("s")).withColumn("slot", F.lit(1))
     got = shards.placed(docs, shards=4, slots=256).collect()
