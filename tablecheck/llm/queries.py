@@ -10,7 +10,7 @@ from tablecheck.llm import (
     centroids, decontaminate, mixing, packing, quality, repeats, resampling, shards, simhash, surrogates, token_counts, token_files, warc,
 )
 from tablecheck.llm.sql import RESAMPLING, centroids as centroids_sql
-from tablecheck.llm.staging import new_folder
+from tablecheck.llm.staging import new_folder, staged
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -45,11 +45,12 @@ def surrogates_query(spark: SparkSession, folder: str) -> DataFrame:
 def warc_query(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "warc")
     warc.write(_table(spark, folder, "pages"), path)
-    fields = F.col("metadata.fields")
-    page, size, referred = (fields[c].cast("long") for c in ("pageId", "payloadLength", "refersToPage"))
-    return warc.captures(warc.records(spark, path, with_payload=False)).select(
-        page.alias("page_id"), F.coalesce("response.payload_bytes", size).alias("payload_bytes"), "response.payload_digest",
-        "response.record_type", referred.alias("refers_to"),
+    # The archives are parsed once; payloads stay in them.
+    found = warc.followed(warc.captures(staged(warc.records(spark, path, with_payload=False), "warc-records")))
+    page, original = (F.col(f"{at}metadata.fields")["pageId"].cast("long") for at in ("", "original."))
+    return found.select(
+        page.alias("page_id"), F.coalesce("response.payload_bytes", "original.payload_bytes").alias("payload_bytes"), "response.payload_digest",
+        "response.record_type", original.alias("refers_to"),
     )
 
 

@@ -8,7 +8,7 @@ duplicated digests are few bytes and splits where one digest is very frequent.
 
 ``records`` reads archives, its own or others, by Content-Length, file by file. ``captures`` assembles transactions:
 requests and metadata are joined to the response or revisit that they name as concurrent, or that names them, and each
-capture is one nested row.
+capture is one nested row. ``followed`` adds to each revisit the capture whose record it refers to.
 
 NULL payloads are empty. Pages without an id come before all ids. Rows that repeat an id and a payload have the same
 record identifiers and each give a capture of the same type. Several requests or metadata records of one capture: the one
@@ -90,7 +90,7 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
          ("WARC-Profile", F.when(revisit, REVISIT_PROFILE)), ("WARC-Refers-To", F.when(revisit, _record_id("capture", winner, digest)))],
         "application/http; msgtype=response", F.when(revisit, head).otherwise(F.concat(head, F.col("payload"))),
     )
-    fields = [("pageId", page), ("payloadLength", F.col("bytes")), ("refersToPage", winner)]
+    fields = [("pageId", page)]
     metadata = _record(
         "metadata", [("WARC-Record-ID", _record_id("metadata", page, digest)), ("WARC-Concurrent-To", own), ("WARC-Target-URI", uri)],
         "application/warc-fields", F.concat(F.concat_ws("\r\n", *[F.concat(F.lit(f"{n}: "), v.cast("string")) for n, v in fields]), F.lit("\r\n")),
@@ -215,3 +215,12 @@ def captures(found: DataFrame) -> DataFrame:
         F.struct("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload").alias("response"),
         "request", "metadata", F.coalesce("n_request", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"),
     )
+
+
+def followed(whole: DataFrame) -> DataFrame:
+    """Captures with ``original``: for a revisit, the length and digest of the response that it refers to and the metadata
+    beside it; NULL for responses, and for revisits whose original is not among the archives."""
+    kept = F.struct("response.payload_bytes", "response.payload_digest", "metadata")
+    originals = whole.filter("response.record_type = 'response'").groupBy(F.col("response.record_id").alias("original_id"))
+    originals = originals.agg(F.first(kept).alias("original"))  # repeated rows have one identifier
+    return whole.join(originals, F.col("response.refers_to") == F.col("original_id"), "left").drop("original_id")

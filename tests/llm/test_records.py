@@ -50,7 +50,7 @@ def test_archives_give_back_every_page(spark, monkeypatch):
     path = new_folder(spark, "warc")
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("digest", F.lit(2))
     warc.write(pages, path)
-    found = warc.captures(warc.records(spark, path)).collect()
+    found = warc.followed(warc.captures(warc.records(spark, path))).collect()
     assert len(found) == len(PAGES)
     last = {}
     for page, _, html in PAGES:
@@ -59,7 +59,10 @@ def test_archives_give_back_every_page(spark, monkeypatch):
     got = []
     for r in found:
         page = r.metadata.fields.get("pageId")
-        got.append((page, r.response.record_type, ids.get(r.response.refers_to), r.response.payload_digest, r.metadata.fields["payloadLength"]))
+        size = r.response.payload_bytes if r.original is None else r.original.payload_bytes
+        got.append((page, r.response.record_type, ids.get(r.response.refers_to), r.response.payload_digest, str(size)))
+        assert (r.original is not None) == (r.response.record_type == "revisit")
+        assert r.original is None or (r.original.metadata.fields["pageId"], r.original.payload_digest) == (got[-1][2], got[-1][3])
         assert r.n_requests == r.n_metadata == 1 and r.request.target_uri == r.response.target_uri
         if r.response.record_type == "response":
             assert sha(bytes(r.response.payload).decode()) == r.response.payload_digest
@@ -75,7 +78,7 @@ def test_archives_give_back_every_page(spark, monkeypatch):
     assert sorted(repr(r.page_id) for r in small) == ["1", "2", "None"]
     empty = new_folder(spark, "warc")
     warc.write(pages.limit(0), empty)
-    assert warc.captures(warc.records(spark, empty)).count() == 0
+    assert warc.followed(warc.captures(warc.records(spark, empty))).count() == 0
 
 
 def test_foreign_archives(spark):
