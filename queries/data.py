@@ -15,7 +15,7 @@ from tablecheck.plans.audit import run_audit
 from tablecheck.sources.catalog import catalog_from_dataframes
 from tablecheck.sources.checkpoints import Scratch
 from tablecheck.sources.store import TableStore
-from tablecheck.sources.tables import load_side, split_predicates
+from tablecheck.sources.tables import load_side, scan, split_predicates
 from tablecheck.sources.tables import source_status as status_of
 from tablecheck.sources.tables import table_counts as counts_of
 
@@ -399,6 +399,12 @@ def counts_sql(source: str, target: str, columns: str = "*") -> str:
   (SELECT count(*) FROM ({t} EXCEPT ALL {s}) x) AS only_target_count) c"""
 
 
+@register("projected_scan", "SELECT o_totalprice, o_orderkey, o_custkey FROM orders")
+def projected_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Three columns of a table in an order of their own; the reader fetches no others."""
+    return scan(testkit.load(spark, folder, "orders")["orders"], ["o_totalprice", "o_orderkey", "o_custkey"])
+
+
 @register(
     "scan_splits",
     "SELECT count(*) AS row_count, CAST(1 AS BIGINT) AS least_met, CAST(1 AS BIGINT) AS most_met, TRUE AS balanced FROM orders",
@@ -741,19 +747,19 @@ def replace_data(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(
     "sync_schema",
-    f"""SELECT o_orderkey, o_custkey, o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, o_orderpriority, 'COMPLETED' AS status,
-  CAST(2 AS BIGINT) AS statements FROM {orders_n()} x""",
+    f"""SELECT o_orderkey, o_custkey, o_orderstatus, CAST(NULL AS DOUBLE) AS o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate, o_orderpriority,
+  'COMPLETED' AS status, CAST(2 AS BIGINT) AS statements FROM {orders_n()} x""",
 )
 def sync_schema(spark: SparkSession, folder: str) -> DataFrame:
     """A stored copy with one column as text and one missing gets the source's columns; a constraint is left over."""
-    orders = testkit.orders_nulls(testkit.load(spark, folder, "orders")["orders"]).drop("o_orderdate")
+    orders = testkit.orders_nulls(testkit.load(spark, folder, "orders")["orders"])
     store = scratch_store(spark)
     store.publish({"orders": orders.withColumn("o_custkey", F.col("o_custkey").cast("string")).drop("o_totalprice")})
     keys = RuleSet(keys=(Key("orders_pkey", "orders", ("o_orderkey",)),))
     want = catalog_from_dataframes(spark, {"orders": orders}, keys)
     have = catalog_from_dataframes(spark, {"orders": store.read("orders")}, RuleSet())
     done = align.sync_schema(align.sync_plan(want, have), orders, store, "orders")
-    return store.read("orders").withColumns({"status": F.lit(done.status), "statements": F.lit(done.statements).cast("bigint")})
+    return _dates_as_text(store.read("orders")).withColumns({"status": F.lit(done.status), "statements": F.lit(done.statements).cast("bigint")})
 
 
 @register("audit_run", expected_findings())
