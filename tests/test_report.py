@@ -99,6 +99,34 @@ def test_plan_and_sync_lines(spark, tmp_path):
     assert text(f"{tmp_path}/s").startswith("Table synchronisation\nType: DATA")
 
 
+def lines(sections):
+    return [r.value for r in sections.orderBy("section", "position").collect()]
+
+
+def test_reports_as_rows_say_what_the_lines_say(spark, tmp_path):
+    cabin, ship = TableRef("sea", "cabin"), TableRef("sea", "ship")
+    plan = PurgePlan("target", ship, (cabin, ship), {cabin: 31, ship: 5})
+    rows = spark.createDataFrame([(0, "sea", "ship", 5, 4), (1, "sea", "cabin", 31, 0)], "depth INT, schema STRING, name STRING, row_count BIGINT, deleted_rows BIGINT")
+    assert lines(report.plan_report(rows, "target", ship)) == report.plan_lines(plan)
+    assert lines(report.purge_report(rows, "target", ship, "dropped")) == report.purge_lines(plan, {ship: 4}, "dropped")
+    assert lines(report.plan_report(rows.limit(0), "target", ship))[4:6] == ["Tables: 0", "Rows: 0"]
+    done = SyncResult("ship", "a", "b", "DATA", "COMPLETED", 8, 7, "Done.")
+    assert lines(report.sync_report(done.to_df(spark))) == report.sync_lines(done)
+    report.write_report(report.sync_report(done.to_df(spark)), f"{tmp_path}/s")
+    assert text(f"{tmp_path}/s").startswith("Table synchronisation\nType: DATA")
+
+
+def test_comparison_report_as_rows(spark):
+    columns = [{"table_name": "t", "column_name": "id"}]
+    left = Side("left", {"t": spark.range(3)}, catalog(spark, tables=[{"table_name": "t"}], columns=columns))
+    right = Side("right", {"t": spark.range(1, 4)}, catalog(spark, tables=[{"table_name": "t"}], columns=columns))
+    body = lines(report.comparison_report(diff.compare_table(left, right, "t")))
+    assert {"Direction: left -> right", "Overall: DIFFERENT", "Structure: EQUAL", "Data: DIFFERENT", "Rows only in left: 1", "id=0", "id=3"} <= set(body)
+    other = Side("right", {"t": spark.range(3).toDF("ID")}, right.catalog)
+    body = lines(report.comparison_report(diff.compare_table(left, other, "t")))
+    assert "Data: NOT COMPARED" in body and "Not compared: Data was not compared because the columns of left and right differ." in body
+
+
 def test_audit_end_to_end(spark, tmp_path):
     tables = testkit.load(spark, "/root/testdata/sf0.001", "region", "nation", "customer", "orders")
     rules = testkit.rules().for_tables(tables)
