@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablecheck.functions import ddl
 from tablecheck.functions.text import constraint_text, strip_end
 from tablecheck.model import DIFF_COLUMNS, Catalog
-from tablecheck.operators.drift import _array, _side, _text, diff_rows, table_columns_text
+from tablecheck.operators.drift import _array, _side, _text, diff_rows, same_column, table_columns_text
 
 
 def _shared(df: DataFrame, other: Catalog) -> DataFrame:
@@ -28,8 +28,7 @@ def columns_compared(source: Catalog, target: Catalog, names=("source", "target"
         for a, b in ((source, target), (target, source))
     ]
     s, t = _side("s"), _side("t")
-    on = (s("table_name") == t("table_name")) & (s("column_name") == t("column_name"))
-    joined = sides[0].alias("s").join(sides[1].alias("t"), on, "full_outer")
+    joined = sides[0].alias("s").join(sides[1].alias("t"), same_column("s", "t"), "full_outer")
     joined = joined.filter(~s("sig").eqNullSafe(t("sig")))
     missing, extra = t("column_name").isNull(), s("column_name").isNull()
     kind = F.when(missing, "COLUMN_MISSING").when(extra, "EXTRA_COLUMN").otherwise("COLUMN_DIFFERENT")
@@ -74,23 +73,27 @@ def matched_objects(source: Catalog, target: Catalog, either: bool = True) -> Da
     ``kind`` is CONSTRAINT or INDEX; ``s`` and ``t`` are structs of ``sig, definition, constraint_type``, NULL where the
     side has no object of the name. ``elsewhere``: the other side has the same text under another name. ``t_index``: the
     target has an index of the name. Indexes named like a constraint of their table belong to it and are left out; with
-    ``either`` the source's constraints count for the target's indexes too.
+    ``either`` the source's constraints count for the target's indexes too. Objects without a table are left out.
     """
-    def slot(df: DataFrame, name: str, sig: Column, definition: str, which: str, kind: Column) -> DataFrame:
-        held = F.struct(sig.alias("sig"), F.col(definition).alias("definition"), kind.cast("string").alias("constraint_type"))
-        return df.select("table_name", F.col(name).alias("name"), F.lit(which).alias("slot"), held.alias("held"))
+    c = F.col
+
+    def slot(df: DataFrame, name: str, definition: str, which: int, kind: Column) -> DataFrame:
+        return df.filter("table_name IS NOT NULL").select(
+            "table_name", c(name).alias("name"), F.lit(which).cast("byte").alias("slot"), c(definition).alias("definition"),
+            kind.cast("string").alias("constraint_type"),
+        )
 
     parts = []
-    for side, catalog in (("s", source), ("t", target)):
-        text = constraint_text(F.col("definition"))
-        parts.append(slot(table_constraints(catalog), "constraint_name", text, "definition", f"{side}_con", F.col("constraint_type")))
-        parts.append(slot(catalog.indexes, "index_name", F.col("indexdef"), "indexdef", f"{side}_idx", F.lit(None)))
+    for side, catalog in enumerate((source, target)):
+        parts.append(slot(table_constraints(catalog), "constraint_name", "definition", 2 * side, c("constraint_type")))
+        parts.append(slot(catalog.indexes, "index_name", "indexdef", 2 * side + 1, F.lit(None)))
     slots = ("s_con", "s_idx", "t_con", "t_idx")
+    # One shuffle, by table, serves all groups below and what the result is joined with by table.
+    dealt = reduce(DataFrame.unionByName, parts).repartition("table_name")
+    sig = F.when(c("slot").isin(0, 2), constraint_text(c("definition"))).otherwise(c("definition"))
+    dealt = dealt.select("table_name", "name", "slot", F.struct(sig.alias("sig"), "definition", "constraint_type").alias("held"))
     # Names are unique within a table, so a group has at most one object per slot.
-    named = reduce(DataFrame.unionByName, parts).groupBy("table_name", "name").agg(
-        *[F.max(F.when(F.col("slot") == x, F.col("held"))).alias(x) for x in slots]
-    )
-    c = F.col
+    named = dealt.groupBy("table_name", "name").agg(*[F.max(F.when(c("slot") == i, c("held"))).alias(x) for i, x in enumerate(slots)])
     theirs = c("t_con").isNull() & c("s_con").isNull() if either else c("t_con").isNull()
     both = F.explode(F.array(
         F.struct(F.lit("CONSTRAINT").alias("kind"), c("s_con").alias("s"), c("t_con").alias("t")),
