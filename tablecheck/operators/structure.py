@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tablecheck.functions import ddl
 from tablecheck.functions.text import constraint_text, strip_end
+from tablecheck.functions.unions import balanced_union
 from tablecheck.model import DIFF_COLUMNS, Catalog
-from tablecheck.operators.drift import _array, _side, _text, diff_rows, same_column, table_columns_text
+from tablecheck.operators.drift import _array, _side, _text, diff_rows, same_column
 
 
 def _shared(df: DataFrame, other: Catalog) -> DataFrame:
@@ -55,18 +56,6 @@ def table_constraints(catalog: Catalog) -> DataFrame:
     return catalog.constraints.filter(F.col("constraint_type") != "n")
 
 
-def index_objects(catalog: Catalog, *backing: Catalog) -> DataFrame:
-    """Indexes, less those named like a constraint of their table in any of ``backing``."""
-    named = reduce(
-        DataFrame.unionByName,
-        [table_constraints(b).select("table_name", F.col("constraint_name").alias("index_name")) for b in backing],
-    ).distinct()
-    return catalog.indexes.join(named, ["table_name", "index_name"], "left_anti").select(
-        "table_name", F.col("index_name").alias("name"), F.col("indexdef").alias("sig"),
-        F.col("indexdef").alias("definition"),
-    )
-
-
 def matched_objects(source: Catalog, target: Catalog, either: bool = True) -> DataFrame:
     """Constraints and indexes of both sides, matched by name and then by text, from one scan of each.
 
@@ -141,32 +130,35 @@ def structure_diff(source: Catalog, target: Catalog, names=("source", "target"))
     return columns_compared(source, target, names).unionByName(found).select(*DIFF_COLUMNS)
 
 
-def _ordered(df: DataFrame, name: Column, text: Column, out: str) -> DataFrame:
-    packed = F.sort_array(F.collect_list(F.struct(name.alias("name"), text.alias("text"))))
-    return df.groupBy("table_name").agg(packed.alias("p")).select(
-        "table_name", F.transform("p", lambda x: x["text"]).alias(out)
-    )
-
-
 def table_ddl(catalog: Catalog) -> DataFrame:
     """One text per table: CREATE TABLE, its constraints by name, its other indexes by name.
 
-    Texts are gathered per table, so a group is bounded by the size of one table's definition.
+    All objects are shuffled once, by table. A group is bounded by the size of one table's definition.
     """
-    schema, table = F.lit(catalog.schema), F.col("table_name")
-    constraints = _ordered(
-        table_constraints(catalog), F.col("constraint_name"),
-        ddl.add_constraint(schema, table, F.col("constraint_name"), F.col("definition")), "constraints",
-    )
-    indexes = _ordered(
-        index_objects(catalog, catalog), F.col("name"), F.concat(strip_end(F.col("definition")), F.lit(";")), "indexes"
-    )
-    joined = (
-        catalog.tables.select("table_name")
-        .join(table_columns_text(catalog.columns), "table_name", "left")
-        .join(constraints, "table_name", "left")
-        .join(indexes, "table_name", "left")
-    )
-    create = ddl.create_table(schema, table, _array(F.col("clauses")))
-    text = F.concat_ws("\n\n", create, _array(F.col("constraints")), _array(F.col("indexes")))
-    return joined.select("table_name", text.alias("ddl"))
+    schema, c = F.lit(catalog.schema), F.col
+
+    def part(df: DataFrame, kind: int, position: Column, name: Column, text: Column) -> DataFrame:
+        return df.select(
+            "table_name", F.lit(kind).cast("byte").alias("kind"), position.cast("int").alias("position"),
+            name.cast("string").alias("name"), text.cast("string").alias("text"),
+        )
+
+    nothing, known = F.lit(None), "table_name IS NOT NULL"
+    parts = [
+        part(catalog.columns.filter(known), 0, c("ordinal_position"), c("column_name"), ddl.column_clause()),
+        part(table_constraints(catalog).filter(known), 1, nothing, c("constraint_name"), c("definition")),
+        part(catalog.indexes.filter(known), 2, nothing, c("index_name"), c("indexdef")),
+        part(catalog.tables, 3, nothing, nothing, nothing),
+    ]
+    dealt = balanced_union(parts).repartition("table_name")
+    text = F.when(c("kind") == 1, ddl.add_constraint(schema, c("table_name"), c("name"), c("text")))
+    text = text.when(c("kind") == 2, F.concat(strip_end(c("text")), F.lit(";"))).otherwise(c("text"))
+    row = F.struct("position", "name", text.alias("text"))
+    packed = [F.sort_array(F.collect_list(F.when(c("kind") == k, row))).alias(n) for k, n in enumerate(("clauses", "constraints", "indexes"))]
+    tables = dealt.groupBy("table_name").agg(*packed, F.count_if(c("kind") == 3).cast("int").alias("n")).filter("n > 0")
+    # Indexes named like a constraint of their table belong to it.
+    backs = lambda x: F.coalesce(F.array_contains(c("constraints.name"), x["name"]), F.lit(False))
+    create = ddl.create_table(schema, c("table_name"), c("clauses.text"))
+    whole = F.concat_ws("\n\n", create, c("constraints.text"), F.filter("indexes", lambda x: ~backs(x))["text"])
+    # As many rows as the catalog lists the table.
+    return tables.select("table_name", whole.alias("ddl"), F.explode(F.sequence(F.lit(1), "n"))).drop("col")
