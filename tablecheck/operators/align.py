@@ -13,7 +13,7 @@ from tablecheck.functions.text import qualify, quote_ident, sql_string
 from tablecheck.functions.unions import balanced_union
 from tablecheck.model import Catalog, ForeignKey, SyncResult
 from tablecheck.operators.diff import column_gate
-from tablecheck.operators.drift import _side, _text, move_index
+from tablecheck.operators.drift import _side, _text, move_index, same_column
 from tablecheck.operators.integrity import parent_lookup
 from tablecheck.operators.structure import matched_objects, table_ddl
 from tablecheck.sources.store import TableStore
@@ -45,18 +45,19 @@ def sync_plan(source: Catalog, target: Catalog, target_table: str | None = None)
             name.alias("object_name"), sql.alias("sql"),
         )
 
+    gone = source.tables.join(known, "table_name", "left_anti")
+    names = gone.select("table_name")
     absent = Catalog(**{
-        **source.__dict__, "schema": target.schema, "tables": source.tables.join(known, "table_name", "left_anti"),
-        "indexes": source.indexes.withColumn("indexdef", move_index(c("indexdef"), F.lit(source.schema), schema)),
+        **source.__dict__, "schema": target.schema, "tables": gone,
+        **{kind: getattr(source, kind).join(names, "table_name", "left_semi") for kind in ("columns", "constraints")},
+        "indexes": source.indexes.join(names, "table_name", "left_semi").withColumn("indexdef", move_index(c("indexdef"), F.lit(source.schema), schema)),
     })
     created = action(table_ddl(absent), 0, F.lit(0), "CREATE_TABLE", c("table_name"), c("ddl"))
 
-    sides = [shared(cat.columns).withColumn("sig", ddl.column_signature()) for cat in (source, target)]
-    s, t = _side("s"), _side("t")
-    columns = sides[0].alias("s").join(
-        sides[1].select("table_name", "column_name", "sig").alias("t"),
-        (s("table_name") == t("table_name")) & (s("column_name") == t("column_name")), "left",
-    ).filter(~s("sig").eqNullSafe(t("sig"))).select("s.*", t("sig").alias("t_sig"))
+    t = _side("t")
+    theirs = target.columns.select("table_name", "column_name", ddl.column_signature().alias("sig"))
+    columns = shared(source.columns).alias("s").join(theirs.alias("t"), same_column("s", "t"), "left")
+    columns = columns.filter(~ddl.column_signature("s.").eqNullSafe(t("sig"))).select("s.*", t("sig").alias("t_sig"))
     new = c("t_sig").isNull()
     columns = action(
         columns, 1, c("ordinal_position"), F.when(new, "ADD_COLUMN").otherwise("ALTER_COLUMN"), c("column_name"),

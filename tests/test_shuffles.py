@@ -40,3 +40,11 @@ def test_definitions_are_shuffled_once(sides):
     texts = {r.table_name: r.ddl for r in found.collect()}
     assert found.count() == 3 and "ADD CONSTRAINT" in texts["a"] and "CREATE INDEX i" in texts["a"] and "CREATE INDEX k" not in texts["a"]
     assert len(exchanges(structure.matched_objects(*sides))) == 1
+
+
+def test_columns_are_dealt_by_table_alone(no_broadcast, sides, rows):
+    for found in (drift.column_drift(*sides), structure.columns_compared(*sides), align.sync_plan(*sides)):
+        assert not [x for x in exchanges(found) if "column_name" in x]
+    named = drift.column_drift(*sides).select("type", "object_table", "object_name").distinct()
+    different = [("COLUMN_DIFFERENT", t, n) for t in "ab" for n in ("x", "xy")]
+    assert rows(named) == sorted([*different, ("COLUMN_MISSING", "a", "y"), ("COLUMN_MISSING", "b", "y")])
