@@ -320,18 +320,19 @@ def catalog_rules(source: Catalog, target: Catalog) -> DataFrame:
     )
     # Columns per table: bounded by the width of a table.
     per_side = [
-        cat.columns.groupBy("table_name").agg(
+        cat.columns.select("table_name", "column_name", "is_nullable").repartition("table_name").groupBy("table_name").agg(
             F.collect_list("column_name").alias(f"{n}_all"),
             F.collect_list(F.when(c("is_nullable") == "YES", c("column_name"))).alias(f"{n}_nullable"),
         )
         for n, cat in (("source", source), ("target", target))
     ]
     known = target.tables.select("table_name").join(per_side[1], "table_name", "left")
-    rules = required.unionByName(keyed).join(per_side[0].drop("source_all"), "table_name", "left")
-    rules = rules.join(known.withColumn("__t", F.lit(True)), "table_name", "left")
     parents = known.select(c("table_name").alias("parent"), c("target_all").alias("parent_all"))
-    # Most foreign keys may refer to one table.
-    rules = keyed_join(rules, parents, ["parent"])
+    # Most foreign keys may refer to one table. Other rules have no parent and are spared this join.
+    foreign = keyed_join(keyed.filter("kind = 'f'"), parents, ["parent"])
+    others = required.unionByName(keyed.filter("kind <> 'f'")).withColumn("parent_all", F.lit(None).cast("array<string>"))
+    rules = others.unionByName(foreign).join(per_side[0].drop("source_all"), "table_name", "left")
+    rules = rules.join(known.withColumn("__t", F.lit(True)), "table_name", "left")
 
     def missing(columns: str, have: str) -> Column:
         return F.size(F.array_except(columns, F.coalesce(c(have), nothing))) > 0

@@ -48,3 +48,11 @@ def test_columns_are_dealt_by_table_alone(no_broadcast, sides, rows):
     named = drift.column_drift(*sides).select("type", "object_table", "object_name").distinct()
     different = [("COLUMN_DIFFERENT", t, n) for t in "ab" for n in ("x", "xy")]
     assert rows(named) == sorted([*different, ("COLUMN_MISSING", "a", "y"), ("COLUMN_MISSING", "b", "y")])
+
+
+def test_rules_without_a_parent_are_not_joined_to_parents(no_broadcast, sides):
+    found = integrity.catalog_rules(*sides)
+    joined = [x for x in exchanges(found) if x.startswith("parent")]
+    assert joined and found.filter("NOT parent_applicable").count() == 3  # b is listed twice
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("required AS kind") == 1  # read again for the sizes of keys before
