@@ -56,3 +56,10 @@ def test_rules_without_a_parent_are_not_joined_to_parents(no_broadcast, sides):
     assert joined and found.filter("NOT parent_applicable").count() == 3  # b is listed twice
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("required AS kind") == 1  # read again for the sizes of keys before
+
+
+def test_steps_on_graphs_broadcast_nothing(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "parent STRING, child STRING")
+    kept = graph.trimmed(edges)
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, kept.collect())) == [("a", "b"), ("b", "a")]
