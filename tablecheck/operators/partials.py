@@ -123,16 +123,23 @@ class PartialFindings:
             counts = rows.groupBy("file", "changed").agg(*named).selectExpr("file", "changed", f"stack({len(named)}, {pairs}) AS (rule, n)")
             counts.withColumn("run", F.lit(run)).write.parquet(f"{self.path}/{table}/counts/{run}")
         if self._key_sets[table]:
-            sets = sorted(self._key_sets[table], key=lambda s: s.name)
-            each = F.explode(F.array(*[
-                F.struct(F.lit(s.name).alias("key_set"), s.value().alias("key"), integrity.all_present(s.columns).alias("complete")) for s in sets
-            ]))
-            keys = rows.select("file", "changed", each.alias("k")).groupBy("file", "changed", "k.key_set", "k.key", "k.complete").agg(F.count("*").alias("n"))
+            keys = self._key_counts(rows, sorted(self._key_sets[table], key=lambda s: s.name), fresh)
             keys.withColumn("run", F.lit(run)).write.parquet(f"{self.path}/{table}/keys/{run}")
         # Last: a run that fails before this leaves partial results that no list of files names, and the next run has its own.
         fresh.filter(F.col("file").isin(names)).withColumn("run", F.lit(run)).coalesce(1).write.parquet(f"{self.path}/{table}/files/{run}")
         return names
 
+    @staticmethod
+    def _key_counts(rows: DataFrame, sets: Sequence[KeySet], files: DataFrame) -> DataFrame:
+        """Rows per file and key. Files and sets of columns are numbers until the rows are counted: their names are longer than most keys."""
+        each = F.explode(F.array(*[
+            F.struct(F.lit(i).alias("__set"), s.value().alias("key"), integrity.all_present(s.columns).alias("complete")) for i, s in enumerate(sets)
+        ]))
+        counted = rows.select(F.xxhash64("file", "changed").alias("__file"), each.alias("k")).groupBy("__file", "k.__set", "k.key", "k.complete").agg(F.count("*").alias("n"))
+        named = F.broadcast(files.select("file", "changed", F.xxhash64("file", "changed").alias("__file")))  # a row per new file
+        name = F.element_at(F.array(*[F.lit(s.name) for s in sets]), F.col("__set") + 1)
+        return counted.join(named, "__file").select("file", "changed", name.alias("key_set"), "key", "complete", "n")
+
     def _current(self, table: str, part: str, schema: str) -> DataFrame:
         """Partial results of finished runs for files that are there now as they were then."""
         listed = self._stored(table, "files", "file STRING, changed TIMESTAMP, run STRING").join(self._files(table), ["file", "changed"], "left_semi")

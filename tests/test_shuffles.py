@@ -63,3 +63,14 @@ def test_steps_on_graphs_broadcast_nothing(spark):
     kept = graph.trimmed(edges)
     assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, kept.collect())) == [("a", "b"), ("b", "a")]
+
+
+def test_names_of_files_are_not_shuffled_with_keys(spark):
+    data = spark.createDataFrame([("f", 1, 2), ("f", 1, None), ("g", 1, 2)], "file STRING, x INT, y INT").withColumn("changed", F.lit("2020-01-01").cast("timestamp"))
+    sets = [partials.KeySet("t", ("x",), ("int",)), partials.KeySet("t", ("x", "y"), ("int", "int"))]
+    found = partials.PartialFindings._key_counts(data, sets, data.select("file", "changed").distinct())
+    assert "file" not in exchanges(found)[0].split("__file")[-1] and "key_set" not in exchanges(found)[0]
+    assert sorted((r.file, r.key_set, r.key, r.complete, r.n) for r in found.collect()) == [
+        ("f", "x:int", '{"c0":"1"}', True, 2), ("f", "x:int|y:int", '{"c0":"1","c1":"2"}', True, 1),
+        ("f", "x:int|y:int", '{"c0":"1","c1":null}', False, 1), ("g", "x:int", '{"c0":"1"}', True, 1), ("g", "x:int|y:int", '{"c0":"1","c1":"2"}', True, 1),
+    ]
