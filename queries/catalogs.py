@@ -892,7 +892,10 @@ SELECT row_number() OVER (ORDER BY impact_rank, stage, object_table, object_name
 
 @register("numbered_detail", with_ctes(tuple(SNAPSHOT), f"SELECT number, type, impact, object_table, object_name, description FROM ({_NUMBERED}) n"))
 def numbered_detail(spark: SparkSession, folder: str) -> DataFrame:
-    return report.numbered(drift_run(spark, folder)).select("number", "type", "impact", "object_table", "object_name", "description")
+    shown = ("type", "impact", "object_table", "object_name", "description")
+    # Statements and definitions are neither made nor sorted for a list that does not show them.
+    wanted = drift_run(spark, folder).select(*shown, *[c for c in report.DIFF_ORDER if c not in shown])
+    return report.numbered(wanted).select("number", *shown)
 
 
 def _commented(x: str) -> str:
