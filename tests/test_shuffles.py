@@ -6,6 +6,7 @@ import pytest
 from catalogs import catalog
 from pyspark.sql import functions as F
 
+from tablecheck.model import Catalog
 from tablecheck.operators import align, drift, graph, integrity, partials, structure
 
 
@@ -74,3 +75,41 @@ def test_names_of_files_are_not_shuffled_with_keys(spark):
         ("f", "x:int", '{"c0":"1"}', True, 2), ("f", "x:int|y:int", '{"c0":"1","c1":"2"}', True, 1),
         ("f", "x:int|y:int", '{"c0":"1","c1":null}', False, 1), ("g", "x:int", '{"c0":"1"}', True, 1), ("g", "x:int|y:int", '{"c0":"1","c1":"2"}', True, 1),
     ]
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_drift_shuffles_columns_and_indexes_of_a_side_once(no_broadcast, sides):
+    """Tables, columns and extensions took the source's columns through a shuffle each, and lists of indexes were dealt anew."""
+    found = drift.drift(*sides)
+    plan = final_plan(found)
+    assert len(re.findall(r"ExistingRDD\[table_name#\d+,column_name", plan)) <= 2  # one a side
+    assert not [x for x in exchanges(drift.column_drift(*sides)) if "isnull" in x]
+    columns = [r for r in found.collect() if r.type.startswith("COLUMN")]
+    assert len(columns) == 6
+
+
+def test_indexes_of_a_union_are_compared_with_one_shuffle_of_the_target(no_broadcast, sides, spark):
+    own = sides[0].indexes
+    source = Catalog(**{**sides[0].__dict__, "indexes": own.filter("index_name = 'i'").unionByName(own.filter("index_name = 'k'"))})
+    target = catalog(spark, indexes=[{"table_name": "a", "index_name": "k", "indexdef": "CREATE INDEX k ON a", "columns": []}])
+    found = drift.index_drift(source, target)
+    assert len(re.findall(r"hashpartitioning\(of_table#", found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])) == 1
+    assert [r.object_name for r in found.collect()] == ["i"]
+
+
+def test_objects_without_a_table_meet_their_equals(spark):
+    index = {"index_name": "i", "indexdef": "x", "columns": ["a", None], "is_unique": True}
+    source = catalog(
+        spark, tables=[{"table_name": None}], columns=[{"table_name": None, "column_name": "a"}, {"table_name": "", "column_name": "b"}], indexes=[{**index, "table_name": None}],
+        constraints=[{"constraint_name": n, "table_name": t, "constraint_type": "p", "definition": "d", "columns": ["a"]} for n, t in (("k", None), ("l", ""))],
+    )
+    target = catalog(
+        spark, tables=[{"table_name": None}], indexes=[{**index, "table_name": ""}],
+        constraints=[{"constraint_name": "k", "table_name": None, "constraint_type": "p", "definition": "d", "columns": ["a"]}],
+    )
+    assert sorted((r.type, r.object_name) for r in drift.drift(source, target).collect() if r.type != "TABLE_MISSING") == [("CONSTRAINT_MISSING_OR_DIFFERENT", "l")]
+    assert drift.drift(source, target).filter("type = 'TABLE_MISSING'").count() == 1
