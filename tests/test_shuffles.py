@@ -1,6 +1,8 @@
 """What reaches a shuffle or the driver, whatever the size of the tables."""
 
+import glob
 import re
+import time
 
 import pytest
 from catalogs import catalog
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tablecheck.model import Catalog
 from tablecheck.operators import align, drift, graph, integrity, partials, structure
+from tablecheck.sources.catalog import write_snapshot
+from tablecheck.sources.checkpoints import Scratch
 
 
 @pytest.fixture
@@ -113,3 +117,22 @@ def test_objects_without_a_table_meet_their_equals(spark):
     )
     assert sorted((r.type, r.object_name) for r in drift.drift(source, target).collect() if r.type != "TABLE_MISSING") == [("CONSTRAINT_MISSING_OR_DIFFERENT", "l")]
     assert drift.drift(source, target).filter("type = 'TABLE_MISSING'").count() == 1
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for i in range(len(folders)) for f in glob.glob(f"{folders[i]}/*/shuffle_*.data")}
+
+
+def test_steps_that_are_written_leave_no_shuffle_files(spark, tmp_path):
+    """They stayed beside what was written until the driver collected its garbage."""
+    before, df = shuffle_files(spark), spark.range(1000).repartition(3, "id")
+    assert Scratch(spark).keep(df, "t").count() == 1000
+    write_snapshot({"schemas": df.selectExpr("string(id) AS schema_name", "'a' AS env")}, str(tmp_path / "s"))
+    for _ in range(50):  # removed beside the query
+        left = shuffle_files(spark) - before
+        if len(left) <= 1:  # the count's own
+            break
+        time.sleep(0.1)
+    assert len(left) <= 1, left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
