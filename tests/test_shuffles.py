@@ -9,7 +9,7 @@ from catalogs import catalog
 from pyspark.sql import functions as F
 
 from tablecheck.model import Catalog
-from tablecheck.operators import align, drift, graph, integrity, partials, structure
+from tablecheck.operators import align, drift, fleet, graph, integrity, partials, structure
 from tablecheck.sources.catalog import write_snapshot
 from tablecheck.sources.checkpoints import Scratch
 
@@ -136,3 +136,20 @@ def test_steps_that_are_written_leave_no_shuffle_files(spark, tmp_path):
         time.sleep(0.1)
     assert len(left) <= 1, left
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_fleet_steps_leave_no_shuffle_files_and_passes_change_nothing(no_broadcast, sides, spark, monkeypatch):
+    """Shuffles of all environments and kinds used to be on the disk together."""
+    monkeypatch.setattr(fleet, "PASS_BYTES", 1)
+    monkeypatch.setattr(fleet, "PASSES", 2)
+    before = shuffle_files(spark)
+    table = fleet.SignatureTable(spark).add("a", sides[0]).add("b", sides[1])
+    found = table.compare("a", ["b"])
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left, left
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(found.drop("env")) == rows(drift.drift(*sides)) and found.count() == 6
